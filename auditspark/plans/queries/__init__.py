@@ -1,3 +1,3 @@
 """Query modules; importing this package registers every query."""
 
-from auditspark.plans.queries import attribution  # noqa: F401
+from auditspark.plans.queries import attribution, cleaning, joins  # noqa: F401

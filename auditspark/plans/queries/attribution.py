@@ -146,3 +146,54 @@ def q_plausible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_id", "submission_id", "p_partkey", "brand_name", "id", "total_count",
                     "event_total_count", F.round("proportion", OUT_DIGITS).alias("proportion"),
                     F.round("sum", OUT_DIGITS).alias("sum"))
+
+
+def _boot_sql(values_cte: str, value_col: str, grouped: bool) -> tuple[tuple[str, str], ...]:
+    g = "id, " if grouped else ""
+    return (
+        ("bvals", values_cte),
+        ("ev_idx", """
+    SELECT event_id, row_number() OVER (ORDER BY event_id) AS idx FROM (SELECT DISTINCT event_id FROM bvals)"""),
+        ("nn", "SELECT COUNT(*) AS n FROM ev_idx"),
+        ("draws", """
+    SELECT t.b, (CAST('0x' || substr(md5('3437_' || CAST(t.b AS VARCHAR) || '_' || CAST(e.idx AS VARCHAR)), 1, 8)
+                 AS BIGINT) % nn.n) + 1 AS idx
+    FROM range(1, 101) t(b), ev_idx e, nn"""),
+        ("w", "SELECT b, idx, COUNT(*) AS w FROM draws GROUP BY b, idx"),
+        ("reps", f"""
+    SELECT {g}w.b, SUM(w.w * v.{value_col}) / MAX(nn.n) AS m
+    FROM bvals v JOIN ev_idx e USING (event_id) JOIN w ON w.idx = e.idx, nn
+    GROUP BY {g}w.b"""),
+    )
+
+
+@query("boot_ci", audit.sql("""
+SELECT g.id, round(quantile_cont(COALESCE(r.m, 0), 0.975), 6) AS high,
+       round(MAX(mm.mean), 6) AS mean, round(quantile_cont(COALESCE(r.m, 0), 0.025), 6) AS low
+FROM (SELECT i.id, t.b FROM (SELECT DISTINCT id FROM bvals) i, range(1, 101) t(b)) g
+LEFT JOIN reps r ON r.id = g.id AND r.b = g.b
+JOIN means mm ON mm.id = g.id
+GROUP BY g.id""", *_SHARES_SQL, *_boot_sql("SELECT event_id, id, proportion FROM shares", "proportion", True)))
+def q_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A19 + A20 + X1: ``boot_name`` - zero-filled mean share of each company
+    with bootstrap 2.5 % / 97.5 % bounds (B = 100, seed 3437)."""
+    from auditspark.operators import bootstrap
+
+    ci = bootstrap.boot_mean_ci(event_shares(spark, sf_dir), "event_id", "id", "proportion")
+    return ci.select("id", *[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])
+
+
+@query("unbranded_boot_ci", audit.sql("""
+SELECT round(quantile_cont(r.m, 0.975), 6) AS high,
+       round((SELECT AVG(proportion) FROM bvals), 6) AS mean,
+       round(quantile_cont(r.m, 0.025), 6) AS low
+FROM reps r""", *_boot_sql("""
+    SELECT event_id, SUM(proportion) AS proportion FROM clean WHERE id = 'unbranded' GROUP BY event_id""",
+                           "proportion", False)))
+def q_unbranded_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A23 + A19: bootstrap interval of the mean unbranded share per event."""
+    from auditspark.operators import bootstrap
+
+    per_event = shares.unbranded_by_event(audit.clean_items(Tables(spark, sf_dir)))
+    ci = bootstrap.boot_mean_ci(per_event, "event_id", None, "proportion", zero_fill=False)
+    return ci.select(*[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])
