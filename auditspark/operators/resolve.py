@@ -46,23 +46,26 @@ def lookup_worklist(ids: DataFrame, known: DataFrame, id_col: str = "id") -> Dat
 
 def entity_labels(ids: DataFrame, labels: DataFrame, id_col: str = "id", label_col: str = "label",
                   out_col: str = "name") -> DataFrame:
-    """C26 + J12: every ``q\\d{2,}`` code in an id (not a link) is mapped to its
-    label and the labels are joined with ", " in the order the codes appear; an
-    id with no label at all keeps itself as name (``ifelse(is.na(name), id, name)``).
-
-    Codes are exploded with their position, joined to the label table on the
-    code, and re-assembled per id by position - an equi-join and a grouped
-    aggregate, no per-row lookups."""
-    distinct_ids = ids.select(id_col).distinct()
-    codes = (distinct_ids.filter(~F.col(id_col).contains(LINK_MARK))
-             .select(id_col, F.posexplode(F.regexp_extract_all(F.col(id_col), F.lit(ENTITY_PATTERN), F.lit(0)))
-                     .alias("_pos", "_code")))
+    """C26 + X5: label table for the ids that hold entity codes.
+
+    Ids matching ``q\\d{2,}`` that are not links are looked up: every code in the
+    id is mapped to its label and the labels are joined with ", " in the order
+    the codes appear. If any code has no label the lookup fails as a whole and
+    the id names itself (``ifelse(is.na(name), id, name)``).
+
+    Codes are exploded with their position, left-joined to the label table on
+    the code and re-assembled per id by position - an equi-join and a grouped
+    aggregate whose groups hold the few codes of one id."""
+    cand = (ids.select(id_col).distinct()
+            .filter(F.col(id_col).rlike(ENTITY_PATTERN) & ~F.col(id_col).contains(LINK_MARK)))
+    codes = cand.select(id_col, F.posexplode(F.regexp_extract_all(F.col(id_col), F.lit(ENTITY_PATTERN),
+                                                                  F.lit(0))).alias("_pos", "_code"))
     lab = labels.select(F.col(id_col).alias("_code"), F.col(label_col).alias("_label"))
-    named = (codes.join(lab, "_code", "inner")
-             .groupBy(id_col)
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_label"))),
-                                           lambda s: s["_label"]), ", ").alias("_name")))
-    return (distinct_ids.join(named, id_col, "left")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_label"))),
+                                      lambda s: s["_label"]), ", ")
+    named = (codes.join(lab, "_code", "left").groupBy(id_col)
+             .agg(F.when(F.count("_label") == F.count(F.lit(1)), joined).alias("_name")))
+    return (cand.join(named, id_col, "left")
             .select(id_col, F.coalesce(F.col("_name"), F.col(id_col)).alias(out_col)))
 
 
