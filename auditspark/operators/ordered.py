@@ -25,6 +25,16 @@ def attach_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
     return df.join(F.broadcast(scalar), how="inner")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the files.
+
+    Used before a table is read by several independent passes (validation,
+    report metrics): it is computed once, and a lost executor re-reads the
+    checkpoint instead of re-running the joins upstream."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _range_parts(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)

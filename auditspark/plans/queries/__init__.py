@@ -1,3 +1,3 @@
 """Query modules; importing this package registers every query."""
 
-from auditspark.plans.queries import attribution, brands, cleaning, joins, location, stats  # noqa: F401
+from auditspark.plans.queries import attribution, brands, cleaning, joins, location, report, stats  # noqa: F401
