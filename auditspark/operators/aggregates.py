@@ -35,7 +35,11 @@ def to_string_agg(df: DataFrame, keys: list[str], value_col: str, alias: str,
     shown = rsem.na_text(value_col)
     pairs = (df.groupBy(*keys, *order_cols, value_col)
              .agg(F.count(F.lit(1)).alias("_n")))
-    item = F.struct(*[F.col(c) for c in order_cols], shown.alias("_v"), F.col("_n"))
+    # NA sorts last, as in R: an is-null flag precedes each sort key.
+    sort_keys = []
+    for i, c in enumerate(order_cols):
+        sort_keys += [F.col(c).isNull().alias(f"_z{i}"), F.col(c).alias(f"_k{i}")]
+    item = F.struct(*sort_keys, shown.alias("_v"), F.col("_n"))
     lists = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_l"))
     if keep_duplicates:
         flat = F.flatten(F.transform("_l", lambda s: F.array_repeat(s["_v"], s["_n"].cast("int"))))

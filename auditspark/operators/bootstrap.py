@@ -42,16 +42,24 @@ def draw_index(seed: int, b, j, n) -> F.Column:
     return (h % n + 1).cast("bigint")
 
 
-def replicate_weights(units: DataFrame, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """(b, idx, w): how many times unit ``idx`` is drawn in replicate b.
-
-    ``units`` has one row per unit with a dense index ``idx`` in 1..N. Each unit
-    row spawns its B draw slots, so the B x N draws are generated in parallel
-    where the units live; the counts are a partial aggregate on (b, idx)."""
-    n = units.agg(F.count(F.lit(1)).alias("_n"))
-    slots = (attach_scalar(units.select(F.col("idx").alias("_j")), n)
-             .select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"), "_j", "_n"))
-    drawn = slots.select("b", draw_index(seed, F.col("b"), F.col("_j"), F.col("_n")).alias("idx"))
+# Draw slots per task when generating the B x N draws.
+DRAWS_PER_TASK = 1_000_000
+
+
+def replicate_weights(spark, n_units: int, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """(b, idx, w): how many times unit ``idx`` (1..N) is drawn in replicate b.
+
+    The B x N draw slots come from ``spark.range`` with a partition count sized
+    to the number of slots, so generation is spread evenly over the cluster no
+    matter how small the unit table is (AQE would otherwise pack the units - and
+    a 100-fold explosion of them - into a handful of tasks). The counts are a
+    partial aggregate on (b, idx). Only the scalar N comes from the driver."""
+    slots = replicates * n_units
+    parts = max(spark.sparkContext.defaultParallelism, -(-slots // DRAWS_PER_TASK))
+    r = spark.range(0, slots, numPartitions=parts)
+    b = (F.floor(F.col("id") / n_units) + 1).cast("bigint")
+    j = (F.col("id") % n_units + 1).cast("bigint")
+    drawn = r.select(b.alias("b"), draw_index(seed, b, j, F.lit(n_units)).alias("idx"))
     return drawn.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
@@ -63,9 +71,15 @@ def boot_mean_ci(values: DataFrame, unit_col: str, group_col: str | None, value_
     ``values`` holds (unit, group, value) rows. With ``zero_fill`` every group is
     averaged over all N units (absent = 0, the company grid of the reference);
     without it there is a single group of all units (``group_col=None``)."""
+    from auditspark.operators.ordered import materialize
+
+    # Read four times below (index, replicate sums, means, zero counts):
+    # computed once into the shared checkpoint folder.
+    values = materialize(values.select(unit_col, *([group_col] if group_col else []), value_col))
     units = dense_index(values, [unit_col], "idx")
-    n = units.agg(F.count(F.lit(1)).alias("_n"))
-    w = replicate_weights(units, replicates, seed)
+    n_units = units.count()
+    n = values.sparkSession.createDataFrame([(n_units,)], "_n bigint")
+    w = replicate_weights(values.sparkSession, n_units, replicates, seed)
     gcols = [group_col] if group_col else []
     x = values.join(units, unit_col).select(*gcols, "idx", F.col(value_col).alias("_v"))
     reps = (x.join(w, "idx")

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-CORRUPT = "_corrupt_record"
+MALFORMED = "_malformed"
+OVERFLOW = 16
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
@@ -24,26 +25,33 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
              encoding: str = "UTF-8") -> DataFrame:
     """Read a CSV written by R.
 
-    ``keep_corrupt`` keeps malformed lines (extra unquoted commas) in a
-    ``_corrupt_record`` column instead of silently shifting fields."""
+    ``keep_corrupt`` flags malformed lines (more fields than the header, from
+    unquoted commas) in a boolean ``_malformed`` column instead of silently
+    dropping their extra fields."""
     reader = (spark.read.option("header", True).option("escape", '"')
               .option("multiLine", True).option("encoding", encoding)
-              .option("mode", "PERMISSIVE"))
+              .option("mode", "PERMISSIVE").option("enforceSchema", True))
     if profile == "fast":
         reader = reader.option("nullValue", "NA")
     if schema is None:
         header = spark.read.option("header", True).option("escape", '"').csv(path).schema
         schema = StructType([StructField(f.name, StringType(), True) for f in header])
     if keep_corrupt:
-        schema = StructType(list(schema.fields) + [StructField(CORRUPT, StringType(), True)])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        # Spark keeps the first fields of a line with too many fields and drops
+        # the rest; overflow columns catch them so such lines can be flagged.
+        extra = [StructField(f"_overflow_{i}", StringType(), True) for i in range(OVERFLOW)]
+        schema = StructType(list(schema.fields) + extra)
     df = reader.schema(schema).csv(path)
+    if keep_corrupt:
+        over = [F.col(f"_overflow_{i}") for i in range(OVERFLOW)]
+        df = (df.withColumn(MALFORMED, F.coalesce(*over).isNotNull())
+              .drop(*[f"_overflow_{i}" for i in range(OVERFLOW)]))
     if profile == "base":
         # read.csv: literal NA is missing, a blank text cell is "".
         exprs = []
         for f in df.schema.fields:
             c = F.col(f"`{f.name}`")
-            if isinstance(f.dataType, StringType) and f.name != CORRUPT:
+            if isinstance(f.dataType, StringType):
                 c = F.when(c == "NA", F.lit(None)).otherwise(F.coalesce(c, F.lit("")))
             exprs.append(c.alias(f.name))
         df = df.select(*exprs)
