@@ -94,11 +94,15 @@ def with_dims(df: DataFrame, t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     n = t.nation.select("n_nationkey", "n_name", "n_regionkey")
     r = t.region.select("r_regionkey", "r_name")
-    geo = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-           .select("c_custkey", "c_mktsegment", "n_name", "r_name", "c_nationkey"))
     unbranded = F.col("p_brand") == "Brand#1"
     brand_no = F.substring("p_brand", 7, 8).cast("int")
-    x = df.join(p, df.l_partkey == p.p_partkey).join(geo, df.o_custkey == geo.c_custkey)
+    # Each dimension joins the items directly (star join): the build side of
+    # every join is a plain scan whose size the planner knows, so small ones are
+    # broadcast at plan time and large ones (part, customer at scale) use a
+    # sort-merge join; a pre-joined customer-nation-region side would be
+    # estimated as the product of its inputs and never broadcast.
+    x = (df.join(p, df.l_partkey == p.p_partkey).join(c, df.o_custkey == c.c_custkey)
+         .join(n, F.col("c_nationkey") == n.n_nationkey).join(r, F.col("n_regionkey") == r.r_regionkey))
     status = F.col("o_orderstatus")
     return x.select(
         *[c for c in df.columns if c not in ("l_partkey", "o_custkey", "o_orderstatus")],
@@ -179,7 +183,11 @@ SQL_CTES["audit"] = _DIMS_SELECT.format(src="audit_base")
 SQL_CTES["clean"] = _DIMS_SELECT.format(src="plaus")
 
 
+def ctes(*extra: tuple[str, str]) -> str:
+    """The audit-view CTEs (plus extra named CTEs) as a ``name AS (...)`` list."""
+    return ",\n".join(f"{n} AS ({q})" for n, q in list(SQL_CTES.items()) + list(extra))
+
+
 def sql(body: str, *extra: tuple[str, str]) -> str:
     """Prefix a query with the audit-view CTEs (plus extra named CTEs)."""
-    ctes = list(SQL_CTES.items()) + list(extra)
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + body
+    return "WITH " + ctes(*extra) + "\n" + body

@@ -1,3 +1,4 @@
 """Query modules; importing this package registers every query."""
 
-from auditspark.plans.queries import attribution, brands, cleaning, joins, location, report, stats  # noqa: F401
+from auditspark.plans.queries import (  # noqa: F401
+    attribution, brands, cleaning, joins, location, packaging, report, stats)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from auditspark.functions import rsem
 from auditspark.operators import aggregates, checks, shares
 from auditspark.plans import audit
+from auditspark.plans.queries.attribution import _SHARES_SQL
 from auditspark.plans.queries.brands import PROCESSED_COLS, _BC_SQL, brand_company_table, processed
 from auditspark.plans.registry import query
 from auditspark.sources.tables import Tables
@@ -179,3 +180,70 @@ def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = csvio.read_csv(spark, path, schema=schema, profile="fast")
     return back.withColumns({"year": F.col("year").try_cast("int"),
                              "event_total_count": F.col("event_total_count").try_cast("bigint")})
+
+
+def _rule(name: str, n_bad: DataFrame) -> DataFrame:
+    """One-row (rule, status, n_bad, n_unknown) from a one-row ``n_bad`` frame."""
+    return n_bad.select(F.lit(name).alias("rule"),
+                        F.when(F.col("n_bad") > 0, F.lit("FAIL")).otherwise(F.lit("PASS")).alias("status"),
+                        F.col("n_bad").cast("bigint").alias("n_bad"), F.lit(0).cast("bigint").alias("n_unknown"))
+
+
+_CONS_SQL = (_PROC_SQL, *_BC_SQL, *_SHARES_SQL)
+
+
+@query("consistency_checks", audit.sql("""
+SELECT 'V1_brands_equal_brand_rows' AS rule, CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+       b AS n_bad, CAST(0 AS BIGINT) AS n_unknown
+FROM (SELECT abs((SELECT COUNT(DISTINCT brand_name) FROM proc) - (SELECT COUNT(*) FROM bc)) AS b)
+UNION ALL SELECT 'V3_V5_control_totals', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, CAST(0 AS BIGINT)
+FROM (SELECT CAST((SELECT SUM(total_count) FROM clean) <> (SELECT SUM(total_count) FROM proc) AS BIGINT)
+           + CAST((SELECT SUM(total_count) FROM clean) <> (SELECT SUM(brand_total_count) FROM bc) AS BIGINT) AS b)
+UNION ALL SELECT 'V6_worklist_empty', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, CAST(0 AS BIGINT)
+FROM (SELECT COUNT(*) AS b FROM bc WHERE brand_frequency > 10 AND validated = 'false' AND brand_total_count > 100)
+UNION ALL SELECT 'V7_brand_unique_in_brand_table', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, CAST(0 AS BIGINT)
+FROM (SELECT COUNT(*) AS b FROM (SELECT brand_name FROM bc GROUP BY brand_name HAVING COUNT(*) > 1))
+UNION ALL SELECT 'V39_key_table_brand_unique', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, CAST(0 AS BIGINT)
+FROM (SELECT COUNT(*) AS b FROM (SELECT p_name FROM part GROUP BY p_name HAVING COUNT(*) > 1))
+UNION ALL SELECT 'V40_mean_shares_sum_to_one', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, CAST(0 AS BIGINT)
+FROM (SELECT CAST(NOT (abs(SUM(mean) - 1) < 0.005) AS BIGINT) AS b FROM means)
+UNION ALL SELECT 'V41_pooled_shares_sum_to_one', CASE WHEN b > 0 THEN 'FAIL' ELSE 'PASS' END, b, CAST(0 AS BIGINT)
+FROM (SELECT CAST(NOT (abs(SUM(p) - 1) < 0.000001) AS BIGINT) AS b FROM (
+  SELECT SUM(company_sum) / CAST(SUM(SUM(company_sum)) OVER () AS DOUBLE) AS p FROM shares GROUP BY id))""",
+    *_CONS_SQL))
+def q_consistency_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-table consistency of the stages -
+    brand counts, control totals carried through every stage, empty work-list,
+    unique brands in the brand and key tables, and shares that add to one."""
+    from auditspark.operators.ordered import attach_scalar, materialize
+    from auditspark.plans.queries.attribution import company_means, event_shares
+    from auditspark.plans.queries.brands import _key_table
+
+    t = Tables(spark, sf_dir)
+    proc = materialize(processed(t))
+    bc = brand_company_table(proc)
+    clean_total = audit.clean_items(t).agg(F.sum("total_count").alias("c"))
+    proc_total = proc.agg(F.sum("total_count").alias("p"))
+    bc_total = bc.agg(F.sum("brand_total_count").alias("b"))
+    totals = attach_scalar(attach_scalar(clean_total, proc_total), bc_total).select(
+        ((F.col("c") != F.col("p")).cast("bigint") + (F.col("c") != F.col("b")).cast("bigint")).alias("n_bad"))
+    n_brands = attach_scalar(proc.agg(F.count_distinct("brand_name").alias("a")),
+                             bc.agg(F.count(F.lit(1)).alias("b")))
+    worklist = bc.filter((F.col("brand_frequency") > 10) & (F.col("validated") == "false")
+                         & (F.col("brand_total_count") > 100))
+    dup_bc = aggregates.count_rows(bc, ["brand_name"]).filter(F.col("count") > 1)
+    dup_key = aggregates.count_rows(_key_table(t), ["brand_name"]).filter(F.col("count") > 1)
+    means = company_means(spark, sf_dir).agg(F.sum("mean").alias("s"))
+    pooled = shares.pooled_share(event_shares(spark, sf_dir)).agg(F.sum("proportion_aggregated").alias("s"))
+    parts = [
+        _rule("V1_brands_equal_brand_rows", n_brands.select(F.abs(F.col("a") - F.col("b")).alias("n_bad"))),
+        _rule("V3_V5_control_totals", totals),
+        _rule("V6_worklist_empty", worklist.agg(F.count(F.lit(1)).alias("n_bad"))),
+        _rule("V7_brand_unique_in_brand_table", dup_bc.agg(F.count(F.lit(1)).alias("n_bad"))),
+        _rule("V39_key_table_brand_unique", dup_key.agg(F.count(F.lit(1)).alias("n_bad"))),
+        _rule("V40_mean_shares_sum_to_one", means.select((~(F.abs(F.col("s") - 1) < 0.005)).cast("bigint")
+                                                         .alias("n_bad"))),
+        _rule("V41_pooled_shares_sum_to_one", pooled.select((~(F.abs(F.col("s") - 1) < 1e-6)).cast("bigint")
+                                                            .alias("n_bad"))),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
