@@ -105,20 +105,69 @@ def freq_table(df: DataFrame, col_name: str, alias: str = "n") -> DataFrame:
     return df.filter(F.col(col_name).isNotNull()).groupBy(col_name).agg(F.count(F.lit(1)).alias(alias))
 
 
+def exact_quantiles(df: DataFrame, col_name: str, probs: list[float]) -> DataFrame:
+    """Type-7 quantiles (R's default) without gathering the column in one task.
+
+    Values are first counted per distinct value (a partial aggregate, so a value
+    that holds a third of the rows is one row per mapper), then the distinct
+    values are range-partitioned and given cumulative counts
+    (``global_positions``). Quantile p interpolates the order statistics at
+    positions floor(h) + 1 and floor(h) + 2 with h = (n - 1) p; the value at
+    position k is the one whose cumulative count range covers k. The count n
+    is a scalar. One column per p named ``q0``, ``q1``, ..."""
+    from auditspark.operators.ordered import global_positions
+
+    v = df.select(F.col(col_name).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    counts = v.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
+    n = counts.agg(F.sum("_c")).first()[0] or 0
+    if n == 0:
+        return df.sparkSession.createDataFrame([tuple([None] * len(probs))],
+                                               ", ".join(f"q{i} double" for i in range(len(probs))))
+    plan = []
+    for p in probs:
+        h = (n - 1) * p
+        lo = int(h // 1)
+        plan.append((lo + 1, min(lo + 2, n), h - lo))
+    pos = (global_positions(counts, [F.asc("_x")], "_c")
+           .withColumn("_end", F.col("cumulative").cast("bigint"))
+           .withColumn("_start", F.col("_end") - F.col("_c") + 1))
+
+    def covers(k: int) -> F.Column:
+        return (F.col("_start") <= k) & (F.col("_end") >= k)
+
+    wanted = sorted({k for lo, hi, _ in plan for k in (lo, hi)})
+    pos = pos.filter(reduce_or([covers(k) for k in wanted]))
+    aggs = []
+    for i, (lo, hi, frac) in enumerate(plan):
+        a = F.max(F.when(covers(lo), F.col("_x")))
+        b = F.max(F.when(covers(hi), F.col("_x")))
+        aggs.append((a + F.lit(frac) * (b - a)).alias(f"q{i}"))
+    return pos.agg(*aggs)
+
+
+def reduce_or(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
 def summary_stats(df: DataFrame, col_name: str, exact: bool = True) -> DataFrame:
     """R ``summary(x)``: min, quartiles (type 7), mean, max and NA count.
 
-    ``exact=False`` uses ``percentile_approx`` for very large inputs, since the
-    exact percentile buffers every value of the group."""
+    Exact quartiles come from a distributed sort (``exact_quantiles``), never
+    from buffering the column in one task; ``exact=False`` uses
+    ``percentile_approx`` (one pass, bounded memory)."""
     c = F.col(col_name)
+    s = df.agg(F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max"),
+               F.count_if(c.isNull()).alias("n_na"))
     if exact:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = exact_quantiles(df, col_name, [0.25, 0.5, 0.75])
     else:
-        q = F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
-    s = df.agg(F.min(c).alias("min"), q.alias("_q"), F.avg(c).alias("mean"), F.max(c).alias("max"),
-               F.count_if(c.isNull()).alias("n_na"))
-    return s.select("min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), "mean",
-                    F.col("_q")[2].alias("q3"), "max", "n_na")
+        q = df.agg(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("_q")) \
+            .select(*[F.col("_q")[i].alias(f"q{i}") for i in range(3)])
+    return attach_scalar(s, q).select("min", F.col("q0").alias("q1"), F.col("q1").alias("median"), "mean",
+                                      F.col("q2").alias("q3"), "max", "n_na")
 
 
 def na_profile(df: DataFrame) -> DataFrame:

@@ -12,17 +12,18 @@ Mapping (one item row per ``lineitem`` row):
 The same view is written twice: as DataFrame code (what the queries run) and as
 DuckDB SQL common table expressions (what the oracle runs).
 
-Physical plan: ``lineitem`` joins ``orders`` on the order key and the event total
-is a window over that same key, so it reuses the join's hash partitioning. The
-plausibility filters and the per-event sum-to-one window run at that grain too,
-before the dimension joins. ``part`` and ``customer`` joins are left to AQE: they
-become broadcasts only when their measured size is under the broadcast threshold,
-otherwise sort-merge joins.
+Physical plan: the event totals are a grouped sum of ``lineitem`` joined 1:1 to
+``orders``; items join their event, and the sum-to-one rule joins items to their
+own per-event aggregate. No window is keyed by the event, so an audit holding a
+third of all items is pre-aggregated on the mappers and its item rows can be
+split across tasks (AQE skew join) instead of landing in one task. Dimension
+joins are left to the planner and AQE: broadcasts only when the measured side is
+under the broadcast threshold, otherwise sort-merge joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions import rsem
@@ -36,27 +37,38 @@ SUM_DIGITS = 3
 EVENT_KEYS = ["submission_type", "submission_id", "year"]
 
 
-def audit_base(t: Tables) -> DataFrame:
-    """Items joined to their events, with the event's declared total."""
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+def events_table(t: Tables) -> DataFrame:
+    """The events (audits): one row per order with its declared item total.
+
+    The total is a grouped sum of ``lineitem`` (partial aggregate on every
+    mapper, so an order holding a third of all lines is pre-summed before the
+    shuffle) joined 1:1 to ``orders``."""
+    totals = (t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("_q"))
+              .withColumnRenamed("l_orderkey", "_ok"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    x = li.join(o, li.l_orderkey == o.o_orderkey, "inner").select(
+    return o.join(totals, o.o_orderkey == totals._ok).select(
         F.col("o_orderpriority").alias("submission_type"),
         F.col("o_orderkey").alias("submission_id"),
         F.year("o_orderdate").alias("year"),
-        "l_partkey", "o_custkey", "o_orderstatus", "l_quantity",
+        "o_custkey", "o_orderstatus",
+        (F.col("_q").cast("bigint") + F.col("o_orderkey") % 2).alias("event_total_count"),
+    )
+
+
+def audit_base(t: Tables) -> DataFrame:
+    """Items joined to their events (J1). The event side has one row per key,
+    so AQE broadcasts it when it is small and otherwise splits the skewed item
+    partitions of a hot event across tasks."""
+    li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    ev = events_table(t)
+    x = li.join(ev, li.l_orderkey == ev.submission_id, "inner")
+    return x.select(
+        "submission_type", "submission_id", "year", "l_partkey", "o_custkey", "o_orderstatus",
         F.lower("l_returnflag").alias("type_material"),
         F.lower("l_linestatus").alias("layer"),
         F.col("l_quantity").cast("bigint").alias("total_count"),
-    )
-    # Partitioned by submission_id alone: the later per-event window on
-    # (submission_type, submission_id, year) is satisfied by the same hash
-    # partitioning, so both windows share one shuffle.
-    per_order = Window.partitionBy("submission_id")
-    return x.withColumn(
         "event_total_count",
-        F.sum("l_quantity").over(per_order).cast("bigint") + F.col("submission_id") % 2,
-    ).drop("l_quantity")
+    )
 
 
 def share_filters(df: DataFrame) -> DataFrame:
@@ -77,15 +89,19 @@ def share_filters(df: DataFrame) -> DataFrame:
 def plausible(df: DataFrame) -> DataFrame:
     """L1: keep items of audits whose shares add up to one.
 
-    The per-event share sum is a window (the reference joins the frame to its own
-    aggregate) and must round to 1 at 3 digits; then the event key is built."""
-    ev = Window.partitionBy(*EVENT_KEYS)
-    return (
-        share_filters(df)
-        .withColumn("sum", F.sum("proportion").over(ev))
-        .filter(rsem.near("sum", 1.0, SUM_DIGITS))
-        .withColumn("event_id", rsem.paste_key(*EVENT_KEYS))
-    )
+    As in the reference, the items are inner-joined to their own per-event
+    aggregate (which carries ``sum``), keeping events whose share sum rounds to
+    1 at 3 digits. The aggregate is pre-summed on every mapper and has one row
+    per event, so a hot event is never gathered into one task: the join is a
+    broadcast when the event table is small, or a sort-merge join whose skewed
+    item partitions AQE splits."""
+    from auditspark.operators.joins import null_safe_join
+
+    items = share_filters(df)
+    sums = (items.groupBy(*EVENT_KEYS).agg(F.sum("proportion").alias("sum"))
+            .filter(rsem.near("sum", 1.0, SUM_DIGITS)))
+    kept = null_safe_join(items, sums, EVENT_KEYS, "inner")
+    return kept.withColumn("event_id", rsem.paste_key(*EVENT_KEYS))
 
 
 def with_dims(df: DataFrame, t: Tables) -> DataFrame:

@@ -110,3 +110,22 @@ def test_top_with_ties_and_dense_index(spark):
     assert sorted(r.k for r in ordered.top_with_ties(df, "v", 2).collect()) == [0, 1, 2]
     idx = {r.v: r.idx for r in ordered.dense_index(df, ["v"], parts=3).collect()}
     assert idx == {2.0: 1, 3.0: 2, 4.0: 3, 5.0: 4}
+
+
+def test_exact_quantiles_type7(spark):
+    import numpy as np
+
+    vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 5.0, 3.0, 5.0]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double").repartition(4)
+    q = aggregates.exact_quantiles(df, "x", [0.025, 0.25, 0.5, 0.75, 0.975, 1.0]).first()
+    want = np.quantile(vals, [0.025, 0.25, 0.5, 0.75, 0.975, 1.0])
+    assert np.allclose(list(q), want)
+
+
+def test_exact_quantiles_hot_value(spark):
+    import numpy as np
+
+    vals = [0.0] * 40 + [float(i) for i in range(1, 61)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(3)
+    q = aggregates.exact_quantiles(df, "x", [0.1, 0.4, 0.41, 0.5, 0.99]).first()
+    assert np.allclose(list(q), np.quantile(vals, [0.1, 0.4, 0.41, 0.5, 0.99]))
