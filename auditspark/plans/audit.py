@@ -38,12 +38,15 @@ EVENT_KEYS = ["submission_type", "submission_id", "year"]
 
 
 def events_table(t: Tables) -> DataFrame:
-    """The events (audits): one row per order with its declared item total.
-
-    The total is a grouped sum of ``lineitem`` (partial aggregate on every
-    mapper, so an order holding a third of all lines is pre-summed before the
-    shuffle) joined 1:1 to ``orders``."""
-    totals = (t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("_q"))
+    """The events (audits): one row per order with its declared item total and
+    the sum of the item shares that pass the item rules (positive counts).
+
+    Both come from one grouped pass over ``lineitem`` (partial aggregate on
+    every mapper, so an order holding a third of all lines is pre-summed before
+    the shuffle), joined 1:1 to ``orders``."""
+    q = F.col("l_quantity")
+    totals = (t.lineitem.groupBy("l_orderkey")
+              .agg(F.sum(q).alias("_q"), F.sum(F.when(q.cast("bigint") > 0, q.cast("bigint"))).alias("_qpos"))
               .withColumnRenamed("l_orderkey", "_ok"))
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     return o.join(totals, o.o_orderkey == totals._ok).select(
@@ -52,6 +55,7 @@ def events_table(t: Tables) -> DataFrame:
         F.year("o_orderdate").alias("year"),
         "o_custkey", "o_orderstatus",
         (F.col("_q").cast("bigint") + F.col("o_orderkey") % 2).alias("event_total_count"),
+        "_qpos",
     )
 
 
@@ -59,15 +63,19 @@ def audit_base(t: Tables) -> DataFrame:
     """Items joined to their events (J1). The event side has one row per key,
     so AQE broadcasts it when it is small and otherwise splits the skewed item
     partitions of a hot event across tasks."""
+    return _items_of(t, events_table(t).drop("_qpos"))
+
+
+def _items_of(t: Tables, ev: DataFrame) -> DataFrame:
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
-    ev = events_table(t)
     x = li.join(ev, li.l_orderkey == ev.submission_id, "inner")
     return x.select(
         "submission_type", "submission_id", "year", "l_partkey", "o_custkey", "o_orderstatus",
         F.lower("l_returnflag").alias("type_material"),
         F.lower("l_linestatus").alias("layer"),
         F.col("l_quantity").cast("bigint").alias("total_count"),
-        "event_total_count",
+        *[c for c in ev.columns if c not in ("submission_type", "submission_id", "year", "o_custkey",
+                                              "o_orderstatus")],
     )
 
 
@@ -146,8 +154,21 @@ def audit_items(t: Tables) -> DataFrame:
 
 
 def clean_items(t: Tables) -> DataFrame:
-    """Items that pass L1 (``joined_clean`` of the reference), with attributes."""
-    return with_dims(plausible(audit_base(t)), t)
+    """Items that pass L1 (``joined_clean`` of the reference), with attributes.
+
+    In this view the share sum of an event is an event-level quantity - the
+    positive item counts over the declared total - so it comes from the same
+    ``lineitem`` aggregate as the total: the event rules (total > 2, year, sum
+    rounds to 1) filter the events first and the items join only the events
+    that pass, one join instead of the generic aggregate-and-join-back of
+    ``plausible``. Same rows, same ``sum`` (up to summation order)."""
+    ev = events_table(t)
+    total = F.col("event_total_count")
+    ev = (ev.filter(total > 2).filter(rsem.not_in("year", BAD_YEARS))
+          .withColumn("sum", F.try_divide(F.col("_qpos").cast("double"), total.cast("double")))
+          .filter(rsem.near("sum", 1.0, SUM_DIGITS)).drop("_qpos"))
+    items = share_filters(_items_of(t, ev)).withColumn("event_id", rsem.paste_key(*EVENT_KEYS))
+    return with_dims(items, t)
 
 
 # ---------------------------------------------------------------------------
