@@ -20,6 +20,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def column_range(df, first: str, last: str) -> list[str]:
+    """dplyr's positional selection ``first:last`` - the columns from
+    ``first`` to ``last`` inclusive, in frame order."""
+    cols = df.columns
+    i, j = cols.index(first), cols.index(last)
+    return cols[i:j + 1] if i <= j else cols[j:i + 1][::-1]
+
+
 def r_ifelse(cond: Column, yes, no) -> Column:
     """``ifelse(NA, a, b)`` is NA, unlike ``when`` which falls through."""
     yes = yes if isinstance(yes, Column) else F.lit(yes)

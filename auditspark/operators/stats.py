@@ -169,3 +169,24 @@ def histogram(df: DataFrame, value: Column, breaks: list[float] | None = None) -
         "bin int, lower double, upper double")
     return (edges.join(counts, "bin", "left")
             .select("bin", "lower", "upper", F.coalesce("count", F.lit(0)).alias("count")))
+
+
+def confidence_band(df: DataFrame, fit: DataFrame, y: Column, x: Column, group: str | None = None,
+                    level: float = 0.95) -> DataFrame:
+    """``geom_smooth(method = "lm")``'s band as a table - at every distinct
+    x of a group, the fitted value and fitted +/- t(level, n - 2) * s *
+    sqrt(1/n + (x - mean x)^2 / Sxx). The fit rows (one per group) join the
+    points on the group key; the t quantile is a pandas UDF over the fit rows."""
+    from auditspark.functions.tdist import t_quantile_col
+
+    gcols = [group] if group else []
+    f = fit.select(*gcols, F.col("slope").alias("_b"), F.col("intercept").alias("_a"),
+                   F.col("sigma").alias("_s"), F.col("n").alias("_n"), F.col("mean_x").alias("_mx"),
+                   F.col("sxx").alias("_sxx"),
+                   t_quantile_col(0.5 + level / 2.0, F.col("df")).alias("_t"))
+    pts = df.select(*gcols, x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x")).distinct()
+    j = pts.join(f, gcols) if gcols else attach_scalar(pts, f)
+    fitted = F.col("_a") + F.col("_b") * F.col("x")
+    se = F.col("_s") * F.sqrt(1.0 / F.col("_n") + (F.col("x") - F.col("_mx")) ** 2 / F.col("_sxx"))
+    return j.select(*gcols, "x", fitted.alias("fitted"), (fitted - F.col("_t") * se).alias("lower"),
+                    (fitted + F.col("_t") * se).alias("upper"), F.col("_t").alias("t_crit"))

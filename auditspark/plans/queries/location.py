@@ -47,7 +47,7 @@ def best_location(items: DataFrame, gaz: DataFrame) -> DataFrame:
     null-safe 4-key left join to the gazetteer, the most specific coordinate
     (city, then state, then country; latitude and longitude independently) and
     the level that supplied it."""
-    x = items.withColumns({c: rsem.strip_token(c) for c in LOC_KEYS})
+    x = items.withColumns({c: rsem.strip_token(c) for c in rsem.column_range(items, "city", "continent")})
     j = joins.null_safe_join(x, gaz, LOC_KEYS, "left")
     lon = F.coalesce("longitude_specific", "longitude_state", "longitude_country")
     lat = F.coalesce("latitude_specific", "latitude_state", "latitude_country")

@@ -83,6 +83,33 @@ def event_list(items: DataFrame) -> DataFrame:
 _EL_SQL = ("el", f"SELECT DISTINCT {', '.join(_EVENT_LIST)} FROM clean")
 
 
+@query("event_list", audit.sql("SELECT * FROM el", _EL_SQL))
+def q_event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L6 + P8: ``event_list`` extract - one row per event with its attributes."""
+    return event_list(processed(Tables(spark, sf_dir)))
+
+
+@query("prop_id_event", audit.sql("SELECT event_id, id, round(proportion, 6) AS proportion FROM proc", _PROC_SQL))
+def q_prop_id_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L6 + P1: ``raw_prop_id_event`` extract - (event, company, share) per item."""
+    return processed(Tables(spark, sf_dir)).select("event_id", "id", F.round("proportion", 6).alias("proportion"))
+
+
+@query("stage_roundtrip", audit.sql(f"""
+SELECT {', '.join(c for c in PROCESSED_COLS if c != 'proportion')}, round(proportion, 6) AS proportion
+FROM proc""", _PROC_SQL))
+def q_stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + S6 + S10: the cleaned table written as a Parquet stage table
+    partitioned by year into the shared stage folder, and read back."""
+    import uuid
+
+    from auditspark.sources import csv as csvio
+
+    path = csvio.stage_path(spark, "raw_processed_data", uuid.uuid4().hex)
+    back = csvio.write_stage(processed(Tables(spark, sf_dir)), path, partition_by=["year"])
+    return back.select(*PROCESSED_COLS).withColumn("proportion", F.round("proportion", 6))
+
+
 @query("events_per_year", audit.sql("SELECT year, COUNT(*) AS count FROM el GROUP BY year", _EL_SQL))
 def q_events_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1/A1: number of audits per year."""

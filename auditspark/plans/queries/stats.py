@@ -152,6 +152,18 @@ def q_regression_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
                ["slope", "intercept", "r2"])
 
 
+@query("regression_band")
+def q_regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """95 % confidence band of the log-log fit per sector and for "All",
+    at every distinct size (rows-only check: DuckDB has no t quantile)."""
+    p = Tables(spark, sf_dir).part.filter((F.col("p_retailprice") > 0) & (F.col("p_size") > 0))
+    s = p.select(_sector().alias("sector"), "p_retailprice", "p_size")
+    y, x = F.log10("p_retailprice"), F.log10("p_size")
+    fit = stats.ols_with_all(s, y, x, "sector")
+    both = s.unionByName(s.withColumn("sector", F.lit("All")))
+    return stats.confidence_band(both, fit, y, x, "sector")
+
+
 @query("regression_diag", f"""
 WITH m AS ({_fit_sql('p_retailprice', 'p_size')}),
 f AS (SELECT sxy / sxx AS b, my - sxy / sxx * mx AS a, sqrt((syy - sxy / sxx * sxy) / (n - 2)) AS s,

@@ -125,3 +125,21 @@ def test_top_company_goldens(spark):
     assert top.select("parent_company_name").distinct().count() == 99
     ties = [x for x in r.values() if x["rank"] != math.floor(x["rank"])]
     assert ties, "lines 80-85 share one mean, so some ranks are averages"
+
+
+def test_t_distribution_and_band(spark, pack):
+    from auditspark.functions.tdist import t_quantile, t_two_sided_p
+
+    assert t_two_sided_p(4.688314, 32) == pytest.approx(4.9056e-05, rel=1e-4)
+    assert t_quantile(0.975, 32) == pytest.approx(2.036933, rel=1e-6)
+    assert t_quantile(0.025, 10) == pytest.approx(-2.228139, rel=1e-6)
+    y, x = F.log10("mean"), F.log10(F.col("mass") / 390700000)
+    fit = stats.ols(pack, y, x)
+    band = stats.confidence_band(pack, fit, y, x).collect()
+    f = fit.first()
+    assert len(band) == 34 or len(band) == pack.select(x).distinct().count()
+    for r in band:
+        assert r.lower < r.fitted < r.upper
+        assert r.t_crit == pytest.approx(2.036933, rel=1e-6)
+    centre = min(band, key=lambda r: abs(r.x - f.mean_x))
+    assert centre.upper - centre.fitted == pytest.approx(2.036933 * f.sigma * (1 / 34) ** 0.5, rel=1e-2)
