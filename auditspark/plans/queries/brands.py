@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.functions import rsem
-from auditspark.operators import aggregates, resolve
+from auditspark.operators import aggregates, joins, resolve
 from auditspark.plans import audit
+from auditspark.plans.queries.attribution import _SHARES_SQL
 from auditspark.plans.registry import query
 from auditspark.sources.tables import Tables
 
@@ -276,3 +277,69 @@ def q_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"))
     return resolve.pseudonymize(c, ["c_acctbal"], ["c_name", "c_mktsegment"]).select(
         "c_custkey", "c_nationkey", "c_name", "c_mktsegment")
+
+
+def _company_labels(t: Tables) -> DataFrame:
+    """Entity labels for company ids, known for two of every three companies."""
+    brand_no = F.substring("p_brand", 7, 8).cast("int")
+    return (t.part.select(F.concat(F.lit("q"), (brand_no + 100).cast("string")).alias("id"),
+                          F.concat(F.lit("company "), brand_no.cast("string")).alias("name"), brand_no.alias("_b"))
+            .filter(F.col("_b") % 3 != 0).drop("_b").distinct())
+
+
+@query("label_overlay", audit.sql("""
+SELECT p.id, COALESCE(l.name, p.parent_company_name) AS parent_company_name, COUNT(*) AS n
+FROM clean p LEFT JOIN (
+  SELECT DISTINCT 'q' || CAST(CAST(substr(p_brand, 7, 8) AS INTEGER) + 100 AS VARCHAR) AS id,
+         'company ' || CAST(CAST(substr(p_brand, 7, 8) AS INTEGER) AS VARCHAR) AS name
+  FROM part WHERE CAST(substr(p_brand, 7, 8) AS INTEGER) % 3 <> 0) l ON p.id = l.id
+GROUP BY p.id, COALESCE(l.name, p.parent_company_name)"""))
+def q_label_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J12 (+ J4): entity labels left-joined on id replace the company name
+    where a label exists (``ifelse(!is.na(name), name, parent_company_name)``)."""
+    t = Tables(spark, sf_dir)
+    o = resolve.overlay_labels(processed(t), _company_labels(t))
+    return aggregates.count_rows(o, ["id", "parent_company_name"], "n")
+
+
+_TOP_SQL = (
+    ("top100", """
+    SELECT id, mean FROM (SELECT id, mean, rank() OVER (ORDER BY round(mean, 10) DESC) AS r FROM means)
+    WHERE r <= 100"""),
+    ("named", """
+    SELECT DISTINCT b.parent_company_name, t.id, t.mean FROM top100 t LEFT JOIN bc b ON t.id = b.id"""),
+)
+
+
+def _top_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditspark.operators import ordered
+    from auditspark.plans.queries.attribution import company_means
+
+    m = company_means(spark, sf_dir).withColumn("_mk", F.round("mean", 10))
+    top = ordered.top_with_ties(m, "_mk", 100).select("id", "mean")
+    bc = _bc(spark, sf_dir).select("id", "parent_company_name")
+    return joins.null_safe_join(top, bc, ["id"], "left").select("parent_company_name", "id", "mean").distinct()
+
+
+@query("top_named", audit.sql("""
+SELECT parent_company_name, id, round(mean, 6) AS mean FROM named""",
+                               *_SHARES_SQL, *_BC_SQL, *_TOP_SQL))
+def q_top_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2 + O5 + J4: the 100 largest companies (ties kept) labelled with the
+    brand table's names, distinct (name, id, mean) - ``small_brand_name``."""
+    return _top_named(spark, sf_dir).withColumn("mean", F.round("mean", 6))
+
+
+@query("top_above_floor", audit.sql(r"""
+SELECT array_to_string(list_transform(regexp_extract_all(COALESCE(parent_company_name, id),
+         '([\p{L}\p{N}''’]+|[^\p{L}\p{N}''’]+)', 1), lambda x: upper(x[1]) || lower(x[2:])), '') AS company,
+       id, round(mean * 100, 6) AS mean_percent
+FROM named WHERE mean > 0.01""", *_SHARES_SQL, *_BC_SQL, *_TOP_SQL))
+def q_top_above_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O6 + F7 + C7: named top companies above a mean share of 1 %, title-cased,
+    as percent (the data behind the company chart)."""
+    from auditspark.functions import rsem
+
+    t = _top_named(spark, sf_dir).filter(F.col("mean") > 0.01)
+    return t.select(rsem.title_case(F.coalesce("parent_company_name", "id")).alias("company"), "id",
+                    F.round(F.col("mean") * 100, 6).alias("mean_percent"))
