@@ -9,8 +9,9 @@ company has one value per event, so replicate b of company c is
 
 where ``w[b, e]`` is how often event e is drawn in replicate b. Events where the
 company is absent add 0, so the sum runs over the sparse (event, company)
-rows only. The draws are one distributed table of B x N rows keyed by a hash of
-(seed, b, j): reproducible on any partitioning, and identical in DuckDB's SQL.
+rows only. The draws are one distributed table of B x N rows keyed by an integer
+hash of (seed, b, j): reproducible on any partitioning, and identical in DuckDB's
+SQL.
 
 A company that misses every drawn event of a replicate has no row for it; its
 mean there is 0. Instead of densifying companies x replicates, the quantile is
@@ -32,14 +33,31 @@ SEED = 3437
 PROBS = (0.025, 0.975)
 
 
-def draw_index(seed: int, b, j, n) -> F.Column:
-    """Index (1..n) of the j-th draw of replicate b: a hash of "seed_b_j".
+# The 32-bit integer mixer used to hash (seed, b, j) - multiply
+# constant, shift and mask - and the two primes that combine the three inputs.
+MIX_MULT = 0x45D9F3B
+MIX_SHIFT = 16
+MASK32 = 0xFFFFFFFF
+COMBINE_A = 1000003
+COMBINE_B = 1000033
+
+
+def mix32(x: F.Column) -> F.Column:
+    """Avalanche mix of a value in [0, 2^32): two rounds of xor-shift and
+    multiply, then a final xor-shift. Every product stays below 2^59, so the
+    arithmetic is exact in BIGINT on Spark (ANSI) and DuckDB alike."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, MIX_SHIFT)) * F.lit(MIX_MULT)).bitwiseAND(F.lit(MASK32))
+    return x.bitwiseXOR(F.shiftright(x, MIX_SHIFT))
 
-    The first 8 hex digits of the MD5 give a uniform 32-bit integer; DuckDB
-    computes the same value with ``CAST('0x' || substr(md5(..), 1, 8) AS BIGINT)``."""
-    key = F.concat(F.lit(f"{seed}_"), b.cast("string"), F.lit("_"), j.cast("string"))
-    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return (h % n + 1).cast("bigint")
+
+def draw_index(seed: int, b, j, n) -> F.Column:
+    """Index (1..n) of the j-th draw of replicate b: ``mix32`` of the combined
+    (seed, b, j) modulo n. Pure integer arithmetic inside generated code, the
+    same value in DuckDB's SQL (``xor``, ``>>``, ``&``)."""
+    key = ((F.lit(seed).cast("bigint") * COMBINE_A + b.cast("bigint")) % F.lit(MASK32 + 1) * COMBINE_B
+           + j.cast("bigint")) % F.lit(MASK32 + 1)
+    return (mix32(key) % n + 1).cast("bigint")
 
 
 # Draw slots per task when generating the B x N draws.

@@ -156,9 +156,12 @@ def _boot_sql(values_cte: str, value_col: str, grouped: bool) -> tuple[tuple[str
     SELECT event_id, row_number() OVER (ORDER BY event_id) AS idx FROM (SELECT DISTINCT event_id FROM bvals)"""),
         ("nn", "SELECT COUNT(*) AS n FROM ev_idx"),
         ("draws", """
-    SELECT t.b, (CAST('0x' || substr(md5('3437_' || CAST(t.b AS VARCHAR) || '_' || CAST(e.idx AS VARCHAR)), 1, 8)
-                 AS BIGINT) % nn.n) + 1 AS idx
-    FROM range(1, 101) t(b), ev_idx e, nn"""),
+    SELECT t.b, (m3 % nn.n) + 1 AS idx FROM (
+      SELECT b, xor(m2, m2 >> 16) AS m3 FROM (
+        SELECT b, (xor(m1, m1 >> 16) * 73244475) & 4294967295 AS m2 FROM (
+          SELECT b, (xor(k, k >> 16) * 73244475) & 4294967295 AS m1 FROM (
+            SELECT t.b, ((CAST(3437 AS BIGINT) * 1000003 + t.b) % 4294967296 * 1000033 + e.idx) % 4294967296 AS k
+            FROM range(1, 101) t(b), ev_idx e)))) t, nn"""),
         ("w", "SELECT b, idx, COUNT(*) AS w FROM draws GROUP BY b, idx"),
         ("reps", f"""
     SELECT {g}w.b, SUM(w.w * v.{value_col}) / MAX(nn.n) AS m

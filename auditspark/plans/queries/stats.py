@@ -92,7 +92,7 @@ _FIT_DOUBLES = [c for c in _FIT_OUT if c not in ("n", "df")]
 def _fit_sql(y: str, x: str, extra: str = "", src: str = "part", group: str = "") -> str:
     g = f"{group}, " if group else ""
     return f"""
-    SELECT {g}{extra}regr_count({y}, {x}) AS n, regr_avgx({y}, {x}) AS mx, regr_avgy({y}, {x}) AS my,
+    SELECT {g}{extra}CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_avgx({y}, {x}) AS mx, regr_avgy({y}, {x}) AS my,
            regr_sxx({y}, {x}) AS sxx, regr_syy({y}, {x}) AS syy, regr_sxy({y}, {x}) AS sxy FROM {src}"""
 
 
