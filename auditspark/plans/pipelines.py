@@ -25,8 +25,9 @@ EVENT_KEYS = ["submission_type", "submission_id", "year"]
 
 def ingest(items: DataFrame, events: DataFrame, brand_key: DataFrame) -> DataFrame:
     """L1 (``joined_clean``): items joined to their outdoor events on the
-    shared submission keys, brand key attached, then the plausibility rules and
-    the sum-to-one filter, with the event id built and ``file_name`` dropped."""
+    shared submission keys (J1, P3 rename, F4 equality filter), brand key
+    attached (J4), then the plausibility rules and the sum-to-one filter, with
+    the event id built and ``file_name`` dropped (P2)."""
     ev = (events.withColumnRenamed("total_count", "event_total_count")
           .filter(F.col("type_of_audit") == "Outdoor"))
     joined = joins.null_safe_join(items, ev, EVENT_KEYS, "inner")
