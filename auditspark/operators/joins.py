@@ -88,6 +88,8 @@ def override_union(base: DataFrame, overrides: list[DataFrame], key: str,
     the override keys (NA keys included, as ``%in%`` matches NA); the lists are
     then appended by name with missing columns as NULL, tagged with their source
     rank (0 = base) so a later first-per-key keeps R's row order."""
+    if not overrides:
+        return base.withColumn(rank_col, F.lit(0))
     keys = reduce(lambda a, b: a.unionByName(b), [o.select(key) for o in overrides]).distinct()
     kept = null_safe_join(base, keys, [key], "left_anti").withColumn(rank_col, F.lit(0))
     parts = [kept] + [o.withColumn(rank_col, F.lit(i + 1)) for i, o in enumerate(overrides)]

@@ -85,3 +85,45 @@ def attribute(processed: DataFrame, replicates: int = bootstrap.REPLICATES) -> D
     ci = bootstrap.boot_mean_ci(sh, "event_id", "id", "proportion", replicates=replicates)
     ci = ci.withColumn("_mk", F.round("mean", 10))
     return ordered.rank_desc_avg_ties(ci, "_mk", "id", sum_col="mean").drop("_mk", "row_pos")
+
+
+# Columns dropped before duplicate rows are collapsed.
+ENRICH_DROP = ["row_id", "X", "sum", "parent_company_name_old", "parent_company", "name",
+               "latitude_specific", "longitude_specific", "latitude_country", "longitude_country",
+               "latitude_state", "longitude_state"]
+
+
+def enrich(df: DataFrame, locations: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """L4 (``raw_processed_data``): brands with conflicting statuses demoted to
+    "false" (A8, A10), ``volunteer`` as integer, the "null" token deleted from
+    city..continent (C4, P6), the gazetteer joined on the four location keys
+    with the most specific coordinate and its level (J5, C18, C19), entity
+    labels overlaid on the company (J12), audit dates parsed (C10), time spent
+    cast with zero as NA (C25), helper columns dropped, duplicate rows collapsed
+    with the share recomputed (A5), "null"/"" text as NA (C20, P7), and the
+    country spelling fix for Korea (C24)."""
+    from auditspark.operators import aggregates
+    from auditspark.plans.queries.location import best_location
+
+    x = aggregates.demote_conflicts(df, aggregates.status_conflicts(df))
+    if "volunteer" in x.columns:
+        x = x.withColumn("volunteer", rsem.as_integer("volunteer"))
+    x = best_location(x, locations)
+    if labels is not None:
+        x = x.join(labels.select("id", "name"), "id", "left") \
+             .withColumn("parent_company_name", F.coalesce("name", "parent_company_name"))
+    for c in ("start_of_audit", "end_of_audit"):
+        if c in x.columns:
+            x = x.withColumn(c, rsem.as_date(c))
+    if "time_spent" in x.columns:
+        t = rsem.as_numeric("time_spent")
+        x = x.withColumn("time_spent", F.when(t == 0, F.lit(None)).otherwise(t))
+    x = x.drop(*[c for c in ENRICH_DROP if c in x.columns])
+    x = aggregates.collapse_duplicates(x)
+    strings = [f.name for f in x.schema.fields if f.dataType.typeName() == "string"]
+    x = x.withColumns({c: rsem.sentinel_null(c) for c in strings})
+    if "time_spent" in x.columns:
+        x = x.drop("time_spent")
+    if "country" in x.columns:
+        x = x.withColumn("country", recode.recode("country", {"korea": recode.COUNTRY_FIXES["korea"]}))
+    return x

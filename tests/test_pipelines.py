@@ -71,3 +71,29 @@ def test_stream_ingest_matches_batch(spark):
     q.awaitTermination(120)
     out = spark.read.parquet(f"{d}/out")
     assert out.count() == pipelines.ingest(items, events, key).count()
+
+
+def test_enrich_collapses_and_locates(spark):
+    from pyspark.sql import functions as F
+
+    items, events, key = _fixture(spark)
+    clean = pipelines.ingest(items, events, key)
+    validated = spark.createDataFrame([("coke", "Coca Cola", "q3295867", "TRUE", 1)],
+                                      "brand_name string, parent_company_name string, id string, "
+                                      "validated string, row_idx int")
+    norm = pipelines.normalize(pipelines.resolve_brands(validated, [], clean))
+    # a duplicate item row that must be merged by the collapse step
+    norm = norm.unionByName(norm.filter("brand_name = 'coke'"))
+    locations = spark.createDataFrame(
+        [("x", "y", "united kingdom of great britain & northern ireland", "europe", None, None, 51.5, -0.1, 54.0, -2.0)],
+        "city string, province string, country string, continent string, latitude_specific double, "
+        "longitude_specific double, latitude_state double, longitude_state double, latitude_country double, "
+        "longitude_country double")
+    labels = spark.createDataFrame([("q3295867", "the coca-cola company")], "id string, name string")
+    out = {r.brand_name: r for r in pipelines.enrich(norm, locations, labels).collect()}
+    coke = out["coke"]
+    assert coke.total_count == 6 and abs(coke.proportion - 0.75) < 1e-12
+    assert coke.parent_company_name == "the coca-cola company"
+    assert (coke.latitude_most_specific, coke.location_specificity) == (51.5, "state")
+    assert out["lays"].parent_company_name == "lays"  # company "NULL" falls back to the brand
+    assert "parent_company_name_old" not in coke.asDict() and "row_id" not in coke.asDict()
