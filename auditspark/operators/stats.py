@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from auditspark.operators.ordered import attach_scalar
 
-FIT_COLS = ["n", "slope", "intercept", "r2", "adj_r2", "sigma", "se_slope", "se_intercept",
-            "t_slope", "t_intercept", "f_stat", "df"]
-
-
 def ols_moments(y: Column, x: Column) -> list[Column]:
     return [
         F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("_mx"), F.regr_avgy(y, x).alias("_my"),

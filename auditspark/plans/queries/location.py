@@ -12,7 +12,6 @@ from auditspark.plans.registry import query
 from auditspark.sources.tables import Tables
 
 LOC_KEYS = ["city", "province", "country", "continent"]
-LEVELS = [("specific", "city"), ("state", "state"), ("country", "country")]
 
 
 def gazetteer(t: Tables) -> DataFrame:

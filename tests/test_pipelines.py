@@ -74,8 +74,6 @@ def test_stream_ingest_matches_batch(spark):
 
 
 def test_enrich_collapses_and_locates(spark):
-    from pyspark.sql import functions as F
-
     items, events, key = _fixture(spark)
     clean = pipelines.ingest(items, events, key)
     validated = spark.createDataFrame([("coke", "Coca Cola", "q3295867", "TRUE", 1)],
