@@ -18,12 +18,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or max(8, 2 * cpus)
     builder = (
         SparkSession.builder.master(master).appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -31,6 +29,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("AUDITSPARK_DRIVER_MEMORY", "16g"))
     )
+    if shuffle_partitions or master.startswith("local"):
+        # One shuffle partition per local core; on a cluster the cluster's own
+        # setting (sized to the data) is kept.
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
