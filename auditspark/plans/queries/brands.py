@@ -280,11 +280,12 @@ def q_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _company_labels(t: Tables) -> DataFrame:
-    """Entity labels for company ids, known for two of every three companies."""
+    """Entity labels for company ids: a label is known for the companies that
+    own a large promotional part, so some companies have none."""
     brand_no = F.substring("p_brand", 7, 8).cast("int")
-    return (t.part.select(F.concat(F.lit("q"), (brand_no + 100).cast("string")).alias("id"),
-                          F.concat(F.lit("company "), brand_no.cast("string")).alias("name"), brand_no.alias("_b"))
-            .filter(F.col("_b") % 3 != 0).drop("_b").distinct())
+    known = t.part.filter((F.col("p_type") == "PROMO") & (F.col("p_size") > 45))
+    return known.select(F.concat(F.lit("q"), (brand_no + 100).cast("string")).alias("id"),
+                        F.concat(F.lit("company "), brand_no.cast("string")).alias("name")).distinct()
 
 
 @query("label_overlay", audit.sql("""
@@ -292,7 +293,7 @@ SELECT p.id, COALESCE(l.name, p.parent_company_name) AS parent_company_name, COU
 FROM clean p LEFT JOIN (
   SELECT DISTINCT 'q' || CAST(CAST(substr(p_brand, 7, 8) AS INTEGER) + 100 AS VARCHAR) AS id,
          'company ' || CAST(CAST(substr(p_brand, 7, 8) AS INTEGER) AS VARCHAR) AS name
-  FROM part WHERE CAST(substr(p_brand, 7, 8) AS INTEGER) % 3 <> 0) l ON p.id = l.id
+  FROM part WHERE p_type = 'PROMO' AND p_size > 45) l ON p.id = l.id
 GROUP BY p.id, COALESCE(l.name, p.parent_company_name)"""))
 def q_label_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J12 (+ J4): entity labels left-joined on id replace the company name
