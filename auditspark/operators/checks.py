@@ -91,33 +91,37 @@ def check_rows(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return rows.select("rule", _status(F.col("n_bad"), F.col("n_unknown")).alias("status"), "n_bad", "n_unknown")
 
 
-def _group_rule(rule: str, bad_groups: DataFrame) -> DataFrame:
-    n = bad_groups.agg(F.count(F.lit(1)).alias("n_bad"))
-    return n.select(F.lit(rule).alias("rule"), _status(F.col("n_bad"), F.lit(0)).alias("status"),
-                    "n_bad", F.lit(0).cast("bigint").alias("n_unknown"))
+def _counted(df: DataFrame, named: list[tuple[str, F.Column]]) -> DataFrame:
+    """One aggregate over ``df`` counting the rows that break each named rule,
+    unpivoted to (rule, status, n_bad, n_unknown)."""
+    one = df.agg(*[F.count_if(bad).alias(f"g{i}") for i, (_, bad) in enumerate(named)])
+    structs = [F.struct(F.lit(r).alias("rule"), F.col(f"g{i}").alias("n_bad")) for i, (r, _) in enumerate(named)]
+    rows = one.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    return rows.select("rule", _status(F.col("n_bad"), F.lit(0)).alias("status"), "n_bad",
+                       F.lit(0).cast("bigint").alias("n_unknown"))
 
 
 def check_groups(df: DataFrame, event_col: str = "event_id") -> DataFrame:
-    """Group rules: shares per event sum to 1 (V15), no duplicate rows (V31),
-    one row per event in the event list (V8), one status per brand (V9) and one
-    id per brand (V38, a warning in the reference)."""
-    from auditspark.operators.aggregates import multi_valued
-
-    sums = df.groupBy(event_col).agg(F.sum("proportion").alias("s"))
-    v15 = sums.filter(~(F.abs(F.col("s") - 1) < 0.0005) | F.col("s").isNull())
-    dups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1)
+    """Group rules in three grouped passes: per event, the shares sum to 1
+    and the event list has one row (V8); per brand, one status (V9) and one id
+    (V38, a warning in the reference); and no duplicate rows (V31). Distinct
+    counts treat NA as a value, like ``length(unique(x))``."""
+    from auditspark.functions.rsem import n_distinct_na
+
     ev_cols = [c for c in ("event_id", "city", "province", "country", "continent", "year",
                            "specifics_of_audit", "event_total_count") if c in df.columns]
-    ev = multi_valued(df.select(F.col(event_col).alias("_e"), F.struct(*ev_cols).alias("_a")), "_e", "_a")
-    v9 = multi_valued(df, "brand_name", "validated")
-    v38 = multi_valued(df, "brand_name", "id")
-    parts = [_group_rule("V15_event_shares_sum_to_one", v15), _group_rule("V31_no_duplicate_rows", dups),
-             _group_rule("V8_event_list_unique", ev), _group_rule("V9_one_status_per_brand", v9),
-             _group_rule("V38_one_id_per_brand", v38)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ev = df.groupBy(event_col).agg(F.sum("proportion").alias("s"),
+                                   F.count_distinct(F.struct(*ev_cols)).alias("na"))
+    ev_rules = _counted(ev, [
+        ("V15_event_shares_sum_to_one", ~(F.abs(F.col("s") - 1) < 0.0005) | F.col("s").isNull()),
+        ("V8_event_list_unique", F.col("na") > 1),
+    ])
+    br = df.groupBy("brand_name").agg(n_distinct_na("validated").alias("nv"), n_distinct_na("id").alias("ni"))
+    br_rules = _counted(br, [("V9_one_status_per_brand", F.col("nv") > 1),
+                             ("V38_one_id_per_brand", F.col("ni") > 1)])
+    dups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
+    dup_rules = _counted(dups, [("V31_no_duplicate_rows", F.col("c") > 1)])
+    return ev_rules.unionByName(br_rules).unionByName(dup_rules)
 
 
 def check_all(df: DataFrame) -> DataFrame:
