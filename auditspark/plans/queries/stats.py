@@ -160,8 +160,11 @@ def q_regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = p.select(_sector().alias("sector"), "p_retailprice", "p_size")
     y, x = F.log10("p_retailprice"), F.log10("p_size")
     fit = stats.ols_with_all(s, y, x, "sector")
-    both = s.unionByName(s.withColumn("sector", F.lit("All")))
-    return stats.confidence_band(both, fit, y, x, "sector")
+    # Points of the "All" band are the distinct sizes over every sector: the
+    # distinct step runs before the relabelled copy is appended.
+    pts = s.select("sector", x.alias("_x")).distinct()
+    pts = pts.unionByName(pts.select(F.lit("All").alias("sector"), "_x").distinct())
+    return stats.confidence_band(pts, fit, F.col("_x"), F.col("_x"), "sector")
 
 
 @query("regression_diag", f"""

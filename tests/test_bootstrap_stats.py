@@ -47,6 +47,22 @@ def test_sparse_bootstrap_equals_dense_grid(spark):
         assert np.allclose(got[c], want[c], atol=1e-12), c
 
 
+def test_bootstrap_other_replicate_count(spark):
+    rng = np.random.default_rng(11)
+    p = {}
+    for e in range(23):
+        present = [c for c in "xyz" if rng.random() < 0.5] or ["x"]
+        for c in present:
+            p[(e, c)] = 1.0 / len(present)
+    df = spark.createDataFrame([(f"e{e:02d}", c, v) for (e, c), v in p.items()],
+                               "event_id string, id string, proportion double")
+    got = {r.id: (r.high, r.mean, r.low)
+           for r in bootstrap.boot_mean_ci(df, "event_id", "id", "proportion", replicates=37, seed=11).collect()}
+    want = _dense_boot(p, 23, sorted({c for (_, c) in p}), B=37, seed=11)
+    for c in want:
+        assert np.allclose(got[c], want[c], atol=1e-12), c
+
+
 def test_bootstrap_is_partitioning_independent(spark):
     rows = [(f"e{i}", "x", (i % 7) / 7.0) for i in range(50)]
     a = bootstrap.boot_mean_ci(spark.createDataFrame(rows, "event_id string, id string, proportion double")
