@@ -49,3 +49,15 @@ def test_query_runs_on_smallest_scale(spark, name):
     assert df.count() >= 0
     if name in E.oracle_sql():
         assert all(not c.startswith("_") for c in df.columns)
+
+
+def test_csv_roundtrip_equals_event_list(spark):
+    q = E.queries()
+    back = q["csv_roundtrip"](spark, SF)
+    direct = q["event_list"](spark, SF).select(*back.columns)
+    assert back.exceptAll(direct).count() == 0 and direct.exceptAll(back).count() == 0
+
+
+def test_type_checks_all_pass(spark):
+    rows = E.queries()["type_checks"](spark, SF).collect()
+    assert rows and all(r.ok for r in rows), [r for r in rows if not r.ok]
