@@ -128,10 +128,6 @@ def q_events_per_country(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("country", rsem.title_case("country").alias("country_title"), "count"))
 
 
-def _metric(name: str, df: DataFrame, expr: F.Column) -> DataFrame:
-    return df.agg(expr.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-
 @query("report_metrics", audit.sql("""
 SELECT 'total_items' AS metric, CAST(SUM(total_count) AS DOUBLE) AS value FROM proc
 UNION ALL SELECT 'branded_items', CAST(SUM(company_sum) AS DOUBLE) FROM shares
@@ -173,25 +169,29 @@ def q_report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     assessed = F.col("validated").isin("true", "attempted")
     below = (F.col("brand_total_count") <= 100) & (F.col("brand_frequency") <= 10) & assessed
     ev2 = sh.select("event_id", *shares.EVENT_ATTRS, "event_total_count_no_unbrand").distinct()
+    # One aggregate per source table; each is unpivoted to (metric, value).
     parts = [
-        _metric("total_items", proc, F.sum("total_count")),
-        _metric("branded_items", sh, F.sum("company_sum")),
-        _metric("events_before", el, F.count(F.lit(1))),
-        _metric("events_after", ev2, F.count(F.lit(1))),
-        _metric("n_countries", el, rsem.n_distinct_na("country")),
-        _metric("n_brands", proc, F.count_distinct("brand_name")),
-        _metric("n_brand_rows", bc, F.count(F.lit(1))),
-        _metric("above_threshold", bc, F.count_if(above)),
-        _metric("assessed_below_threshold", bc, F.count_if(below)),
-        _metric("assessed_minus_above", bc, F.count_if(assessed) - F.count_if(above)),
-        _metric("n_companies", sh, F.count_distinct("id")),
-        _metric("grid_events", sh, F.count_distinct("event_id")),
-        _metric("unbranded_dominated", proc,
-                F.count_if((F.col("id") == shares.UNBRANDED) & (F.col("proportion") > 0.9))),
+        _metrics(proc, {"total_items": F.sum("total_count"),
+                        "n_brands": F.count_distinct("brand_name"),
+                        "unbranded_dominated": F.count_if((F.col("id") == shares.UNBRANDED)
+                                                          & (F.col("proportion") > 0.9))}),
+        _metrics(sh, {"branded_items": F.sum("company_sum"), "n_companies": F.count_distinct("id"),
+                      "grid_events": F.count_distinct("event_id")}),
+        _metrics(el, {"events_before": F.count(F.lit(1)), "n_countries": rsem.n_distinct_na("country")}),
+        _metrics(ev2, {"events_after": F.count(F.lit(1))}),
+        _metrics(bc, {"n_brand_rows": F.count(F.lit(1)), "above_threshold": F.count_if(above),
+                      "assessed_below_threshold": F.count_if(below),
+                      "assessed_minus_above": F.count_if(assessed) - F.count_if(above)}),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _metrics(df: DataFrame, named: dict[str, F.Column]) -> DataFrame:
+    """Several metrics of one table in one aggregate, as (metric, value) rows."""
+    one = df.agg(*[e.cast("double").alias(n) for n, e in named.items()])
+    return one.unpivot([], list(named), "metric", "value")
+
+
 @query("csv_roundtrip")
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + S2 + S5: write the event list as CSV (``fwrite``) into the shared
