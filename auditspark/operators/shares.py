@@ -21,28 +21,24 @@ EVENT_ATTRS = ["city", "province", "country", "continent", "year", "specifics_of
 
 def event_company_shares(items: DataFrame, event_col: str = "event_id", id_col: str = "id",
                          count_col: str = "total_count", attrs: list[str] | None = None,
-                         drop_ids: tuple[str, ...] = (UNBRANDED,),
-                         partition_key: str | None = None) -> DataFrame:
+                         drop_ids: tuple[str, ...] = (UNBRANDED,)) -> DataFrame:
     """Per (event, company) item sum and share of the event's branded total.
 
     Output: event, id, attrs..., company_sum, event_total_count_no_unbrand,
-    proportion. ``partition_key`` names a column the event key is a function of
-    (the submission id): grouping and the event-total window then also carry
-    it, so both are satisfied by an input already hash-partitioned on it (no
-    shuffle), or share one shuffle on it."""
+    proportion. The grouping is a partial aggregate; the event total is a window
+    over the aggregated rows, so a partition of it holds at most one row per
+    company of an event, however many items the event has."""
     attrs = EVENT_ATTRS if attrs is None else attrs
     x = items
     if drop_ids:
         x = x.filter(~F.col(id_col).isin(list(drop_ids)))
-    lead = [partition_key] if partition_key else []
-    per_event = Window.partitionBy(*lead, event_col)
-    out = (
-        x.groupBy(*lead, event_col, id_col, *attrs)
+    per_event = Window.partitionBy(event_col)
+    return (
+        x.groupBy(event_col, id_col, *attrs)
         .agg(F.sum(count_col).alias("company_sum"))
         .withColumn("event_total_count_no_unbrand", F.sum("company_sum").over(per_event))
         .withColumn("proportion", F.col("company_sum") / F.col("event_total_count_no_unbrand"))
     )
-    return out.drop(partition_key) if partition_key and partition_key not in attrs else out
 
 
 def n_distinct(df: DataFrame, col_name: str, alias: str = "n_events") -> DataFrame:
