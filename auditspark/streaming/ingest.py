@@ -4,8 +4,9 @@ The reference has no stream: it re-reads every submission file each run. When
 new item files keep arriving, Structured Streaming picks up only the new files
 and ``foreachBatch`` runs the same batch L1 step on each micro-batch. The sum-
 to-one rule needs every item of an audit, and one submission file holds whole
-audits, so a micro-batch never splits an audit. Output is appended to a Parquet
-stage table; the checkpoint location makes the stream restart where it left.
+audits, so a micro-batch never splits an audit. Each micro-batch is written to
+its own partition of a Parquet stage table (overwritten if the batch is retried);
+the checkpoint location makes the stream restart where it left.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ def start_item_stream(spark: SparkSession, items_dir: str, items_schema: StructT
     stream = spark.readStream.format(fmt).schema(items_schema).load(items_dir)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        ingest(batch, events, brand_key).write.mode("append").parquet(out_path)
+        # One folder per micro-batch, overwritten on a retry: a batch that is
+        # re-run after a failure replaces its partial output instead of adding
+        # to it. Readers see the ``epoch`` partition column.
+        ingest(batch, events, brand_key).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     return (stream.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
