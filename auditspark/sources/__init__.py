@@ -1,0 +1 @@
+"""Table scans (Parquet), R-compatible CSV reader profiles, sinks and stage tables."""

@@ -1,0 +1 @@
+"""Structured Streaming entry points (incremental ingest of new submission files)."""
