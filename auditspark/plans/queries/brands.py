@@ -73,10 +73,13 @@ def q_brand_company_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("string_agg_sorted", audit.sql("""
-SELECT event_id, string_agg(brand_name, ', ' ORDER BY brand_name) AS brands FROM clean GROUP BY event_id"""))
+SELECT event_id, string_agg(DISTINCT brand_name, ', ' ORDER BY brand_name) AS brands FROM clean GROUP BY event_id"""))
 def q_string_agg_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``toString(brand_name)`` per event, duplicates kept, sorted."""
-    return aggregates.to_string_agg(processed(Tables(spark, sf_dir)), ["event_id"], "brand_name", "brands")
+    """``toString(unique(brand_name))`` per event, sorted. The distinct
+    form keeps every cell bounded by the number of brands, even for an audit
+    that holds a third of all items (``keep_duplicates=True`` repeats values)."""
+    return aggregates.to_string_agg(processed(Tables(spark, sf_dir)), ["event_id"], "brand_name", "brands",
+                                    keep_duplicates=False)
 
 
 def _key_table(t: Tables) -> DataFrame:
@@ -89,27 +92,29 @@ def _key_table(t: Tables) -> DataFrame:
 
 
 def brand_key_review(key_table: DataFrame, items: DataFrame) -> DataFrame:
-    """A6 (L11): per brand the proposed names and ids string-aggregated and the
-    counts summed, then the countries the brand was found in (one entry per
-    item, as the reference's fan-out join produces), sorted."""
+    """A6 (L11): per brand the distinct proposed names and ids string-aggregated
+    and the counts summed, then the distinct countries the brand was found in, sorted.
+    The reference's fan-out join repeats a country once per item; the distinct
+    list carries the same information in a cell bounded by the number of
+    countries instead of the brand's item count."""
     names = aggregates.to_string_agg(key_table, ["brand_name"], "new_name", "parent_company_name",
-                                     order_cols=["new_name", "id"])
-    ids = aggregates.to_string_agg(key_table, ["brand_name"], "id", "id", order_cols=["new_name", "id"])
+                                     keep_duplicates=False)
+    ids = aggregates.to_string_agg(key_table, ["brand_name"], "id", "id", keep_duplicates=False)
     sums = key_table.groupBy("brand_name").agg(F.sum("sum").alias("sum"))
     k = names.join(ids, "brand_name").join(sums, "brand_name")
     countries = aggregates.to_string_agg(items.select("brand_name", "country"), ["brand_name"], "country",
-                                         "country")
+                                         "country", keep_duplicates=False)
     return k.join(countries, "brand_name", "left").withColumn(
         "country", F.coalesce(F.col("country"), F.lit("NA")))
 
 
 @query("brand_key_review", audit.sql("""
 SELECT k.brand_name, k.parent_company_name, k.id, k.sum, COALESCE(c.country, 'NA') AS country
-FROM (SELECT brand_name, string_agg(new_name, ', ' ORDER BY new_name, id) AS parent_company_name,
-             string_agg(id, ', ' ORDER BY new_name, id) AS id, CAST(SUM(sum) AS BIGINT) AS sum
+FROM (SELECT brand_name, string_agg(DISTINCT new_name, ', ' ORDER BY new_name) AS parent_company_name,
+             string_agg(DISTINCT id, ', ' ORDER BY id) AS id, CAST(SUM(sum) AS BIGINT) AS sum
       FROM keyt GROUP BY brand_name) k
-LEFT JOIN (SELECT brand_name, string_agg(COALESCE(country, 'NA'), ', ' ORDER BY country) AS country
-           FROM clean GROUP BY brand_name) c ON k.brand_name = c.brand_name""", ("keyt", """
+LEFT JOIN (SELECT brand_name, string_agg(DISTINCT COALESCE(country, 'NA'), ', ' ORDER BY COALESCE(country, 'NA'))
+             AS country FROM clean GROUP BY brand_name) c ON k.brand_name = c.brand_name""", ("keyt", """
     SELECT p_name AS brand_name, lower(p_brand) AS new_name,
            'q' || CAST(CAST(substr(p_brand, 7, 8) AS INTEGER) + 100 AS VARCHAR) AS id,
            CAST(p_size AS BIGINT) AS sum FROM part""")))
