@@ -33,6 +33,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         # One shuffle partition per local core; on a cluster the cluster's own
         # setting (sized to the data) is kept.
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+    if master.startswith("local"):
+        # A long local session runs many queries in one JVM: a frequent driver
+        # GC lets Spark's cleaner drop the shuffle files, broadcasts and
+        # checkpoints of finished queries instead of letting them pile up.
+        builder = (builder.config("spark.cleaner.periodicGC.interval", "30s")
+                   .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
