@@ -7,9 +7,9 @@ earlier ranges come from a table with one row per range (size bounded by the
 number of partitions), broadcast back. Ties are split across ranges by the
 secondary key, so one hot value cannot land in one task.
 
-The range-partitioned frame is checkpointed to the shared checkpoint folder
-before it is read twice: range bounds come from sampling, and a lost executor
-must not recompute a different partition assignment for one of the two reads.
+The range-partitioned frame is written to the shared checkpoint folder before
+it is read twice: range bounds come from sampling, and a lost executor must not
+recompute a different partition assignment for one of the two reads.
 """
 
 from __future__ import annotations
@@ -26,21 +26,31 @@ def attach_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    continue from the files.
 
     Used before a table is read by several independent passes (validation,
-    report metrics): it is computed once, and a lost executor re-reads the
-    checkpoint instead of re-running the joins upstream."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    report metrics, bootstrap input): the upstream plan runs once (one write
+    job; an eager ``checkpoint()`` would run it twice, once for the action and
+    once to save), a lost executor re-reads the files instead of re-running the
+    joins, and the planner sees the table's real size."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _range_parts(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written once to the shared checkpoint folder: the partition id is then
+    # fixed in the files, so a retried task cannot move a row to a different
+    # range between the two reads below. (The sampling pass of the range
+    # partitioner re-reads the upstream's shuffle output, which is cheap.)
     ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    return ranged.checkpoint(eager=True)
+    return materialize(ranged)
 
 
 def global_positions(df: DataFrame, order: list[Column], value_col: str | None = None,
