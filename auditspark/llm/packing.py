@@ -17,8 +17,8 @@ read, so other columns cannot clash; equal lengths are ordered by row number.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,20 +30,32 @@ from pyspark.sql import functions as F
 from auditspark.llm.common import id_and_text, stage
 
 CAPACITY = 2048
-TOKENIZER = "byte_bpe_50k.json"
+#: The vocabulary of byte_bpe_50k.json as ranks: tiktoken gives the same ids (tested), in a third of the time.
+TOKENIZER = "byte_bpe_50k.tiktoken"
 END_ID = 0
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
 @lru_cache(maxsize=2)
-def load_tokenizer(name: str):
-    """A public tokenizer by file name, or any tokenizer file by path (on every executor)."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def load_encoder(name: str) -> Callable[[str], np.ndarray]:
+    """Text to token ids, by a public tokenizer's file name or any tokenizer file's path (the same
+    on every executor). Strings of special tokens in a text are ordinary text."""
     import public_tokenizers
+
+    path = name if "/" in name else public_tokenizers.path(name)
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={}).encode_to_numpy
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -52,42 +64,25 @@ def cut(length: int, capacity: int) -> list[int]:
     return ([first] if first else []) + [capacity] * (length // capacity)
 
 
-def _batches(texts: list[str], rows: int = 32, chars: int = 200_000) -> Iterator[list[str]]:
-    """Small batches, so that the tokenizer's bulky encodings never hold much text at once."""
-    batch, size = [], 0
-    for text in texts:
-        if batch and (len(batch) >= rows or size + len(text) > chars):
-            yield batch
-            batch, size = [], 0
-        batch.append(text)
-        size += len(text)
-    if batch:
-        yield batch
-
-
 def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
                     end_id: int = END_ID) -> DataFrame:
     """One row per piece; ``ids`` holds its token ids as little-endian unsigned 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(tokenizer)
-        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        encode = load_encoder(tokenizer)
+        end = np.array([end_id], dtype="<u4")
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            at = 0
-            for texts in _batches(batch.column(1).to_pylist()):
-                rows: list[tuple] = []
-                for enc in encode(texts, add_special_tokens=False):
-                    ids = np.array([*enc.ids, end_id], dtype="<u4")
-                    start = 0
-                    for piece, n in enumerate(cut(len(ids), capacity)):
-                        rows.append((doc_ids[at], piece, start, n, ids[start:start + n].tobytes()))
-                        start += n
-                    at += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(),
-                                                                 pa.binary()))],
-                    ["doc_id", "piece", "start", "length", "ids"])
+            rows: list[tuple] = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.concatenate([encode(text).astype("<u4"), end])
+                start = 0
+                for piece, n in enumerate(cut(len(ids), capacity)):
+                    rows.append((doc_id, piece, start, n, ids[start:start + n].tobytes()))
+                    start += n
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
+                                             ["doc_id", "piece", "start", "length", "ids"])
 
     return id_and_text(docs).mapInArrow(run, PIECE_SCHEMA)
 

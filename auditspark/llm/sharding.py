@@ -90,10 +90,12 @@ def choose_splitters(table: DataFrame, total: int, shards: int, ranges: int, max
 
 def cut_line(sizes: np.ndarray, starts_text: np.ndarray, shards: int, snap: float) -> np.ndarray:
     """Shard of each range: equal shares of the bytes, cuts moved to a text's start if one is near."""
+    shard = np.zeros(len(sizes), np.int64)
+    if not len(sizes):
+        return shard
     ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
+    total = int(ends[-1])
     places = ends - sizes
-    shard = np.zeros(len(sizes), np.int64)
     whole = np.flatnonzero(starts_text)
     for s in range(1, shards):
         even = total * s / shards
