@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import checkpoint_dir
+from auditspark.llm.common import checkpoint_dir, stage
 
 #: Fixed by the contract: kinds in order, their patterns, and the least length that counts.
 BASE_KINDS = ("assign", "access", "hex")
@@ -127,7 +127,8 @@ def new_ledger(spark: SparkSession) -> str:
 def scan_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, blob and ``found`` (array of start, rank, end, rule; null if none) of every row."""
     ledger = ledger or new_ledger(docs.sparkSession)
-    by_blob = spans_by_blob(scan(docs, ledger))
+    # Written, so that the join below has a side of known size and a hot blob's rows can be split.
+    by_blob = stage(spans_by_blob(scan(docs, ledger)))
     paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_id(F.col("text")).alias("blob"))
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", "found")
 

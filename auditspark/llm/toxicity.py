@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import id_and_text, label_remainder, stage
+from auditspark.llm.common import id_and_text, label_remainder, shuffle_partitions, stage
 
 PER_CLASS = 6_000
 NEIGHBOURS = 15
@@ -273,5 +273,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
                  pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)],
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
 
+    # The counts are small files, the search is the work: deal it out evenly.
     return (counted.select("doc_id", "terms", "counts", (label_remainder("doc_id", modulus) == held).alias("held_out"))
-            .mapInArrow(run, SCORED))
+            .repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(run, SCORED))
