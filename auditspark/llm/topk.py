@@ -239,10 +239,10 @@ def search(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BL
 TOPK_SQL = f"""
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, row_number() OVER () AS r,
-         list_transform(embedding, x -> floor({SCALE} * CAST(x AS DOUBLE))) AS e
+         list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id AS vec_id,
          CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
