@@ -88,14 +88,3 @@ def t_quantile_col(p: float, dof_col) -> F.Column:
         return dof.map(lambda d: float("nan") if d is None or d <= 0 else t_quantile(p, float(d)))
 
     return _qt(dof_col.cast("double"))
-
-
-def t_pvalue_col(t_col, dof_col) -> F.Column:
-    """Column of two-sided p-values for t statistics (pandas UDF)."""
-
-    @F.pandas_udf(DoubleType())
-    def _p(t: pd.Series, dof: pd.Series) -> pd.Series:
-        return pd.Series([float("nan") if (a is None or d is None or d <= 0 or a != a)
-                          else t_two_sided_p(float(a), float(d)) for a, d in zip(t, dof)])
-
-    return _p(t_col.cast("double"), dof_col.cast("double"))

@@ -9,9 +9,12 @@ company has one value per event, so replicate b of company c is
 
 where ``w[b, e]`` is how often event e is drawn in replicate b. Events where the
 company is absent add 0, so the sum runs over the sparse (event, company)
-rows only. The draws are one distributed table of B x N rows keyed by an integer
-hash of (seed, b, j): reproducible on any partitioning, and identical in DuckDB's
-SQL.
+rows only. The draws are one distributed table of B x N rows keyed by 60
+bits of the md5 of (seed, b, j): reproducible on any partitioning, and identical in
+DuckDB's SQL. Each unit's draws are gathered into one list of replicate numbers
+(about B long), which joins the shares once; the replicate sums are then partial
+aggregates on the mappers. Replicates go in blocks of ``REPLICATE_BLOCK``, so a
+list stays short for any B.
 
 A company that misses every drawn event of a replicate has no row for it; its
 mean there is 0. Instead of densifying companies x replicates, the quantile is
@@ -33,52 +36,45 @@ SEED = 3437
 PROBS = (0.025, 0.975)
 
 
-# The 32-bit integer mixer used to hash (seed, b, j) - multiply
-# constant, shift and mask - and the two primes that combine the three inputs.
-MIX_MULT = 0x45D9F3B
-MIX_SHIFT = 16
-MASK32 = 0xFFFFFFFF
-COMBINE_A = 1000003
-COMBINE_B = 1000033
+# Hexadecimal digits of the draw hash that are used: 60 bits, so the result fits in a BIGINT and
+# any number of units can be drawn.
+HASH_DIGITS = 15
 
 
-def mix32(x: F.Column) -> F.Column:
-    """Avalanche mix of a value in [0, 2^32): two rounds of xor-shift and
-    multiply, then a final xor-shift. Every product stays below 2^59, so the
-    arithmetic is exact in BIGINT on Spark (ANSI) and DuckDB alike."""
-    for _ in range(2):
-        x = (x.bitwiseXOR(F.shiftright(x, MIX_SHIFT)) * F.lit(MIX_MULT)).bitwiseAND(F.lit(MASK32))
-    return x.bitwiseXOR(F.shiftright(x, MIX_SHIFT))
+def with_draws(df: DataFrame, seed: int, n_units: int) -> DataFrame:
+    """From (b, j): (b, idx), the index 1..N of the j-th draw of replicate b: the
+    leading bits of md5("seed:b:j") modulo N. Replicates share no state, so none
+    is a shifted copy of another however many units there are."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "b", "j")), 1, HASH_DIGITS)
+    return df.select("b", (F.conv(digits, 16, 10).cast("bigint") % F.lit(n_units) + 1).alias("idx"))
 
 
-def draw_index(seed: int, b, j, n) -> F.Column:
-    """Index (1..n) of the j-th draw of replicate b: ``mix32`` of the combined
-    (seed, b, j) modulo n. Pure integer arithmetic inside generated code, the
-    same value in DuckDB's SQL (``xor``, ``>>``, ``&``)."""
-    key = ((F.lit(seed).cast("bigint") * COMBINE_A + b.cast("bigint")) % F.lit(MASK32 + 1) * COMBINE_B
-           + j.cast("bigint")) % F.lit(MASK32 + 1)
-    return (mix32(key) % n + 1).cast("bigint")
+def draws_sql(seed: int, units: str, count: str, replicates: int = REPLICATES) -> tuple[tuple[str, str], ...]:
+    """The same draws as a DuckDB CTE ``draws`` (b, idx); ``units`` has a column idx, ``count`` one row n."""
+    return (("draws", f"SELECT t.b, CAST('0x' || substr(md5('{seed}:' || t.b || ':' || e.idx), 1, {HASH_DIGITS}) AS BIGINT) "
+                      f"% c.n + 1 AS idx FROM range(1, {replicates + 1}) t(b), {units} e, {count} c"),)
 
 
-# Draw slots per task when generating the B x N draws.
-DRAWS_PER_TASK = 1_000_000
+# Draw slots per task when generating the B x N draws, and replicates per list.
+DRAWS_PER_TASK = 2_000_000
+REPLICATE_BLOCK = 200
 
 
-def replicate_weights(spark, n_units: int, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
-    """(b, idx, w): how many times unit ``idx`` (1..N) is drawn in replicate b.
+def replicate_lists(spark, n_units: int, first: int, last: int, seed: int = SEED) -> DataFrame:
+    """(idx, bs): the replicates from ``first`` to ``last`` that draw unit ``idx`` (1..N), one entry a draw.
 
-    The B x N draw slots come from ``spark.range`` with a partition count sized
+    The draw slots come from ``spark.range`` with a partition count sized
     to the number of slots, so generation is spread evenly over the cluster no
     matter how small the unit table is (AQE would otherwise pack the units - and
-    a 100-fold explosion of them - into a handful of tasks). The counts are a
-    partial aggregate on (b, idx). Only the scalar N comes from the driver."""
-    slots = replicates * n_units
+    a 100-fold explosion of them - into a handful of tasks). The lists are begun
+    on every mapper. Only the scalar N comes from the driver."""
+    slots = (last - first + 1) * n_units
     parts = max(spark.sparkContext.defaultParallelism, -(-slots // DRAWS_PER_TASK))
     r = spark.range(0, slots, numPartitions=parts)
-    b = (F.floor(F.col("id") / n_units) + 1).cast("bigint")
-    j = (F.col("id") % n_units + 1).cast("bigint")
-    drawn = r.select(b.alias("b"), draw_index(seed, b, j, F.lit(n_units)).alias("idx"))
-    return drawn.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
+    slot = r.select((F.expr(f"id div {n_units}") + first).cast("bigint").alias("b"),
+                    (F.col("id") % n_units + 1).cast("bigint").alias("j"))
+    drawn = with_draws(slot, seed, n_units)
+    return drawn.groupBy("idx").agg(F.collect_list(F.col("b").cast("int")).alias("bs"))
 
 
 def boot_mean_ci(values: DataFrame, unit_col: str, group_col: str | None, value_col: str,
@@ -97,11 +93,14 @@ def boot_mean_ci(values: DataFrame, unit_col: str, group_col: str | None, value_
     units = dense_index(values, [unit_col], "idx")
     n_units = units.count()
     n = values.sparkSession.createDataFrame([(n_units,)], "_n bigint")
-    w = replicate_weights(values.sparkSession, n_units, replicates, seed)
     gcols = [group_col] if group_col else []
     x = values.join(units, unit_col).select(*gcols, "idx", F.col(value_col).alias("_v"))
-    reps = (x.join(w, "idx")
-            .groupBy(*gcols, "b").agg(F.sum(F.col("w") * F.col("_v")).alias("_s")))
+    reps = None
+    for first in range(1, replicates + 1, REPLICATE_BLOCK):
+        lists = replicate_lists(values.sparkSession, n_units, first, min(replicates, first + REPLICATE_BLOCK - 1), seed)
+        block = (x.join(lists, "idx").select(*gcols, "_v", F.explode("bs").alias("b"))
+                 .groupBy(*gcols, "b").agg(F.sum("_v").alias("_s")))
+        reps = block if reps is None else reps.unionByName(block)
     reps = attach_scalar(reps, n).select(*gcols, "b", (F.col("_s") / F.col("_n")).alias("_m"))
     means = attach_scalar(x.groupBy(*gcols).agg(F.sum("_v").alias("_t")), n).select(
         *gcols, (F.col("_t") / F.col("_n")).alias("mean"))

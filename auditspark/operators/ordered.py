@@ -83,13 +83,20 @@ def rank_desc_avg_ties(df: DataFrame, value_col: str, tie_col: str, sum_col: str
     running sum of ``sum_col`` (default ``value_col``) in (value desc, tie_col asc)
     order.
 
-    Output adds ``rank`` (double), ``row_pos`` and ``cumulative``."""
+    Output adds ``rank`` (double), ``row_pos`` and ``cumulative``. Rows whose value is NA
+    stay: they come last, their rank and running sum are NA, and, as in
+    ``nrow - rank(x) + 1``, they count in nrow."""
     order = [F.desc(value_col), F.asc(tie_col)]
     pos = global_positions(df, order, sum_col or value_col, parts)
-    ties = pos.groupBy(value_col).agg(F.min("row_pos").alias("_first"), F.count(F.lit(1)).alias("_nt"))
-    return (pos.join(ties, value_col)
-            .withColumn(value_alias, F.col("_first") + (F.col("_nt") - 1) / 2.0)
-            .drop("_first", "_nt"))
+    ties = (pos.groupBy(F.col(value_col).alias("_value"))
+            .agg(F.min("row_pos").alias("_first"), F.count(F.lit(1)).alias("_nt")))
+    missing = ties.agg(F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("_nt"))), F.lit(0)).alias("_na"))
+    known = F.col(value_col).isNotNull()
+    rank = F.col("_na") + F.col("_first") + (F.col("_nt") - 1) / 2.0
+    return (pos.join(attach_scalar(ties, missing), F.col(value_col).eqNullSafe(F.col("_value")))
+            .withColumn(value_alias, F.when(known, rank))
+            .withColumn("cumulative", F.when(known, F.col("cumulative")))
+            .drop("_value", "_first", "_nt", "_na"))
 
 
 def dense_index(df: DataFrame, key_cols: list[str], alias: str = "idx",
@@ -110,11 +117,16 @@ def top_with_ties(df: DataFrame, value_col: str, n: int, alias: str = "rank") ->
     """O2/O3: ``slice_max(x, n)`` / ``top_n(n, wt=x)``: every row whose
     descending ``rank()`` is at most n, ties included.
 
-    Spark plans ``rank() <= n`` with a per-partition group limit before the
-    final single sort, so only the top candidates of each partition move."""
-    w = Window.orderBy(F.desc(value_col))
-    return (df.withColumn("_rank", F.rank().over(w)).filter(F.col("_rank") <= n)
-            .withColumn(alias, F.col("_rank").cast("bigint")).drop("_rank"))
+    The rank of a value is one more than the rows above it, so only the n
+    greatest distinct values and their counts are ranked, and the rows join
+    these; a value that a third of the rows share is never gathered."""
+    top = (df.groupBy(F.col(value_col).alias("_value")).agg(F.count(F.lit(1)).alias("_nt"))
+           .orderBy(F.desc_nulls_last("_value")).limit(n))
+    above = F.sum("_nt").over(Window.orderBy(F.desc_nulls_last("_value")).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = (top.withColumn(alias, (F.coalesce(above, F.lit(0)) + 1).cast("bigint"))
+              .filter(F.col(alias) <= n).drop("_nt"))
+    # At most n rows by construction.
+    return df.join(F.broadcast(ranked), F.col(value_col).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:

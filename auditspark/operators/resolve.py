@@ -71,8 +71,10 @@ def entity_labels(ids: DataFrame, labels: DataFrame, id_col: str = "id", label_c
 
 def overlay_labels(df: DataFrame, labels: DataFrame, id_col: str = "id",
                    company: str = "parent_company_name", name_col: str = "name") -> DataFrame:
-    """``left_join(labels) |> mutate(company = ifelse(!is.na(name), name, company))``."""
-    j = df.join(labels.select(id_col, name_col), id_col, "left")
+    """J12 (an NA id matches an NA id): ``left_join(labels) |> mutate(company = ifelse(!is.na(name), name, company))``."""
+    from auditspark.operators.joins import null_safe_join
+
+    j = null_safe_join(df, labels.select(id_col, name_col), [id_col], "left")
     return j.withColumn(company, F.coalesce(F.col(name_col), F.col(company))).drop(name_col)
 
 

@@ -8,7 +8,7 @@ sparse (event, company) rows plus one scalar count, never the grid.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.operators.ordered import attach_scalar
@@ -25,20 +25,18 @@ def event_company_shares(items: DataFrame, event_col: str = "event_id", id_col:
     """Per (event, company) item sum and share of the event's branded total.
 
     Output: event, id, attrs..., company_sum, event_total_count_no_unbrand,
-    proportion. The grouping is a partial aggregate; the event total is a window
-    over the aggregated rows, so a partition of it holds at most one row per
-    company of an event, however many items the event has."""
+    proportion. Both groupings are partial aggregates; the event totals, one row
+    an event, are joined back, so the rows of an event with very many companies
+    can be split over tasks."""
     attrs = EVENT_ATTRS if attrs is None else attrs
     x = items
     if drop_ids:
         x = x.filter(~F.col(id_col).isin(list(drop_ids)))
-    per_event = Window.partitionBy(event_col)
-    return (
-        x.groupBy(event_col, id_col, *attrs)
-        .agg(F.sum(count_col).alias("company_sum"))
-        .withColumn("event_total_count_no_unbrand", F.sum("company_sum").over(per_event))
-        .withColumn("proportion", F.col("company_sum") / F.col("event_total_count_no_unbrand"))
-    )
+    per = x.groupBy(event_col, id_col, *attrs).agg(F.sum(count_col).alias("company_sum"))
+    totals = (per.groupBy(F.col(event_col).alias("_event"))
+              .agg(F.sum("company_sum").alias("event_total_count_no_unbrand")))
+    return (per.join(totals, F.col(event_col).eqNullSafe(F.col("_event"))).drop("_event")
+            .withColumn("proportion", F.col("company_sum") / F.col("event_total_count_no_unbrand")))
 
 
 def n_distinct(df: DataFrame, col_name: str, alias: str = "n_events") -> DataFrame:
@@ -68,15 +66,6 @@ def pooled_share(shares: DataFrame, id_col: str = "id", count_col: str = "compan
                     (F.col("total_company_sum") / F.col("_g")).alias("proportion_aggregated")))
 
 
-def ratio_to_total(df: DataFrame, value_col: str, alias: str, by: list[str] | None = None) -> DataFrame:
-    """``x / sum(x)`` over a group, or over everything via a one-row scalar."""
-    if by:
-        return df.withColumn(alias, F.col(value_col) / F.sum(value_col).over(Window.partitionBy(*by)))
-    total = df.agg(F.sum(value_col).alias("_total"))
-    return (attach_scalar(df, total)
-            .withColumn(alias, F.col(value_col) / F.col("_total")).drop("_total"))
-
-
 def unbranded_by_event(items: DataFrame, event_col: str = "event_id", id_col: str = "id",
                        value_col: str = "proportion") -> DataFrame:
     """A23 first step: per event, the summed share of unbranded items."""
@@ -88,7 +77,3 @@ def mean_of(df: DataFrame, value_col: str, alias: str = "mean") -> DataFrame:
     """A3: plain mean over the rows present (not zero-filled)."""
     return df.agg(F.avg(value_col).alias(alias), F.count(F.lit(1)).alias("n"))
 
-
-def round6(c: str | Column, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits)

@@ -30,6 +30,8 @@ def ingest(items: DataFrame, events: DataFrame, brand_key: DataFrame) -> DataFra
     the event id built and ``file_name`` dropped (P2)."""
     ev = (events.withColumnRenamed("total_count", "event_total_count")
           .filter(F.col("type_of_audit") == "Outdoor"))
+    # The items' brand names are lower-cased and trimmed before they meet their key.
+    items = items.withColumn("brand_name", rsem.lower_trim("brand_name"))
     joined = joins.null_safe_join(items, ev, EVENT_KEYS, "inner")
     key = brand_key.select("brand_name", "parent_company_name", "id")
     joined = joins.null_safe_join(joined, key, ["brand_name"], "left")
@@ -44,7 +46,7 @@ def resolve_brands(validated: DataFrame, review_lists: list[DataFrame], joined_c
     the items and status / company / id are filled in order (C21)."""
     d = joins.override_union(validated, review_lists, "brand_name")
     if order_col not in d.columns:
-        d = d.withColumn(order_col, F.lit(0))
+        raise ValueError(f"the lists need {order_col!r}, the row's place in its file: the first row of a brand wins")
     d = d.select("brand_name", "parent_company_name", "id", "validated", "source_rank", order_col)
     first = ordered.first_per_key(d, ["brand_name"], ["source_rank", order_col]).drop("source_rank", order_col)
     items = joined_clean.drop("id").withColumnRenamed("parent_company_name", "parent_company_name_old")
@@ -110,7 +112,7 @@ def enrich(df: DataFrame, locations: DataFrame, labels: DataFrame | None = None)
         x = x.withColumn("volunteer", rsem.as_integer("volunteer"))
     x = best_location(x, locations)
     if labels is not None:
-        x = x.join(labels.select("id", "name"), "id", "left") \
+        x = joins.null_safe_join(x, labels.select("id", "name"), ["id"], "left") \
              .withColumn("parent_company_name", F.coalesce("name", "parent_company_name"))
     for c in ("start_of_audit", "end_of_audit"):
         if c in x.columns:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.operators import ordered, shares
+from auditspark.operators import bootstrap, ordered, shares
 from auditspark.plans import audit
 from auditspark.plans.registry import query
 from auditspark.sources.tables import Tables
@@ -155,13 +155,7 @@ def _boot_sql(values_cte: str, value_col: str, grouped: bool) -> tuple[tuple[str
         ("ev_idx", """
     SELECT event_id, row_number() OVER (ORDER BY event_id) AS idx FROM (SELECT DISTINCT event_id FROM bvals)"""),
         ("nn", "SELECT COUNT(*) AS n FROM ev_idx"),
-        ("draws", """
-    SELECT t.b, (m3 % nn.n) + 1 AS idx FROM (
-      SELECT b, xor(m2, m2 >> 16) AS m3 FROM (
-        SELECT b, (xor(m1, m1 >> 16) * 73244475) & 4294967295 AS m2 FROM (
-          SELECT b, (xor(k, k >> 16) * 73244475) & 4294967295 AS m1 FROM (
-            SELECT t.b, ((CAST(3437 AS BIGINT) * 1000003 + t.b) % 4294967296 * 1000033 + e.idx) % 4294967296 AS k
-            FROM range(1, 101) t(b), ev_idx e)))) t, nn"""),
+        *bootstrap.draws_sql(bootstrap.SEED, "ev_idx", "nn"),
         ("w", "SELECT b, idx, COUNT(*) AS w FROM draws GROUP BY b, idx"),
         ("reps", f"""
     SELECT {g}w.b, SUM(w.w * v.{value_col}) / MAX(nn.n) AS m
@@ -180,8 +174,6 @@ GROUP BY g.id""", *_SHARES_SQL, *_boot_sql("SELECT event_id, id, proportion FROM
 def q_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19 + A20 + X1: ``boot_name`` - zero-filled mean share of each company
     with bootstrap 2.5 % / 97.5 % bounds (B = 100, seed 3437)."""
-    from auditspark.operators import bootstrap
-
     ci = bootstrap.boot_mean_ci(event_shares(spark, sf_dir), "event_id", "id", "proportion")
     return ci.select("id", *[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])
 
@@ -195,8 +187,6 @@ FROM reps r""", *_boot_sql("""
                            "proportion", False)))
 def q_unbranded_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A23 + A19: bootstrap interval of the mean unbranded share per event."""
-    from auditspark.operators import bootstrap
-
     per_event = shares.unbranded_by_event(audit.clean_items(Tables(spark, sf_dir)))
     ci = bootstrap.boot_mean_ci(per_event, "event_id", None, "proportion", zero_fill=False)
     return ci.select(*[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])

@@ -116,12 +116,12 @@ def q_location_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("event_points", audit.sql("""
 SELECT DISTINCT longitude_most_specific, latitude_most_specific, event_id,
-       printf('POINT (%.4f %.4f)', longitude_most_specific, latitude_most_specific) AS wkt
+       'POINT (' || longitude_most_specific || ' ' || latitude_most_specific || ')' AS wkt
 FROM locs WHERE longitude_most_specific IS NOT NULL AND latitude_most_specific IS NOT NULL""", *_LOC_SQL))
 def q_event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct located events as EPSG:4326 points (lon/lat + WKT)."""
     loc = event_locations(spark, sf_dir)
     pts = (loc.select("longitude_most_specific", "latitude_most_specific", "event_id").distinct()
            .filter(~rsem.is_na("longitude_most_specific") & ~rsem.is_na("latitude_most_specific")))
-    return pts.withColumn("wkt", F.format_string("POINT (%.4f %.4f)", "longitude_most_specific",
-                                                 "latitude_most_specific"))
+    return pts.withColumn("wkt", F.concat(F.lit("POINT ("), F.col("longitude_most_specific").cast("string"), F.lit(" "),
+                                          F.col("latitude_most_specific").cast("string"), F.lit(")")))

@@ -35,16 +35,17 @@ def q_summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs_labels(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "lang", "source", "n_chars")
+    d = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
     return d.join(t.labels, "doc_id", "left")
 
 
-_DL = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d " \
+_DL = "(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d " \
       "LEFT JOIN labels l ON d.doc_id = l.doc_id)"
 
 
 @query("na_profile", f"""
 SELECT 'doc_id' AS "column", COUNT(*) FILTER (WHERE doc_id IS NULL) AS n_na FROM {_DL}
+UNION ALL SELECT 'text', COUNT(*) FILTER (WHERE text IS NULL) FROM {_DL}
 UNION ALL SELECT 'lang', COUNT(*) FILTER (WHERE lang IS NULL) FROM {_DL}
 UNION ALL SELECT 'source', COUNT(*) FILTER (WHERE source IS NULL) FROM {_DL}
 UNION ALL SELECT 'n_chars', COUNT(*) FILTER (WHERE n_chars IS NULL) FROM {_DL}

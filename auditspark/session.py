@@ -27,8 +27,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("AUDITSPARK_DRIVER_MEMORY", "16g"))
     )
+    memory = os.environ.get("AUDITSPARK_DRIVER_MEMORY")
+    if not memory and master.startswith("local"):
+        # The driver is the only worker here: half of the machine, 16 GB at most.
+        gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2 ** 30
+        memory = f"{max(1, min(16, int(gb / 2)))}g"
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions or master.startswith("local"):
         # One shuffle partition per local core; on a cluster the cluster's own
         # setting (sized to the data) is kept.

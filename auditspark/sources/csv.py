@@ -17,41 +17,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 MALFORMED = "_malformed"
-OVERFLOW = 16
+RECORD = "_record"
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
              profile: str = "base", keep_corrupt: bool = False,
-             encoding: str = "UTF-8") -> DataFrame:
+             encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """Read a CSV written by R.
 
-    ``keep_corrupt`` flags malformed lines (more fields than the header, from
-    unquoted commas) in a boolean ``_malformed`` column instead of silently
-    dropping their extra fields."""
+    ``keep_corrupt`` adds two columns: ``_malformed`` for lines with more fields
+    than the header (unquoted commas), and ``_record``, the whole raw line where
+    Spark found another number of fields than the header's, so that no field is
+    lost however many there are. ``multi_line`` allows line breaks inside quoted
+    fields; a file is then one task, so it is off unless asked for."""
     reader = (spark.read.option("header", True).option("escape", '"')
-              .option("multiLine", True).option("encoding", encoding)
+              .option("multiLine", multi_line).option("encoding", encoding)
               .option("mode", "PERMISSIVE").option("enforceSchema", True))
     if profile == "fast":
         reader = reader.option("nullValue", "NA")
     if schema is None:
-        header = spark.read.option("header", True).option("escape", '"').csv(path).schema
+        header = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path).schema
         schema = StructType([StructField(f.name, StringType(), True) for f in header])
+    fields = len(schema.fields)
     if keep_corrupt:
-        # Spark keeps the first fields of a line with too many fields and drops
-        # the rest; overflow columns catch them so such lines can be flagged.
-        extra = [StructField(f"_overflow_{i}", StringType(), True) for i in range(OVERFLOW)]
-        schema = StructType(list(schema.fields) + extra)
+        schema = StructType([*schema.fields, StructField(RECORD, StringType(), True)])
+        reader = reader.option("columnNameOfCorruptRecord", RECORD)
     df = reader.schema(schema).csv(path)
     if keep_corrupt:
-        over = [F.col(f"_overflow_{i}") for i in range(OVERFLOW)]
-        df = (df.withColumn(MALFORMED, F.coalesce(*over).isNotNull())
-              .drop(*[f"_overflow_{i}" for i in range(OVERFLOW)]))
+        # Commas outside quotes separate fields.
+        bare = F.regexp_replace(F.col(RECORD), r'"[^"]*"', "")
+        more = F.regexp_count(bare, F.lit(",")) + 1 > fields
+        df = df.withColumn(MALFORMED, F.coalesce(more, F.lit(False)))
     if profile == "base":
         # read.csv: literal NA is missing, a blank text cell is "".
         exprs = []
         for f in df.schema.fields:
             c = F.col(f"`{f.name}`")
-            if isinstance(f.dataType, StringType):
+            if isinstance(f.dataType, StringType) and f.name != RECORD:
                 c = F.when(c == "NA", F.lit(None)).otherwise(F.coalesce(c, F.lit("")))
             exprs.append(c.alias(f.name))
         df = df.select(*exprs)

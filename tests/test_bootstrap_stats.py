@@ -1,5 +1,8 @@
-"""Bootstrap against a dense brute force; statistics against shipped goldens."""
+"""Bootstrap against a dense brute force; statistics against independent calculations on a synthesized
+packaging table and company list."""
 
+import csv
+import hashlib
 import math
 
 import numpy as np
@@ -8,20 +11,15 @@ from pyspark.sql import functions as F
 
 from auditspark.operators import bootstrap, ordered, stats
 from auditspark.sources.csv import read_csv
-from conftest import REF
 
 
-def _mix(seed, b, j):
-    m = 2 ** 32
-    x = ((seed * bootstrap.COMBINE_A + b) % m * bootstrap.COMBINE_B + j) % m
-    for _ in range(2):
-        x = ((x ^ (x >> 16)) * bootstrap.MIX_MULT) & bootstrap.MASK32
-    return x ^ (x >> 16)
+def _draw(seed, b, j, n):
+    return int(hashlib.md5(f"{seed}:{b}:{j}".encode()).hexdigest()[:bootstrap.HASH_DIGITS], 16) % n
 
 
 def _dense_boot(p, n_events, ids, B=100, seed=3437):
-    """The reference's dense grid: every id has a value for every event."""
-    idx = [[_mix(seed, b, j) % n_events for j in range(1, n_events + 1)] for b in range(1, B + 1)]
+    """The dense grid: every id has a value for every event."""
+    idx = [[_draw(seed, b, j, n_events) for j in range(1, n_events + 1)] for b in range(1, B + 1)]
     out = {}
     for c in ids:
         v = np.array([p.get((e, c), 0.0) for e in range(n_events)])
@@ -47,7 +45,8 @@ def test_sparse_bootstrap_equals_dense_grid(spark):
         assert np.allclose(got[c], want[c], atol=1e-12), c
 
 
-def test_bootstrap_other_replicate_count(spark):
+def test_bootstrap_in_blocks_of_replicates(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "REPLICATE_BLOCK", 10)
     rng = np.random.default_rng(11)
     p = {}
     for e in range(23):
@@ -72,60 +71,135 @@ def test_bootstrap_is_partitioning_independent(spark):
     assert np.allclose(tuple(a[1:]), tuple(b[1:]), rtol=0, atol=1e-12)  # float sums: order only
 
 
+def test_draws_equal_the_integer_hash_also_above_32_bits(spark):
+    slots = [(b, j) for b in (1, 2, 99) for j in (1, 2, 2 ** 32 - 1, 2 ** 32, 2 ** 40 + 7)]
+    n = 10 ** 10 + 19
+    df = spark.createDataFrame([(b, j) for b, j in slots], "b long, j long")
+    got = [r.idx for r in bootstrap.with_draws(df.coalesce(1), 3437, n).collect()]
+    assert got == [_draw(3437, b, j, n) + 1 for b, j in slots]
+    assert max(got) > 2 ** 32
+
+
+def test_replicates_are_independent_with_many_units(spark):
+    """At 5 million units: counts of a unit spread as drawing with replacement does in theory,
+    neighbouring replicates are uncorrelated, also shifted, and replicate means have the right spread."""
+    n, replicates = 5_000_000, 4
+    slots = spark.range(0, n * replicates, numPartitions=16)
+    drawn = bootstrap.with_draws(slots.select((F.expr(f"id div {n}") + 1).alias("b"), (F.col("id") % n + 1).alias("j")),
+                                 bootstrap.SEED, n)
+    of = drawn.groupBy("idx").agg(*[F.count_if(F.col("b") == b).alias(f"w{b}") for b in range(1, replicates + 1)])
+    pairs = [(b, b + 1) for b in range(1, replicates)]
+    # A value of each unit that is no function of the draws.
+    value = (F.pmod(F.xxhash64("idx"), F.lit(1_000_003)) / 1_000_003.0).alias("v")
+    r = of.withColumn("v", value).agg(
+        *[F.sum(F.col(f"w{b}") ** 2).alias(f"s{b}") for b in range(1, replicates + 1)],
+        *[F.sum(F.col(f"w{b}") * F.col("v")).alias(f"m{b}") for b in range(1, replicates + 1)],
+        *[F.sum(F.col(f"w{a}") * F.col(f"w{b}")).alias(f"c{a}") for a, b in pairs]).first()
+    all_of = spark.range(1, n + 1).select(F.col("id").alias("idx")).select(value).agg(F.avg("v"), F.stddev_pop("v")).first()
+    for b in range(1, replicates + 1):
+        assert abs(r[f"s{b}"] / n - 2) < 0.01  # E w^2 = 2 - 1/n
+        assert abs(r[f"m{b}"] / n - all_of[0]) < 4.5 * all_of[1] / math.sqrt(n)
+    for a, _ in pairs:
+        assert abs(r[f"c{a}"] / n - 1) < 0.005  # copies of a replicate would give 2
+
+
+SECTORS = ["beverages", "food", "household", "retail"]
+
+
+def _pack_rows(n=34, seed=8):
+    rng = np.random.default_rng(seed)
+    mass = 10 ** rng.uniform(8.0, 12.0, n)
+    mean = 10 ** np.clip(-1.0 + 0.9 * (np.log10(mass) - 11.5) + rng.normal(0, 0.6, n), -6.4, -0.3)
+    mean[0], mean[1] = 10 ** -6.4, 10 ** -0.3  # the range of the histogram below
+    weight = rng.integers(1_000, 900_000, n)
+    return [(f"Company, {i}", SECTORS[i % 4], int(weight[i]), float(mean[i]), float(mass[i])) for i in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return _pack_rows()
+
+
 @pytest.fixture(scope="module")
-def pack(spark):
-    df = read_csv(spark, f"{REF}/elen_data.csv")
+def pack(spark, rows, tmp_path_factory):
+    path = tmp_path_factory.mktemp("pack") / "pack.csv"
+    with path.open("w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(["Company name", "ID", "Sector (EMF input)", "2021 total weight of new packaging (metric tonnes)",
+                    "mean", "mass"])
+        for i, (name, sector, weight, mean, mass) in enumerate(rows):
+            w.writerow([name, f"Q{i}", sector, f"{weight:,}", repr(mean), repr(mass)])
+    df = read_csv(spark, str(path))
     return df.select(F.col("mean").cast("double").alias("mean"), F.col("mass").cast("double").alias("mass"),
                      F.col("`Sector (EMF input)`").alias("sector"),
                      F.col("`2021 total weight of new packaging (metric tonnes)`").alias("w"))
 
 
-def test_ols_log_log_golden(pack):
-    x = F.log10(F.col("mass") / 390700000)
-    fit = stats.ols(pack, F.log10("mean"), x).first()
-    assert fit.slope == pytest.approx(1.1338677, rel=1e-6)
-    assert fit.se_slope == pytest.approx(0.2418498, rel=1e-6)
-    assert fit.t_slope == pytest.approx(4.688314, rel=1e-6)
-    assert fit.intercept == pytest.approx(0.8427542, rel=1e-6)
-    assert fit.se_intercept == pytest.approx(0.8787942, rel=1e-6)
-    assert fit.r2 == pytest.approx(0.4071910, rel=1e-6)
-    assert fit.adj_r2 == pytest.approx(0.3886657, rel=1e-6)
-    assert fit.df == 32
-
-
-def test_ols_raw_golden_and_pvalue(spark, pack):
-    fit = stats.ols(pack, "mean", "mass").first()
-    assert fit.slope == pytest.approx(2.788009e-08, rel=1e-6)
-    assert fit.t_slope == pytest.approx(12.867284, rel=1e-6)
-    assert fit.r2 == pytest.approx(0.8380296, rel=1e-6)
+def _ols(x, y):
+    """Least squares by the normal equations in matrix form."""
+    m = np.stack([np.ones_like(x), x], axis=1)
+    coef, _, _, _ = np.linalg.lstsq(m, y, rcond=None)
+    res = y - m @ coef
+    dof = len(x) - 2
+    se = np.sqrt(np.diag(np.linalg.inv(m.T @ m)) * (res @ res) / dof)
+    r2 = 1 - (res @ res) / ((y - y.mean()) ** 2).sum()
+    return coef, se, r2, dof
+
+
+def _t_two_sided(t, dof):
+    """Tail area of the t density by Simpson's rule after u = 1 / x."""
+    c = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
+    u = np.linspace(1e-9, 1 / abs(t), 200_001)
+    f = c * (1 + 1 / (u * u * dof)) ** (-(dof + 1) / 2) / (u * u)
+    h = u[1] - u[0]
+    return 2 * h / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum())
+
+
+def _logs(rows):
+    return np.log10([r[4] / 390700000 for r in rows]), np.log10([r[3] for r in rows])
+
+
+def test_ols_log_log(pack, rows):
+    fit = stats.ols(pack, F.log10("mean"), F.log10(F.col("mass") / 390700000)).first()
+    coef, se, r2, dof = _ols(*_logs(rows))
+    assert (fit.intercept, fit.slope) == pytest.approx(tuple(coef), rel=1e-9)
+    assert (fit.se_intercept, fit.se_slope) == pytest.approx(tuple(se), rel=1e-9)
+    assert fit.t_slope == pytest.approx(coef[1] / se[1], rel=1e-9)
+    assert fit.r2 == pytest.approx(r2, rel=1e-9) and fit.df == dof
+    assert fit.adj_r2 == pytest.approx(1 - (1 - r2) * (dof + 1) / dof, rel=1e-9)
+
+
+def test_pvalues(pack, rows):
     logd = pack.select(F.log10("mean").alias("y"), F.log10(F.col("mass") / 390700000).alias("x"))
     p = {r.term: r for r in stats.ml_coefficients(logd, "y", "x").collect()}
-    assert p["slope"].p_value == pytest.approx(4.9056e-05, rel=1e-3)
+    coef, se, _, dof = _ols(*_logs(rows))
+    assert p["slope"].p_value == pytest.approx(_t_two_sided(coef[1] / se[1], dof), rel=1e-4)
+    assert p["intercept"].p_value == pytest.approx(_t_two_sided(coef[0] / se[0], dof), rel=1e-4)
 
 
-def test_parse_number_total(pack):
+def test_parse_number_total(pack, rows):
     from auditspark.functions import rsem
 
-    assert pack.agg(F.sum(rsem.parse_number("w"))).first()[0] == pytest.approx(12710136)
+    assert pack.agg(F.sum(rsem.parse_number("w"))).first()[0] == pytest.approx(sum(r[2] for r in rows))
 
 
-def test_group_fits_with_all(pack):
+def test_group_fits_with_all(pack, rows):
     food = F.col("sector").isin("beverages", "food")
     s = pack.select(F.when(food, "Food and Beverage").otherwise("Household and Retail").alias("sector"),
                     F.log10("mean").alias("y"), F.log10(F.col("mass") / 390700000).alias("x"))
     fits = {r.sector: r for r in stats.ols_with_all(s, F.col("y"), F.col("x"), "sector").collect()}
-    assert fits["Food and Beverage"].slope == pytest.approx(1.096334, rel=1e-5)
-    assert fits["Food and Beverage"].n == 16
-    assert fits["Household and Retail"].slope == pytest.approx(1.279729, rel=1e-5)
-    assert fits["All"].n == 34 and fits["All"].slope == pytest.approx(1.1338677, rel=1e-6)
+    for name, own in (("Food and Beverage", SECTORS[:2]), ("Household and Retail", SECTORS[2:]), ("All", SECTORS)):
+        part = [r for r in rows if r[1] in own]
+        coef, _, _, _ = _ols(*_logs(part))
+        assert fits[name].slope == pytest.approx(coef[1], rel=1e-9) and fits[name].n == len(part)
 
 
-def test_histograms_golden(pack):
+def test_histogram(pack, rows):
+    """34 values from -6.4 to -0.3: seven whole-number classes, closed on the right."""
     h = stats.histogram(pack, F.log10("mean")).orderBy("bin").collect()
-    assert [r["count"] for r in h] == [1, 1, 7, 8, 10, 6, 1]
     assert (h[0].lower, h[-1].upper) == (-7.0, 0.0)
-    g = stats.histogram(pack, F.log10(F.col("mass") / 390700000)).orderBy("bin").collect()
-    assert [r["count"] for r in g] == [1, 2, 5, 9, 10, 5, 2]
+    y = _logs(rows)[1]
+    assert [r["count"] for r in h] == [int(((y > k) & (y <= k + 1)).sum()) for k in range(-7, 0)]
 
 
 def test_pretty_matches_r():
@@ -133,35 +207,49 @@ def test_pretty_matches_r():
     assert stats.pretty_breaks(1.0, 99.0, 7)[0] == 0.0 and stats.sturges(34) == 7
 
 
-def test_top_company_goldens(spark):
-    top = read_csv(spark, f"{REF}/small_brand_name.csv").select(
-        "parent_company_name", "id", F.col("mean").cast("double").alias("mean"))
+def test_ranks_ties_and_running_share(spark):
+    """A company list with six equal means: average ranks, running sums, the count to half."""
+    mean = [round(0.11 * 0.9 ** k, 8) for k in range(40)]
+    mean[20:26] = [mean[20]] * 6
+    top = spark.createDataFrame([(f"q{k:03d}", m) for k, m in enumerate(mean)], "id string, mean double")
     r = {x.row_pos: x for x in ordered.rank_desc_avg_ties(top, "mean", "id").collect()}
-    for pos, cum in [(1, 0.110643), (5, 0.241432), (10, 0.322069), (55, 0.498354), (56, 0.500082),
-                     (100, 0.561208)]:
-        assert r[pos].cumulative == pytest.approx(cum, abs=2e-6)
+    upto = np.cumsum(mean)
+    for k in range(40):
+        assert r[k + 1].cumulative == pytest.approx(upto[k], abs=1e-12)
+        assert r[k + 1]["rank"] == (23.5 if 20 <= k < 26 else k + 1)
     pos = ordered.global_positions(top, [F.desc("mean"), F.asc("id")], "mean")
-    assert ordered.count_below(pos, "cumulative", 0.5, "n").first().n == 56
-    assert top.filter(F.col("mean") > 0.01).count() == 13
-    assert top.select("id").distinct().count() == 100
-    assert top.select("parent_company_name").distinct().count() == 99
-    ties = [x for x in r.values() if x["rank"] != math.floor(x["rank"])]
-    assert ties, "lines 80-85 share one mean, so some ranks are averages"
+    assert ordered.count_below(pos, "cumulative", 0.5, "n").first().n == int((upto < 0.5).sum()) + 1
+
+
+def test_ranks_keep_rows_without_a_value(spark):
+    df = spark.createDataFrame([("a", 3.0), ("b", None), ("c", 1.0), ("d", 3.0), ("e", None)], "id string, x double")
+    got = {r.id: (r["rank"], r.cumulative) for r in ordered.rank_desc_avg_ties(df, "x", "id").collect()}
+    # nrow is 5; ascending ranks among the three known values are 2.5, 1 and 2.5.
+    assert got == {"a": (3.5, 3.0), "d": (3.5, 6.0), "c": (5.0, 7.0), "b": (None, None), "e": (None, None)}
+
+
+def test_top_with_ties_against_a_plain_rank(spark):
+    values = [5, 5, 4, None, 4, 4, 3, 2, 2, 1, None] + [0] * 50
+    df = spark.createDataFrame(list(enumerate(values)), "k int, x int")
+    for n in (1, 2, 3, 6, 7, 10, 60, 61):
+        got = sorted((r.k, r["rank"]) for r in ordered.top_with_ties(df, "x", n).collect())
+        rank = [1 + sum(w is not None and (v is None or w > v) for w in values) for v in values]
+        assert got == sorted((k, r) for k, r in enumerate(rank) if r <= n)
 
 
 def test_t_distribution_and_band(spark, pack):
     from auditspark.functions.tdist import t_quantile, t_two_sided_p
 
-    assert t_two_sided_p(4.688314, 32) == pytest.approx(4.9056e-05, rel=1e-4)
+    assert t_two_sided_p(4.688314, 32) == pytest.approx(_t_two_sided(4.688314, 32), rel=1e-5)
+    assert t_two_sided_p(12.867284, 32) == pytest.approx(_t_two_sided(12.867284, 32), rel=1e-4)
     assert t_quantile(0.975, 32) == pytest.approx(2.036933, rel=1e-6)
     assert t_quantile(0.025, 10) == pytest.approx(-2.228139, rel=1e-6)
     y, x = F.log10("mean"), F.log10(F.col("mass") / 390700000)
     fit = stats.ols(pack, y, x)
     band = stats.confidence_band(pack, fit, y, x).collect()
     f = fit.first()
-    assert len(band) == 34 or len(band) == pack.select(x).distinct().count()
+    assert len(band) == pack.select(x).distinct().count()
     for r in band:
-        assert r.lower < r.fitted < r.upper
-        assert r.t_crit == pytest.approx(2.036933, rel=1e-6)
-    centre = min(band, key=lambda r: abs(r.x - f.mean_x))
-    assert centre.upper - centre.fitted == pytest.approx(2.036933 * f.sigma * (1 / 34) ** 0.5, rel=1e-2)
+        half = 2.036933 * f.sigma * math.sqrt(1 / 34 + (r.x - f.mean_x) ** 2 / f.sxx)
+        assert r.upper - r.fitted == pytest.approx(half, rel=1e-5)
+        assert r.fitted - r.lower == pytest.approx(half, rel=1e-5)
