@@ -10,7 +10,8 @@ k-th scores. Tasks return at most k rows a query; a window per query merges them
 
 A cover tree here is the batch form: a node covers its points within its radius; its children are a
 greedy net of half that radius, so children's centres lie further apart than it, down to leaves of
-a few dozen points.
+a few dozen points. In the query tree small neighbouring children share a leaf. A query node meets
+all data nodes that are left for it at once, so bounds and products are matrix operations.
 
 Components become ``floor(256 * x)``. While products stay below 2^53, they are computed as doubles,
 which is exact; beyond, as Python integers.
@@ -63,10 +64,13 @@ class Tree:
     radius: list[float]
     span: list[tuple[int, int]]
     children: list[list[int]]
+    bundles: int = 0
 
     @staticmethod
-    def build(points: np.ndarray, leaf: int = LEAF) -> Tree:
-        tree = Tree(points, np.arange(len(points)), [], [], [], [])
+    def build(points: np.ndarray, leaf: int = LEAF, bundles: int = 0) -> Tree:
+        """``bundles``: neighbouring small children are put together, up to that many points, in a leaf
+        around the parent's centre, so that few large groups take the place of many tiny ones."""
+        tree = Tree(points, np.arange(len(points)), [], [], [], [], bundles)
         if not len(points):
             return tree
         far = np.sqrt(((points - points[0]) ** 2).sum(axis=1))
@@ -103,8 +107,24 @@ class Tree:
             left = left[~own]
             if len(left):
                 centre = int(left[0])
+        if self.bundles:
+            self._bundle(node)
         return self.children[node]
 
+    def _bundle(self, node: int) -> None:
+        out, first, last = [], None, None
+        for child in [*self.children[node], None]:
+            a, b = self.span[child] if child is not None else (0, self.bundles + 1)
+            if first is not None and (child is None or b - first > self.bundles or b - a > self.bundles):
+                far = self.points[self.order[first:last]] - self.points[self.centre[node]]
+                out.append(self._node(self.centre[node], float(np.sqrt((far ** 2).sum(axis=1)).max()), first, last))
+                first = None
+            if child is not None and b - a > self.bundles:
+                out.append(child)
+            elif child is not None:
+                first, last = a if first is None else first, b
+        self.children[node] = out
+
 
 class Search:
     """The best k of each query of one block, over any number of data blocks."""
@@ -112,7 +132,7 @@ class Search:
     def __init__(self, rows: np.ndarray, vectors: np.ndarray, k: int, exact: bool):
         self.rows, self.k, self.exact = rows, k, exact
         self.vectors = vectors
-        self.tree = Tree.build(vectors.astype(float))
+        self.tree = Tree.build(vectors.astype(float), LEAF, LEAF)
         self.norm = np.sqrt((self.tree.points ** 2).sum(axis=1))
         self.least = np.full(len(rows), NO_SCORE)
         self.found: list[list[tuple]] = [[] for _ in rows]
@@ -132,27 +152,40 @@ class Search:
             return
         norm = np.sqrt((data.points ** 2).sum(axis=1))
         slack = 1e-6 * (1.0 + float(norm.max()) * float(self.norm.max()))
-        waiting = [(0, 0)]
+        centres, radii, norms = data.points[data.centre], np.array(data.radius), norm[data.centre]
+
+        def kept(q: int, nodes: np.ndarray) -> np.ndarray:
+            """Data nodes that may hold a result for query node q, the most promising first."""
+            a, s = self.tree.centre[q], self.tree.radius[q]
+            bound = centres[nodes] @ self.tree.points[a] + self.norm[a] * radii[nodes] + norms[nodes] * s + radii[nodes] * s
+            order = np.argsort(-bound, kind="stable")
+            start, end = self.tree.span[q]
+            worst = self.least[self.tree.order[start:end]].min()
+            return nodes[order][bound[order] + slack >= worst]
+
+        def finer(nodes: np.ndarray, leaves: bool) -> np.ndarray:
+            """The children of inner nodes; with ``leaves``, also the leaves among the nodes."""
+            out = [c for n in nodes for c in (data.children[n] or ([n] if leaves else []))]
+            return np.array(out, np.int64)
+
+        waiting = [(0, np.zeros(1, np.int64))]
         while waiting:
-            q, d = waiting.pop()
-            qa, qb = self.tree.span[q]
-            group = self.tree.order[qa:qb]
-            if self._bound(q, data, d, norm) + slack < self.least[group].min():
+            q, nodes = waiting.pop()
+            nodes = kept(q, nodes)
+            if self.tree.children[q]:
+                below = finer(nodes, True)
+                waiting += [(c, below) for c in self.tree.children[q] if len(below)]
                 continue
-            own_q, own_d = self.tree.children[q], data.children[d]
-            if not own_q and not own_d:
-                da, db = data.span[d]
-                self._leaf(group, data.order[da:db], rows, ids, vectors, data)
-            elif own_d and (not own_q or data.radius[d] >= self.tree.radius[q]):
-                pairs = sorted(((self._bound(q, data, c, norm), c) for c in own_d))
-                waiting += [(q, c) for _, c in pairs]  # the highest bound is taken first
-            else:
-                waiting += [(c, d) for c in own_q]
-
-    def _bound(self, q: int, data: Tree, d: int, norm: np.ndarray) -> float:
-        a, b = self.tree.centre[q], data.centre[d]
-        s, r = self.tree.radius[q], data.radius[d]
-        return float(self.tree.points[a] @ data.points[b]) + self.norm[a] * r + norm[b] * s + r * s
+            start, end = self.tree.span[q]
+            group = self.tree.order[start:end]
+            while len(nodes):
+                members = [data.order[slice(*data.span[n])] for n in nodes if not data.children[n]]
+                if members:
+                    members = np.concatenate(members)
+                    for at in range(0, len(members), 512):
+                        self._leaf(group, members[at:at + 512], rows, ids, vectors, data)
+                nodes = finer(nodes, False)
+                nodes = kept(q, nodes) if len(nodes) else nodes
 
     def _leaf(self, group, members, rows, ids, vectors, data) -> None:
         if self.exact:
