@@ -132,7 +132,7 @@ def test_end_to_end_from_r_style_csv(spark):
                  "yes", "-5", "9/10/2019", "8"],
                 ["B", 2, 2020, "Outdoor", "park", "x", "y", "korea", "Asia", "rojaki", "0", "1/2/2020", "10"],
                 ["C", 3, 2017, "Outdoor", "lake", "x", "y", "mexico", "Americas", "no", "3", "bad", "5"]])
-    items = read_csv(spark, f"{d}/brands.csv").withColumn("brand_name", rsem.lower_trim("brand_name"))
+    items = read_csv(spark, f"{d}/brands.csv", multi_line=True).withColumn("brand_name", rsem.lower_trim("brand_name"))
     items = items.withColumns({c: F.col(c).try_cast("int") for c in ("row_id", "submission_id", "year")})
     events = read_csv(spark, f"{d}/events.csv").withColumns(
         {c: F.col(c).try_cast("int") for c in ("submission_id", "year")})
