@@ -1,4 +1,4 @@
-"""Grouped aggregates with R semantics.
+"""Grouped aggregates with R semantics.
 
 All aggregates are plain ``groupBy().agg()`` so Spark plans a partial
 (map-side) aggregate before each shuffle; a key holding a third of the rows is
@@ -9,7 +9,7 @@ bounded by the number of distinct values, not by the number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions import rsem
@@ -53,11 +53,6 @@ def count_rows(df: DataFrame, keys: list[str], alias: str = "count") -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(alias))
 
 
-def with_group_count(df: DataFrame, keys: list[str], alias: str = "n") -> DataFrame:
-    """``group_by + mutate(n = n())`` - group size kept on each row."""
-    return df.withColumn(alias, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-
-
 def collapse_duplicates(df: DataFrame, measure: str = "total_count",
                         drop: tuple[str, ...] = ("proportion",),
                         denominator: str = "event_total_count") -> DataFrame:

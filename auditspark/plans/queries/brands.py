@@ -29,17 +29,16 @@ def processed(t: Tables) -> DataFrame:
 def brand_company_table(items: DataFrame) -> DataFrame:
     """A7 + W1 (L5): brand -> company table in three levels.
 
-    (brand, company, id, status) sums and counts; the number of companies per
-    (brand, status) kept on the rows; then one row per (brand, status, count)
-    with the companies and ids string-aggregated in (company, id) order. The
-    rows gathered per group are distinct (company, id) pairs, not items."""
+    (brand, company, id, status) sums and counts; then one row per (brand,
+    status) with its number of companies, and the companies and ids
+    string-aggregated in (company, id) order. The rows gathered per group are
+    distinct (company, id) pairs, not items."""
     g1 = (items.groupBy("brand_name", "parent_company_name", "id", "validated")
           .agg(F.sum("total_count").alias("brand_total_count"),
                F.count(F.lit(1)).alias("brand_frequency")))
-    g1 = aggregates.with_group_count(g1, ["brand_name", "validated"], "brand_parent_occurances")
     pair = F.struct(F.col("parent_company_name").alias("p"), F.col("id").alias("i"))
-    g2 = (g1.groupBy("brand_name", "validated", "brand_parent_occurances")
-          .agg(F.array_sort(F.collect_list(pair)).alias("_l"),
+    g2 = (g1.groupBy("brand_name", "validated")
+          .agg(F.array_sort(F.collect_list(pair)).alias("_l"), F.count(F.lit(1)).alias("brand_parent_occurances"),
                F.sum("brand_total_count").alias("brand_total_count"),
                F.sum("brand_frequency").alias("brand_frequency")))
     return g2.select(
@@ -92,16 +91,18 @@ def _key_table(t: Tables) -> DataFrame:
 
 
 def brand_key_review(key_table: DataFrame, items: DataFrame) -> DataFrame:
-    """A6 (L11): per brand the distinct proposed names and ids string-aggregated
-    and the counts summed, then the distinct countries the brand was found in, sorted.
+    """A6 (L11): per brand the distinct proposed (name, id) pairs string-aggregated,
+    so the n-th id belongs to the n-th name, and the counts summed, then the
+    distinct countries the brand was found in, sorted.
     The reference's fan-out join repeats a country once per item; the distinct
     list carries the same information in a cell bounded by the number of
     countries instead of the brand's item count."""
-    names = aggregates.to_string_agg(key_table, ["brand_name"], "new_name", "parent_company_name",
-                                     keep_duplicates=False)
-    ids = aggregates.to_string_agg(key_table, ["brand_name"], "id", "id", keep_duplicates=False)
-    sums = key_table.groupBy("brand_name").agg(F.sum("sum").alias("sum"))
-    k = names.join(ids, "brand_name").join(sums, "brand_name")
+    pairs = key_table.groupBy("brand_name", "new_name", "id").agg(F.sum("sum").alias("sum"))
+    k = (pairs.groupBy("brand_name")
+         .agg(F.array_sort(F.collect_list(F.struct("new_name", "id"))).alias("_l"), F.sum("sum").alias("sum"))
+         .select("brand_name",
+                 F.array_join(F.transform("_l", lambda s: rsem.na_text(s["new_name"])), ", ").alias("parent_company_name"),
+                 F.array_join(F.transform("_l", lambda s: rsem.na_text(s["id"])), ", ").alias("id"), "sum"))
     countries = aggregates.to_string_agg(items.select("brand_name", "country"), ["brand_name"], "country",
                                          "country", keep_duplicates=False)
     return k.join(countries, "brand_name", "left").withColumn(
@@ -110,9 +111,9 @@ def brand_key_review(key_table: DataFrame, items: DataFrame) -> DataFrame:
 
 @query("brand_key_review", audit.sql("""
 SELECT k.brand_name, k.parent_company_name, k.id, k.sum, COALESCE(c.country, 'NA') AS country
-FROM (SELECT brand_name, string_agg(DISTINCT new_name, ', ' ORDER BY new_name) AS parent_company_name,
-             string_agg(DISTINCT id, ', ' ORDER BY id) AS id, CAST(SUM(sum) AS BIGINT) AS sum
-      FROM keyt GROUP BY brand_name) k
+FROM (SELECT brand_name, string_agg(new_name, ', ' ORDER BY new_name, id) AS parent_company_name,
+             string_agg(id, ', ' ORDER BY new_name, id) AS id, CAST(SUM(sum) AS BIGINT) AS sum
+      FROM (SELECT brand_name, new_name, id, SUM(sum) AS sum FROM keyt GROUP BY ALL) GROUP BY brand_name) k
 LEFT JOIN (SELECT brand_name, string_agg(DISTINCT COALESCE(country, 'NA'), ', ' ORDER BY COALESCE(country, 'NA'))
              AS country FROM clean GROUP BY brand_name) c ON k.brand_name = c.brand_name""", ("keyt", """
     SELECT p_name AS brand_name, lower(p_brand) AS new_name,
@@ -199,10 +200,14 @@ SELECT priority, sum_count, sum_freq, round(sum_count / CAST(SUM(sum_count) OVER
        round(sum_freq / CAST(SUM(sum_freq) OVER () AS DOUBLE), 6) AS prop_freq
 FROM (SELECT brand_total_count > 100 AND brand_frequency > 10 AS priority,
              CAST(SUM(brand_total_count) AS BIGINT) AS sum_count, CAST(SUM(brand_frequency) AS BIGINT) AS sum_freq
-      FROM bc GROUP BY 1)""", *_BC_SQL))
+      FROM parts GROUP BY 1)""", ("parts", """
+    SELECT SUM(total_count) AS brand_total_count, COUNT(*) AS brand_frequency FROM clean GROUP BY p_partkey""")))
 def q_priority_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C31 + A24/M9: share of items and occurrences above the review threshold."""
-    b = _bc(spark, sf_dir).withColumn(
+    """C31 + A24/M9: share of items and occurrences above the review threshold,
+    each part a brand of its own, so that both sides of the threshold occur."""
+    items = audit.clean_items(Tables(spark, sf_dir))
+    items = items.withColumn("brand_name", F.concat_ws(" ", "brand_name", F.col("p_partkey").cast("string")))
+    b = brand_company_table(items).withColumn(
         "priority", (F.col("brand_total_count") > 100) & (F.col("brand_frequency") > 10))
     out = aggregates.group_breakdown(b, ["priority"], {"sum_count": "brand_total_count",
                                                        "sum_freq": "brand_frequency"},

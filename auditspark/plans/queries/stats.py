@@ -153,10 +153,30 @@ def q_regression_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
                ["slope", "intercept", "r2"])
 
 
-@query("regression_band")
+# 97.5 % quantile of the t distribution by its expansion around the normal one, exact to more
+# digits than are compared from 100 degrees of freedom on.
+_T_CRIT_SQL = ("(SELECT z + (pow(z, 3) + z) / 4 / d + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(d, 2) "
+               "+ (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(d, 3) "
+               "FROM (SELECT 1.959963984540054 AS z, CAST(f.n - 2 AS DOUBLE) AS d))")
+
+
+@query("regression_band", f"""
+WITH s AS (SELECT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Food and Beverage'
+                       ELSE 'Household and Retail' END AS sector, p_retailprice, p_size FROM part
+           WHERE p_retailprice > 0 AND p_size > 0),
+m AS ({_fit_sql('log10(p_retailprice)', 'log10(p_size)', src='s', group='sector')} GROUP BY sector
+      UNION ALL SELECT 'All' AS sector, * FROM ({_fit_sql('log10(p_retailprice)', 'log10(p_size)', src='s')})),
+f AS (SELECT sector, n, mx, sxx, sxy / sxx AS b, my - sxy / sxx * mx AS a,
+             sqrt((syy - sxy / sxx * sxy) / (n - 2)) AS s FROM m),
+g AS (SELECT f.*, {_T_CRIT_SQL} AS t FROM f),
+p AS (SELECT DISTINCT sector, log10(p_size) AS x FROM s UNION ALL SELECT DISTINCT 'All', log10(p_size) FROM s)
+SELECT p.sector, round(x, 6) AS x, round(a + b * x, 6) AS fitted,
+       round(a + b * x - t * s * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx), 6) AS lower,
+       round(a + b * x + t * s * sqrt(1.0 / n + (x - mx) * (x - mx) / sxx), 6) AS upper, round(t, 6) AS t_crit
+FROM p JOIN g ON p.sector = g.sector""")
 def q_regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """95 % confidence band of the log-log fit per sector and for "All",
-    at every distinct size (rows-only check: DuckDB has no t quantile)."""
+    at every distinct size."""
     p = Tables(spark, sf_dir).part.filter((F.col("p_retailprice") > 0) & (F.col("p_size") > 0))
     s = p.select(_sector().alias("sector"), "p_retailprice", "p_size")
     y, x = F.log10("p_retailprice"), F.log10("p_size")
@@ -165,7 +185,8 @@ def q_regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     # distinct step runs before the relabelled copy is appended.
     pts = s.select("sector", x.alias("_x")).distinct()
     pts = pts.unionByName(pts.select(F.lit("All").alias("sector"), "_x").distinct())
-    return stats.confidence_band(pts, fit, F.col("_x"), F.col("_x"), "sector")
+    band = stats.confidence_band(pts, fit, F.col("_x"), F.col("_x"), "sector")
+    return _r6(band, ["x", "fitted", "lower", "upper", "t_crit"])
 
 
 @query("regression_diag", f"""
@@ -186,12 +207,25 @@ def q_regression_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r6(d, ["fitted", "residual", "leverage", "std_residual", "cooks_distance"])
 
 
-@query("regression_pvalues")
+# The two-sided p is an integral of cos(angle) ^ (df - 1) from atan(|t| / sqrt(df)) to a right angle
+# (t = sqrt(df) tan(angle)), here by Simpson's rule.
+@query("regression_pvalues", f"""
+WITH m AS ({_fit_sql('log10(p_retailprice)', 'log10(p_size)', src='part')}),
+f AS (SELECT n - 2 AS d, n, mx, sxx, sxy / sxx AS b, my - sxy / sxx * mx AS a, (syy - sxy / sxx * sxy) / (n - 2) AS v FROM m),
+c AS (SELECT 'intercept' AS term, a AS estimate, sqrt(v * (1.0 / n + mx * mx / sxx)) AS std_error, d FROM f
+      UNION ALL SELECT 'slope', b, sqrt(v / sxx), d FROM f),
+w AS (SELECT *, estimate / std_error AS t_value, atan(abs(estimate / std_error) / sqrt(d)) AS lo,
+             (pi() / 2 - atan(abs(estimate / std_error) / sqrt(d))) / 20000 AS h FROM c),
+i AS (SELECT term, SUM(pow(greatest(cos(lo + k.i * h), 0), d - 1)
+             * CASE WHEN k.i IN (0, 20000) THEN 1 WHEN k.i % 2 = 1 THEN 4 ELSE 2 END) * MAX(h) / 3 AS area
+      FROM w, range(0, 20001) k(i) GROUP BY term)
+SELECT w.term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, round(t_value, 6) AS t_value,
+       round(2 * exp(lgamma((d + 1) / 2.0) - lgamma(d / 2.0)) / sqrt(pi()) * area, 6) AS p_value
+FROM w JOIN i ON w.term = i.term""")
 def q_regression_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A26 p-values (``summary(lm)``'s Pr(>|t|)) from Spark ML's normal solver;
-    DuckDB has no t distribution, so this one has a rows-only check."""
+    """A26 p-values (``summary(lm)``'s Pr(>|t|)) from Spark ML's normal solver."""
     p = Tables(spark, sf_dir).part.select(F.log10("p_retailprice").alias("y"), F.log10("p_size").alias("x"))
-    return stats.ml_coefficients(p, "y", "x")
+    return _r6(stats.ml_coefficients(p, "y", "x"), ["estimate", "std_error", "t_value", "p_value"])
 
 
 @query("histogram", """
