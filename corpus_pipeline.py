@@ -4,8 +4,8 @@
 last return the columns of ``documents``, whatever those are; the last returns packed pieces.
 
 1. toxicity: documents that the classifier rejects (predicted 1) go.
-2. near_duplicates: of each SimHash component the document of least doc_id stays, once (the row
-   that sorts first, if that id is repeated).
+2. near_duplicates: of each SimHash component the document of least doc_id stays, once (of a repeated
+   id, a row of the text whose hash is least; rows of that text differ in other columns only).
 3. secrets: spans found by the ledger scan are masked in the text; n_chars, if there, follows.
 4. mixing: every document is repeated as often as the mix takes it; a document that it does not
    take goes. Rows of a repeated doc_id within a source are taken alike.
@@ -53,8 +53,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias(other)).distinct())
     stays = rows.join(kept, rows[key].eqNullSafe(kept[other]), "left_semi")
-    # One row of an id: the partial aggregate leaves one a task before anything is shuffled.
-    return (stays.groupBy(key).agg(F.first(F.struct(*columns)).alias("_row"))
+    # One row of an id: the partial aggregate leaves one a task before anything is shuffled. The row of
+    # the least hash of its text stays, so a rerun keeps the same text.
+    order = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return (stays.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_row"))
             .select(*[F.col("_row")[c].alias(c) for c in columns]))
 
 
