@@ -131,19 +131,21 @@ def q_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("strip_token", """
-SELECT doc_id, md5(replace(lower(text), 'null', '')) AS text_md5,
-       CAST(length(lower(text)) - length(replace(lower(text), 'null', '')) AS INTEGER) AS removed_chars,
-       md5(CASE WHEN lower(lang) = 'null' THEN '' ELSE lower(lang) END) AS lang_md5
-FROM documents""")
+SELECT doc_id, md5(replace(body, 'null', '')) AS text_md5,
+       CAST(length(body) - length(replace(body, 'null', '')) AS INTEGER) AS removed_chars,
+       md5(CASE WHEN tongue = 'null' THEN '' ELSE tongue END) AS lang_md5
+FROM (SELECT doc_id, replace(lower(text), '. ', 'null. ') AS body, replace(lower(lang), 'en', 'null') AS tongue
+      FROM documents)""")
 def q_strip_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4 + X3: ``gsub("null", "", x)`` deletes the token anywhere in each whole
-    text; the whole-value variant only blanks a value equal to the token."""
+    text; the whole-value variant only blanks a value equal to the token. The
+    token is planted at every end of a sentence and for one language."""
     d = Tables(spark, sf_dir).documents
-    low = F.lower("text")
+    low = F.replace(F.lower("text"), F.lit(". "), F.lit("null. "))
     stripped = rsem.strip_token(low)
     return d.select("doc_id", F.md5(stripped).alias("text_md5"),
                     (F.length(low) - F.length(stripped)).alias("removed_chars"),
-                    F.md5(rsem.strip_whole(F.lower("lang"))).alias("lang_md5"))
+                    F.md5(rsem.strip_whole(F.replace(F.lower("lang"), F.lit("en"), F.lit("null")))).alias("lang_md5"))
 
 
 @query("sentinel_null", """

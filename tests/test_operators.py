@@ -129,3 +129,25 @@ def test_exact_quantiles_hot_value(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(3)
     q = aggregates.exact_quantiles(df, "x", [0.1, 0.4, 0.41, 0.5, 0.99]).first()
     assert np.allclose(list(q), np.quantile(vals, [0.1, 0.4, 0.41, 0.5, 0.99]))
+
+
+def test_brand_key_review_keeps_ids_beside_their_names(spark):
+    from auditspark.plans.queries.brands import brand_key_review
+
+    key = spark.createDataFrame([("cola", "alpha", "q9", 1), ("cola", "beta", "q2", 2), ("cola", "beta", "q2", 4),
+                                 ("cola", "gamma", "q9", 8)], "brand_name string, new_name string, id string, sum long")
+    items = spark.createDataFrame([("cola", "x"), ("cola", "x")], "brand_name string, country string")
+    row = brand_key_review(key, items).first().asDict()
+    assert row == {"brand_name": "cola", "parent_company_name": "alpha, beta, gamma", "id": "q9, q2, q9", "sum": 15,
+                   "country": "x"}
+
+
+def test_brand_company_table_counts_companies_without_a_window(spark):
+    from auditspark.plans.queries.brands import brand_company_table
+
+    items = spark.createDataFrame([("cola", "a", "q1", "true", 3), ("cola", "b", "q2", "true", 4), ("cola", "b", "q2", "true", 5)],
+                                  "brand_name string, parent_company_name string, id string, validated string, total_count long")
+    out = brand_company_table(items)
+    assert out.select("brand_parent_occurances", "parent_company_name", "id", "brand_total_count", "brand_frequency"
+                      ).collect() == [(2, "a, b", "q1, q2", 12, 3)]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
