@@ -153,12 +153,14 @@ def merge_by(prints: DataFrame, key: str, k: int = K) -> DataFrame:
     return narrow.mapInPandas(partial, narrow.schema).groupBy(key).applyInPandas(last, narrow.schema)
 
 
-def follow(docs: DataFrame, range_rows: int = 1024) -> DataFrame:
+def follow(docs: DataFrame, ranges_per_task: int = 4) -> DataFrame:
     """Documents in ascending doc_id within each range: rng, last (whether the row is the next range's
     first document, which only closes this one), doc_id, text; sorted within partitions."""
     rows = id_and_text(docs).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
     n = docs.count()
-    ranges = max(1, min(n, max(4 * shuffle_partitions(docs.sparkSession), -(-n // range_rows))))
+    # Rows are streamed in order, so a range may hold any number; the driver keeps one entry a range,
+    # as many as the cluster has tasks to fill, whatever the input's size.
+    ranges = max(1, min(n, ranges_per_task * shuffle_partitions(docs.sparkSession)))
     steps = [i / ranges for i in range(ranges)]
     found = rows.agg(F.percentile_approx("place", steps, max(10_000, 20 * ranges)).alias("q"),
                      F.min("place").alias("least")).first()
