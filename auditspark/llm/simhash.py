@@ -24,7 +24,7 @@ of null doc_ids alone has a null id; an empty table gives an empty result; other
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import discard, id_and_text, stage
+from auditspark.llm.common import id_and_text, stage
 from auditspark.llm.components import components
 
 #: Fixed by the contract.
@@ -43,6 +43,7 @@ MOST_BITS = 4
 
 SMALL_RUN = 16
 HOT_RUN = 20_000
+HASHES_AT_ONCE = 65_536
 
 
 def fingerprint(text: str) -> int:
@@ -53,15 +54,16 @@ def fingerprint(text: str) -> int:
         return 0
     body = b" ".join(words)
     if len(words) <= WORDS:
-        digests, n = xxhash.xxh64_digest(body, SEED), 1
+        digests, n = iter([xxhash.xxh64_digest(body, SEED)]), 1
     else:
         ends = list(accumulate(len(w) + 1 for w in words))
-        starts = [0, *ends]
-        digest = xxhash.xxh64_digest
-        hashed = [digest(body[a:b - 1], SEED) for a, b in zip(starts, ends[WORDS - 1:])]
-        digests, n = b"".join(hashed), len(hashed)
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(n, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n).tobytes(), "big", signed=True)
+        n = len(words) - WORDS + 1
+        digests = (xxhash.xxh64_digest(body[a:b - 1], SEED) for a, b in zip([0, *ends], ends[WORDS - 1:]))
+    set_in = np.zeros(BITS, np.int64)
+    # A byte per bit: added up in parts, so that a very long text needs no more room than a part.
+    while part := b"".join(islice(digests, HASHES_AT_ONCE)):
+        set_in += np.unpackbits(np.frombuffer(part, np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_in > n).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

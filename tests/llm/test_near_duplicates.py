@@ -75,6 +75,13 @@ def test_simhash_against_brute_force(spark):
     assert canon((r.doc_id, r.fp, r.component_id) for r in got) == canon(brute_components(rows))
 
 
+def test_long_texts_are_added_up_in_parts(monkeypatch):
+    text = " ".join(f"W{i * i % 997}" for i in range(1000))
+    whole = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "HASHES_AT_ONCE", 7)
+    assert simhash.fingerprint(text) == whole == simhash.fingerprint(text.lower())
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert simhash.near_duplicates(none).collect() == []
