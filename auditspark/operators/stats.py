@@ -51,6 +51,14 @@ def ols(df: DataFrame, y: str | Column, x: str | Column, by: list[str] | None =
     return ols_from_moments(m, by)
 
 
+def ols_models(df: DataFrame, models: dict[str, tuple[Column, Column]], label: str = "model") -> DataFrame:
+    """Several fits (name: y, x) of one table in one pass, a row each."""
+    one = df.agg(*[F.struct(*ols_moments(y, x)).alias(name) for name, (y, x) in models.items()])
+    pairs = [c for name in models for c in (F.lit(name), F.col(f"`{name}`"))]
+    rows = one.select(F.explode(F.create_map(*pairs)).alias(label, "_m")).select(label, "_m.*")
+    return ols_from_moments(rows, [label])
+
+
 def ols_with_all(df: DataFrame, y: Column, x: Column, group: str, all_label: str = "All") -> DataFrame:
     """A25 + A27: one fit per group plus one over every row ("All").
 
@@ -96,9 +104,9 @@ def ml_coefficients(df: DataFrame, y: str, x: str) -> DataFrame:
                                                  "t_value double, p_value double")
 
 
-# R's pretty() defaults as used by hist().
-HIGH_U_BIAS = 1.5
-U5_BIAS = 0.5 + 1.5 * HIGH_U_BIAS
+# Fixed values of the break rule: a step is 1, 2, 5 or 10 times a power of ten, the first whose limit
+# the wanted cell (in that power of ten) does not exceed.
+PRETTY_STEPS = ((1.4, 1), (2.8, 2), (7.0, 5), (math.inf, 10))
 ROUNDING_EPS = 1e-10
 
 
@@ -107,41 +115,17 @@ def sturges(n: int) -> int:
     return int(math.ceil(math.log2(n) + 1))
 
 
-def pretty_breaks(lo: float, up: float, ndiv: int, min_n: int = 1) -> list[float]:
-    """R's ``pretty(c(lo, up), n = ndiv, min.n = min_n)``: equally spaced round
-    break points (steps of 1, 2 or 5 times a power of ten) covering [lo, up]."""
-    dx = up - lo
-    if dx == 0:
-        cell = abs(lo) or 1.0
-        cell = (9 + cell / 10 if cell > 10 else cell) * 0.75
-        if min_n > 1:
-            cell /= min_n
-    else:
-        cell = dx / ndiv if ndiv > 1 else dx
+def pretty_breaks(lo: float, up: float, cells: int) -> list[float]:
+    """Equally spaced round break points that cover [lo, up] in about ``cells`` steps, as R's ``pretty``
+    picks them for ``hist``. A single value gets one step, away from zero's other side."""
+    size = abs(lo) or 1.0
+    cell = (up - lo) / max(cells, 1) or 0.75 * min(size, 9 + size / 10)
     base = 10.0 ** math.floor(math.log10(cell))
-    unit = base
-    if 2 * base - cell < HIGH_U_BIAS * (cell - unit):
-        unit = 2 * base
-        if 5 * base - cell < U5_BIAS * (cell - unit):
-            unit = 5 * base
-            if 10 * base - cell < HIGH_U_BIAS * (cell - unit):
-                unit = 10 * base
-    ns = math.floor(lo / unit + ROUNDING_EPS)
-    nu = math.ceil(up / unit - ROUNDING_EPS)
-    while ns * unit > lo + ROUNDING_EPS * unit:
-        ns -= 1
-    while nu * unit < up - ROUNDING_EPS * unit:
-        nu += 1
-    k = int(0.5 + nu - ns)
-    if k < min_n:
-        k = min_n - k
-        if ns >= 0:
-            nu += k // 2
-            ns -= k // 2 + k % 2
-        else:
-            ns -= k // 2
-            nu += k // 2 + k % 2
-    return [(ns + i) * unit for i in range(int(nu - ns) + 1)]
+    step = base * next(times for limit, times in PRETTY_STEPS if cell <= limit * base)
+    first, last = math.floor(lo / step + ROUNDING_EPS), math.ceil(up / step - ROUNDING_EPS)
+    if first == last:
+        first, last = (first - 1, last) if first >= 0 else (first, last + 1)
+    return [i * step for i in range(first, last + 1)]
 
 
 def histogram(df: DataFrame, value: Column, breaks: list[float] | None = None) -> DataFrame:
@@ -155,6 +139,8 @@ def histogram(df: DataFrame, value: Column, breaks: list[float] | None = None) -
     v = df.select(value.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if breaks is None:
         lo, up, n = v.agg(F.min("_x"), F.max("_x"), F.count(F.lit(1))).first()
+        if not n:
+            return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, count long")
         breaks = pretty_breaks(float(lo), float(up), sturges(int(n)))
     fuzz = 1e-7 * (breaks[1] - breaks[0])
     inner = F.array(*[F.lit(float(b) + fuzz) for b in breaks[1:-1]])

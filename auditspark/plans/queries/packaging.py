@@ -19,6 +19,11 @@ WORLD_PLASTIC_MASS = 390_700_000
 OUT_DIGITS = 6
 
 
+def models() -> dict[str, tuple[F.Column, F.Column]]:
+    """The two fits of L9: y and x."""
+    return {"log10": (F.log10("mean"), F.log10("global_percent")), "raw": (F.col("mean"), F.col("mass"))}
+
+
 def progress_report(t: Tables) -> DataFrame:
     """A company packaging report as published: company name, an upper-case
     entity ID and the packaging weight as text with thousands separators. Built
@@ -77,9 +82,7 @@ def q_packaging_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_packaging_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A26 on L9: ``lm(log10(mean) ~ log10(global_percent))`` and ``lm(mean ~ mass)``."""
     p = _packaging(spark, sf_dir)
-    log = stats.ols(p, F.log10("mean"), F.log10("global_percent")).withColumn("model", F.lit("log10"))
-    raw = stats.ols(p, "mean", "mass").withColumn("model", F.lit("raw"))
-    out = log.unionByName(raw).select("model", *_FIT_OUT)
+    out = stats.ols_models(p, models()).select("model", *_FIT_OUT)
     return out.withColumns({c: F.round(c, OUT_DIGITS) for c in _FIT_DOUBLES})
 
 

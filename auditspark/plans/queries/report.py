@@ -180,6 +180,8 @@ UNION ALL SELECT 'assessed_minus_above', CAST(COUNT(*) FILTER (WHERE validated I
   - COUNT(*) FILTER (WHERE brand_total_count > 100 AND brand_frequency > 10) AS DOUBLE) FROM bc
 UNION ALL SELECT 'n_companies', CAST(COUNT(DISTINCT id) AS DOUBLE) FROM shares
 UNION ALL SELECT 'grid_events', CAST(COUNT(DISTINCT event_id) AS DOUBLE) FROM shares
+UNION ALL SELECT 'n_packaging_rows', CAST(COUNT(*) AS DOUBLE) FROM (SELECT DISTINCT id FROM shares) s
+  JOIN (SELECT DISTINCT 'q' || CAST(CAST(substr(p_brand, 7, 8) AS INTEGER) + 100 AS VARCHAR) AS id FROM part) p ON p.id = s.id
 UNION ALL SELECT 'unbranded_dominated', CAST(COUNT(*) FILTER (WHERE id = 'unbranded' AND proportion > 0.9)
   AS DOUBLE) FROM proc""", _PROC_SQL, _EL_SQL, *_BC_SQL,
     ("ev", """
@@ -193,6 +195,7 @@ UNION ALL SELECT 'unbranded_dominated', CAST(COUNT(*) FILTER (WHERE id = 'unbran
 def q_report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers reported in the paper, one row each."""
     from auditspark.operators.ordered import materialize
+    from auditspark.plans.queries.packaging import packaging, progress_report
 
     t = Tables(spark, sf_dir)
     proc = materialize(processed(t))
@@ -213,6 +216,7 @@ def q_report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "grid_events": F.count_distinct("event_id")}),
         _metrics(el, {"events_before": F.count(F.lit(1)), "n_countries": rsem.n_distinct_na("country")}),
         _metrics(ev2, {"events_after": F.count(F.lit(1))}),
+        _metrics(packaging(progress_report(t), sh.select("id").distinct()), {"n_packaging_rows": F.count(F.lit(1))}),
         _metrics(bc, {"n_brand_rows": F.count(F.lit(1)), "above_threshold": F.count_if(above),
                       "assessed_below_threshold": F.count_if(below),
                       "assessed_minus_above": F.count_if(assessed) - F.count_if(above)}),

@@ -119,10 +119,9 @@ def q_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lm(y ~ x)`` and ``lm(log10(y) ~ log10(x))`` with ``summary``
     statistics (price on size of parts)."""
     p = Tables(spark, sf_dir).part
-    raw = stats.ols(p, "p_retailprice", "p_size").withColumn("model", F.lit("raw"))
-    log = stats.ols(p, F.log10("p_retailprice"), F.log10("p_size")).withColumn("model", F.lit("log10"))
-    out = raw.unionByName(log).select("model", *_FIT_OUT)
-    return _r6(out, _FIT_DOUBLES)
+    y, x = F.col("p_retailprice"), F.col("p_size")
+    out = stats.ols_models(p, {"raw": (y, x), "log10": (F.log10(y), F.log10(x))})
+    return _r6(out.select("model", *_FIT_OUT), _FIT_DOUBLES)
 
 
 def _sector(col: str = "p_type") -> F.Column:
@@ -228,24 +227,26 @@ def q_regression_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r6(stats.ml_coefficients(p, "y", "x"), ["estimate", "std_error", "t_value", "p_value"])
 
 
-@query("histogram", """
-WITH v AS (SELECT log10(o_totalprice) AS x FROM orders WHERE o_totalprice IS NOT NULL AND NOT isnan(log10(o_totalprice))),
+def hist_sql(values: str) -> str:
+    """Histogram of the column x of ``values``."""
+    return f"""
+WITH v AS ({values}),
 s AS (SELECT min(x) AS lo, max(x) AS up, COUNT(*) AS n FROM v),
 c AS (SELECT lo, up, (up - lo) / ceil(log2(n) + 1) AS cell FROM s),
 b AS (SELECT lo, up, cell, pow(10, floor(log10(cell))) AS base FROM c),
-u AS (SELECT lo, up, CASE WHEN 2 * base - cell < 1.5 * (cell - base) THEN
-        CASE WHEN 5 * base - cell < 2.75 * (cell - 2 * base) THEN
-          CASE WHEN 10 * base - cell < 1.5 * (cell - 5 * base) THEN 10 * base ELSE 5 * base END
-        ELSE 2 * base END ELSE base END AS unit FROM b),
-k0 AS (SELECT lo, up, unit, floor(lo / unit + 1e-10) AS ns, ceil(up / unit - 1e-10) AS nu FROM u),
-k AS (SELECT unit, CASE WHEN ns * unit > lo + 1e-10 * unit THEN ns - 1 ELSE ns END AS ns,
-             CASE WHEN nu * unit < up - 1e-10 * unit THEN nu + 1 ELSE nu END AS nu FROM k0),
+u AS (SELECT lo, up, base * CASE WHEN cell <= 1.4 * base THEN 1 WHEN cell <= 2.8 * base THEN 2
+                                 WHEN cell <= 7 * base THEN 5 ELSE 10 END AS unit FROM b),
+k AS (SELECT unit, floor(lo / unit + 1e-10) AS ns, ceil(up / unit - 1e-10) AS nu FROM u),
 br AS (SELECT CAST(t.i AS INTEGER) AS i, (k.ns + t.i) * k.unit AS b, 1e-7 * k.unit AS fz, CAST(k.nu - k.ns AS INTEGER) AS nb
        FROM k, range(0, CAST(k.nu - k.ns AS BIGINT) + 1) t(i)),
 binned AS (SELECT 1 + (SELECT COUNT(*) FROM br WHERE br.i > 0 AND br.i < br.nb AND br.b + br.fz < v.x) AS bin FROM v)
 SELECT CAST(lo.i + 1 AS INTEGER) AS bin, round(lo.b, 6) AS lower, round(hi.b, 6) AS upper,
        (SELECT COUNT(*) FROM binned WHERE binned.bin = lo.i + 1) AS count
-FROM br lo JOIN br hi ON hi.i = lo.i + 1""")
+FROM br lo JOIN br hi ON hi.i = lo.i + 1"""
+
+
+@query("histogram", hist_sql(
+    "SELECT log10(o_totalprice) AS x FROM orders WHERE o_totalprice IS NOT NULL AND NOT isnan(log10(o_totalprice))"))
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hist(log10(x))`` counts with Sturges + pretty break points."""
     o = Tables(spark, sf_dir).orders
