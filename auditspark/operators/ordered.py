@@ -21,8 +21,15 @@ from auditspark.session import checkpoint_dir
 
 
 def attach_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """Append the columns of a one-row frame (an ungrouped aggregate) to every row."""
-    return df.join(F.broadcast(scalar), how="inner")
+    """Append the columns of a one-row frame (an ungrouped aggregate) to every row.
+
+    What is broadcast is an ungrouped aggregate, so its size is one row whatever the caller passes; a
+    frame of more rows is an error, an empty one leaves no rows."""
+    more = F.raise_error(F.lit("attach_scalar expects a frame of one row"))
+    one = (scalar.agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*scalar.columns)).alias("_row"))
+           .where(F.col("_n") > 0).select(F.when(F.col("_n") > 1, more).otherwise(F.col("_row")).alias("_row"))
+           .select(*[F.col("_row")[c].alias(c) for c in scalar.columns]))
+    return df.join(F.broadcast(one), how="inner")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def sturges(n: int) -> int:
 
 def pretty_breaks(lo: float, up: float, cells: int) -> list[float]:
     """Equally spaced round break points that cover [lo, up] in about ``cells`` steps, as R's ``pretty``
-    picks them for ``hist``. A single value gets one step, away from zero's other side."""
+    picks them for ``hist``. A single value on a break point gets one step, towards zero."""
     size = abs(lo) or 1.0
     cell = (up - lo) / max(cells, 1) or 0.75 * min(size, 9 + size / 10)
     base = 10.0 ** math.floor(math.log10(cell))

@@ -202,9 +202,50 @@ def test_histogram(pack, rows):
     assert [r["count"] for r in h] == [int(((y > k) & (y <= k + 1)).sum()) for k in range(-7, 0)]
 
 
-def test_pretty_matches_r():
-    assert stats.pretty_breaks(0.0, 1.0, 5) == [0.0, 0.2, 0.4, 0.6000000000000001, 0.8, 1.0]
-    assert stats.pretty_breaks(1.0, 99.0, 7)[0] == 0.0 and stats.sturges(34) == 7
+@pytest.mark.parametrize("lo, up, cells, breaks", [
+    (0.0, 1.0, 5, [0, 0.2, 0.4, 0.6, 0.8, 1]),
+    (1.0, 99.0, 6, [0, 20, 40, 60, 80, 100]),
+    (1.0, 99.0, 7, [0, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100]),  # a cell of 14 still steps by 10
+    (0.0, 14.0, 10, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]),
+    (0.0, 15.0, 10, [0, 2, 4, 6, 8, 10, 12, 14, 16]),
+    (-0.03, 0.05, 4, [-0.04, -0.02, 0, 0.02, 0.04, 0.06]),
+    (0.0, 75.0, 10, [0, 10, 20, 30, 40, 50, 60, 70, 80]),
+    (4.0, 4.0, 1, [0, 5]),
+    (5.0, 5.0, 1, [0, 5]),  # one value on a break point: a step towards zero
+    (-5.0, -5.0, 1, [-5, 0]),
+])
+def test_round_break_points(lo, up, cells, breaks):
+    assert stats.pretty_breaks(lo, up, cells) == pytest.approx(breaks)
+
+
+def test_histogram_of_a_column_without_values(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    assert stats.sturges(34) == 7 and stats.histogram(df, F.col("x")).collect() == []
+
+
+def test_several_fits_in_one_pass(spark, pack):
+    pairs = {"raw": (F.col("mean"), F.col("mass")), "log": (F.log10("mean"), F.log10("mass"))}
+    got = {r.model: r for r in stats.ols_models(pack, pairs).collect()}
+    for name, (y, x) in pairs.items():
+        one = stats.ols(pack, y, x).first()
+        assert all(got[name][c] == pytest.approx(one[c], rel=1e-12) for c in one.asDict())
+
+
+def test_a_scalar_has_one_row(spark):
+    df = spark.range(3)
+    assert ordered.attach_scalar(df, spark.createDataFrame([(7, None)], "a int, b int")).count() == 3
+    assert ordered.attach_scalar(df, spark.createDataFrame([], "a int")).collect() == []
+    with pytest.raises(Exception, match="one row"):
+        ordered.attach_scalar(df, spark.createDataFrame([(1,), (2,)], "a int")).collect()
+
+
+def test_points_outside_the_axes_are_left_out(spark):
+    from auditspark.plans.queries import products
+
+    rows = [("food", 1e-3, 1e-2), ("beverages", 0.2, 0.1), ("oil", 1e-7, 1e-2), ("home", 1e-3, 1e-9), ("home", 0.1, 1.0)]
+    df = spark.createDataFrame(rows, "Sector string, global_percent double, mean double")
+    got = sorted((r.sector, round(r.x, 6), round(r.y, 6)) for r in products.within_limits(df).collect())
+    assert got == [("Food and Beverage", 0.1, 1.0), ("Household and Retail", 10.0, 100.0)]
 
 
 def test_ranks_ties_and_running_share(spark):

@@ -19,7 +19,8 @@ def plan_of(df) -> str:
 
 
 @pytest.mark.parametrize("name", ["plausible_items", "event_shares", "top_companies", "collapse_duplicates",
-                                  "brand_company_table", "dense_grid_mean", "regression_by_group"])
+                                  "brand_company_table", "dense_grid_mean", "regression_by_group", "top_products",
+                                  "product_packaging", "packaging_by_sector"])
 def test_no_cartesian_product(spark, name):
     plan = plan_of(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan
