@@ -154,7 +154,7 @@ def audit_items(t: Tables) -> DataFrame:
 
 
 def clean_items(t: Tables) -> DataFrame:
-    """Items that pass L1 (``joined_clean`` of the reference), with attributes.
+    """Items that pass L1, with attributes.
 
     In this view the share sum of an event is an event-level quantity - the
     positive item counts over the declared total - so it comes from the same

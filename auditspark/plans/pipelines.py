@@ -24,7 +24,7 @@ EVENT_KEYS = ["submission_type", "submission_id", "year"]
 
 
 def ingest(items: DataFrame, events: DataFrame, brand_key: DataFrame) -> DataFrame:
-    """L1 (``joined_clean``): items joined to their outdoor events on the
+    """L1: items joined to their outdoor events on the
     shared submission keys (J1, P3 rename, F4 equality filter), brand key
     attached (J4), then the plausibility rules and the sum-to-one filter, with
     the event id built and ``file_name`` dropped (P2)."""
@@ -80,7 +80,7 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def attribute(processed: DataFrame, replicates: int = bootstrap.REPLICATES) -> DataFrame:
-    """L8 (``boot_name_sorted``): per-event company shares without unbranded
+    """Per-event company shares without unbranded
     items, zero-filled mean share with bootstrap bounds, rank with average ties
     and the running share."""
     sh = shares.event_company_shares(processed)
@@ -96,7 +96,7 @@ ENRICH_DROP = ["row_id", "X", "sum", "parent_company_name_old", "parent_company"
 
 
 def enrich(df: DataFrame, locations: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """L4 (``raw_processed_data``): brands with conflicting statuses demoted to
+    """L4: brands with conflicting statuses demoted to
     "false" (A8, A10), ``volunteer`` as integer, the "null" token deleted from
     city..continent (C4, P6), the gazetteer joined on the four location keys
     with the most specific coordinate and its level (J5, C18, C19), entity

@@ -43,7 +43,7 @@ def company_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, id, city, province, country, continent, year, specifics_of_audit, company_sum,
        event_total_count_no_unbrand, round(proportion, 6) AS proportion FROM shares""", *_SHARES_SQL))
 def q_event_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``raw_processed_data_event_ag`` - share of each company per event."""
+    """Share of each company per event."""
     return event_shares(spark, sf_dir).withColumn("proportion", F.round("proportion", OUT_DIGITS))
 
 
@@ -77,7 +77,7 @@ SELECT id, CAST(total_company_sum AS BIGINT) AS total_company_sum,
        round(total_company_sum / CAST(SUM(total_company_sum) OVER () AS DOUBLE), 6) AS proportion_aggregated
 FROM (SELECT id, SUM(company_sum) AS total_company_sum FROM shares GROUP BY id)""", *_SHARES_SQL))
 def q_pooled_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``proportion_without_mean`` - company total over the grand total."""
+    """Company total over the grand total."""
     p = shares.pooled_share(event_shares(spark, sf_dir))
     return p.withColumn("proportion_aggregated", F.round("proportion_aggregated", OUT_DIGITS))
 
@@ -109,7 +109,7 @@ def ranked_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, round(mean, 6) AS mean, CAST(rank AS DOUBLE) AS rank, round(cumulative, 6) AS cumulative
 FROM ranked""", *_RANK_SQL))
 def q_cumulative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W4 + W5 + O1: ``boot_name_sorted`` - rank with average ties and the
+    """W4 + W5 + O1: rank with average ties and the
     running share in descending order."""
     r = ranked_companies(spark, sf_dir)
     return r.select("id", F.round("mean", OUT_DIGITS).alias("mean"), F.col("rank").cast("double"),
@@ -141,7 +141,7 @@ def q_sum_to_one_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, submission_id, p_partkey, brand_name, id, total_count, event_total_count,
        round(proportion, 6) AS proportion, round(sum, 6) AS sum FROM clean"""))
 def q_plausible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1: ``joined_clean`` - items of plausible audits with share and event id."""
+    """L1: items of plausible audits with share and event id."""
     c = audit.clean_items(Tables(spark, sf_dir))
     return c.select("event_id", "submission_id", "p_partkey", "brand_name", "id", "total_count",
                     "event_total_count", F.round("proportion", OUT_DIGITS).alias("proportion"),
@@ -172,7 +172,7 @@ LEFT JOIN reps r ON r.id = g.id AND r.b = g.b
 JOIN means mm ON mm.id = g.id
 GROUP BY g.id""", *_SHARES_SQL, *_boot_sql("SELECT event_id, id, proportion FROM shares", "proportion", True)))
 def q_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A19 + A20 + X1: ``boot_name`` - zero-filled mean share of each company
+    """A19 + A20 + X1: zero-filled mean share of each company
     with bootstrap 2.5 % / 97.5 % bounds (B = 100, seed 3437)."""
     ci = bootstrap.boot_mean_ci(event_shares(spark, sf_dir), "event_id", "id", "proportion")
     return ci.select("id", *[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])

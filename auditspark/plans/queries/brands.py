@@ -337,7 +337,7 @@ SELECT parent_company_name, id, round(mean, 6) AS mean FROM named""",
                                *_SHARES_SQL, *_BC_SQL, *_TOP_SQL))
 def q_top_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O2 + O5 + J4: the 100 largest companies (ties kept) labelled with the
-    brand table's names, distinct (name, id, mean) - ``small_brand_name``."""
+    brand table's names, distinct (name, id, mean)."""
     return _top_named(spark, sf_dir).withColumn("mean", F.round("mean", 6))
 
 

@@ -46,7 +46,7 @@ f4 AS (SELECT *, CASE WHEN pcn3 IS NULL THEN NULL WHEN pcn3 = 'NULL' THEN brand_
 SELECT p_partkey, validated, parent_company_name,
        CASE WHEN id = '' OR id IS NULL THEN parent_company_name ELSE id END AS id FROM f4""")
 def q_fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status, company and id fallbacks in order (R:182-187)."""
+    """Status, company and id fallbacks in order."""
     out = resolve.fallback_chain(_fallback_input(Tables(spark, sf_dir)))
     return out.select("p_partkey", "validated", "parent_company_name", "id")
 

@@ -38,7 +38,7 @@ def progress_report(t: Tables) -> DataFrame:
 
 
 def packaging(report: DataFrame, means: DataFrame) -> DataFrame:
-    """L9 (``elen_data``): lower-case the report ID, inner join to the company
+    """Lower-case the report ID, inner join to the company
     means on ``ID = id`` (companies missing on either side drop out), parse the
     weight text and express it as a fraction of world production."""
     r = report.withColumn("ID", F.lower("ID"))
