@@ -53,6 +53,13 @@ def label_remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_key() -> Column:
+    """A digest of doc_id and text, never null; a null text counts as empty. Only repeats share it."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.unhex(F.sha2(F.concat(doc_id, F.lit(":"), text).cast("binary"), 256))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only the two columns the operators read, under fixed names; null texts become empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import id_and_text, stage
+from auditspark.llm.common import id_and_text, row_key, stage
 from auditspark.llm.components import components
 
 #: Fixed by the contract.
@@ -66,15 +66,19 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * set_in > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp of every row; one narrow pass, no shuffle."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, fp and, if ``keyed``, row_key of every row; one narrow pass, no shuffle."""
+    keys = ["row_key"] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]],
+                                             ["doc_id", "fp", *keys])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    rows = id_and_text(docs)
+    return (rows.select("doc_id", "text", *[row_key().alias(k) for k in keys])
+            .mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{k} binary" for k in keys]])))
 
 
 def segments(bits: list[int], most_bits: int) -> list[list[int]]:
@@ -210,13 +214,26 @@ def links(prints: DataFrame, most_bits: int = MOST_BITS, hot: int = HOT_RUN) ->
     return pairs.unionByName(more)
 
 
+def _rooted(by_print: DataFrame, most_bits: int) -> DataFrame:
+    """fp, least and root (the least fingerprint of the component, never null) of distinct fingerprints."""
+    roots = components(links(by_print.select("fp"), most_bits))
+    return (by_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
+def representatives(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """row_key of one row of each component: of the least doc_id, nulls last, then of the least key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    by_print = stage(fingerprints(docs, keyed=True).groupBy("fp").agg(first.alias("least")))
+    return (_rooted(by_print, most_bits).groupBy("root").agg(F.min("least").alias("least"))
+            .select(F.col("least.row_key").alias("row_key")))
+
+
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of every row."""
     prints = stage(fingerprints(docs))
     by_print = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(by_print.select("fp"), most_bits))
-    rooted = (by_print.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(by_print, most_bits)
     own = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(own, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")

@@ -4,8 +4,8 @@
 last return the columns of ``documents``, whatever those are; the last returns packed pieces.
 
 1. toxicity: documents that the classifier rejects (predicted 1) go.
-2. near_duplicates: of each SimHash component the document of least doc_id stays, once (of a repeated
-   id, a row of the text whose hash is least; rows of that text differ in other columns only).
+2. near_duplicates: of each SimHash component one row stays, of the least doc_id (a null one only if
+   there are no others) and, of a repeated id, of the text whose hash is least.
 3. secrets: spans found by the ledger scan are masked in the text; n_chars, if there, follows.
 4. mixing: every document is repeated as often as the mix takes it; a document that it does not
    take goes. Rows of a repeated doc_id within a source are taken alike.
@@ -22,9 +22,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from auditspark.llm import mixing, packing, secret_scan, simhash, toxicity
-from auditspark.llm.common import fresh, stage
+from auditspark.llm.common import fresh, row_key, stage
 from auditspark.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -47,17 +48,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    rows, key, columns = _numbered(docs)
-    other = fresh([*columns, key], "_kept")
-    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias(other)).distinct())
-    stays = rows.join(kept, rows[key].eqNullSafe(kept[other]), "left_semi")
-    # One row of an id: the partial aggregate leaves one a task before anything is shuffled. The row of
-    # the least hash of its text stays, so a rerun keeps the same text.
-    order = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return (stays.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("_row"))
-            .select(*[F.col("_row")[c].alias(c) for c in columns]))
+    columns, key, row = docs.columns, fresh(docs.columns, "_key"), fresh(docs.columns, "_row")
+    kept = simhash.representatives(docs).withColumnRenamed("row_key", key)
+    # One row of an id and text: the partial aggregate leaves one a task before anything is shuffled.
+    # Its repeats differ in other columns only; the least hash of those stays, so a rerun keeps the same.
+    order = F.xxhash64(*[c for c in columns if isinstance(docs.schema[c].dataType, AtomicType)])
+    once = docs.withColumn(key, row_key()).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias(row))
+    return once.join(kept, key, "left_semi").select(*[F.col(row)[c].alias(c) for c in columns])
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,17 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter(want)
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_component(spark):
+    """Whatever the ids: null ones, also of copies of a document with an id, and repeated ones."""
+    rng = random.Random(8)
+    text = [" ".join(rng.choice("abcdefghijklmnopq") * 3 for _ in range(60)) for _ in range(9)]
+    rows = [(None, t, "a") for t in text[:4]] + [(None, text[0], "b"), (1, text[3], "a"), (3, text[5], "a"),
+            (5, text[4], "a"), (5, text[5], "a"), (5, text[4], "b"), (6, text[4], "a"), (7, text[6], "a")]
+    got = corpus_pipeline.near_duplicates_stage(spark, documents(spark, rows).repartition(3), SF).collect()
+    want = {(None, text[0]), (None, text[1]), (None, text[2]), (1, text[3]), (3, text[5]), (5, text[4]), (7, text[6])}
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_secrets_stage_masks_and_keeps_rows(spark):
     rows = corpus()
     got = corpus_pipeline.secrets_stage(spark, documents(spark, rows), SF)
