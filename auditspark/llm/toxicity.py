@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import id_and_text, label_remainder, shuffle_partitions, stage
+from auditspark.llm.common import id_and_text, label_remainder, row_key, shuffle_partitions, stage
 
 PER_CLASS = 6_000
 NEIGHBOURS = 15
@@ -104,8 +104,9 @@ def choose_terms(examples: DataFrame, numbers: list[int], drawn: list[int], leas
     return sorted(r["term"] for r in kept.select("term").collect())
 
 
-def term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, terms (numbers in the vocabulary, ascending) and counts of every document."""
+def term_counts(docs: DataFrame, vocabulary: list[str], keyed: bool = False) -> DataFrame:
+    """doc_id, terms (numbers in the vocabulary, ascending), counts and, if ``keyed``, row_key of every document."""
+    keys = ["row_key"] if keyed else []
     number = {t: i for i, t in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +127,12 @@ def term_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
                 terms.append(sorted(found))
                 counts.append([found[t] for t in terms[-1]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                ["doc_id", "terms", "counts"])
+                [batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())),
+                 *batch.columns[2:]], ["doc_id", "terms", "counts", *keys])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    schema = ["doc_id long, terms array<int>, counts array<int>", *[f"{k} binary" for k in keys]]
+    rows = id_and_text(docs)
+    return rows.select("doc_id", "text", *[row_key().alias(k) for k in keys]).mapInArrow(run, ", ".join(schema))
 
 
 def unit_vector(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,14 +216,17 @@ def fit_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> t
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1,
-             per_class: int = PER_CLASS, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (nearest examples) of every row of ``docs``."""
+             per_class: int = PER_CLASS, k: int = NEIGHBOURS, threshold: float = THRESHOLD,
+             keyed: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (nearest examples) and, if ``keyed``, row_key of every row
+    of ``docs``."""
+    keys = ["row_key"] if keyed else []
     sample, numbers = labelled_sample(labels, label, modulus, held, per_class)
     examples = stage(labelled_texts(docs, sample))
     drawn_rows = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     drawn = [drawn_rows.get(0, 0), drawn_rows.get(1, 0)]
     vocabulary = choose_terms(examples, numbers, drawn)
-    counted = stage(term_counts(docs, vocabulary))
+    counted = stage(term_counts(docs, vocabulary, keyed))
 
     total = counted.count()
     frequency = np.zeros(len(vocabulary))
@@ -270,9 +276,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
             kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(3), pa.array(scores, pa.float64()),
-                 pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)],
-                ["doc_id", "held_out", "score", "predicted", "evidence"])
+                 pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind), *batch.columns[4:]],
+                ["doc_id", "held_out", "score", "predicted", "evidence", *keys])
 
     # The counts are small files, the search is the work: deal it out evenly.
-    return (counted.select("doc_id", "terms", "counts", (label_remainder("doc_id", modulus) == held).alias("held_out"))
-            .repartition(shuffle_partitions(docs.sparkSession)).mapInArrow(run, SCORED))
+    return (counted.select("doc_id", "terms", "counts", (label_remainder("doc_id", modulus) == held).alias("held_out"), *keys)
+            .repartition(shuffle_partitions(docs.sparkSession))
+            .mapInArrow(run, ", ".join([SCORED, *[f"{c} binary" for c in keys]])))

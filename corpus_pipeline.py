@@ -3,7 +3,7 @@
 ``STAGES`` are applied in order; each reads what the one before kept, written as Parquet. All but the
 last return the columns of ``documents``, whatever those are; the last returns packed pieces.
 
-1. toxicity: documents that the classifier rejects (predicted 1) go.
+1. toxicity: rows whose text the classifier rejects (predicted 1) go, other rows of their doc_id stay.
 2. near_duplicates: of each SimHash component one row stays, of the least doc_id (a null one only if
    there are no others) and, of a repeated id, of the text whose hash is least.
 3. secrets: spans found by the ledger scan are masked in the text; n_chars, if there, follows.
@@ -38,13 +38,11 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str, list[str]]:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    rows, key, columns = _numbered(docs)
-    # Repeated ids may hold different texts: an id goes if any of its texts is rejected.
-    rejected = scored.where(F.col("predicted") == 1).select(F.col("doc_id").alias(key)).distinct()
-    other = fresh([*columns, key], "_rejected")
-    rejected = rejected.withColumnRenamed(key, other)
-    return rows.join(rejected, rows[key].eqNullSafe(rejected[other]), "left_anti").select(*columns)
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keyed=True)
+    key = fresh(docs.columns, "_key")
+    # Rows of a repeated or null id may hold different texts: each goes by its own.
+    rejected = scored.where(F.col("predicted") == 1).select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditspark.llm import mixing, packing, secret_scan, topk
+from auditspark.llm import mixing, packing, queries, secret_scan, topk
 from tests.llm.test_near_duplicates import brute_components
 from tests.llm.test_scans_and_classifiers import brute_base
 
@@ -155,6 +155,18 @@ def test_toxicity_stage_rejects_what_the_operator_predicts(spark):
     assert got.columns == docs.columns
 
 
+def test_toxicity_stage_keeps_clean_texts_of_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rejected = {r.doc_id for r in queries.op2_toxicity(spark, SF).collect() if r.predicted}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
+    toxic, *clean = [texts[min(rejected)], *[texts[i] for i in sorted(texts.keys() - rejected)[:3]]]
+    odd = [(None, toxic), (None, clean[0]), (None, clean[1]), (10**9, toxic), (10**9, clean[2]), (10**9, clean[2])]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    got = corpus_pipeline.toxicity_stage(spark, docs.unionByName(more, allowMissingColumns=True), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got if r.doc_id in (None, 10**9)) == Counter(
+        [(None, clean[0]), (None, clean[1]), (10**9, clean[2]), (10**9, clean[2])])
+
+
 def test_every_stage_takes_an_empty_table(spark):
     for name, step in corpus_pipeline.STAGES:
         out = step(spark, documents(spark, []), SF)
