@@ -92,6 +92,25 @@ def test_pack_documents_against_brute_force(spark, rows):
     assert used <= least * 1.05 + 2
 
 
+def test_special_tokens_in_texts_get_their_ids(spark):
+    end = "<|endoftext|>"
+    texts = [end, f"one text{end}another  {end}\n\n{end}{end} it's", f"{end[:-1]} {end}", f"x {end} " * 3_000]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in tok.get_added_tokens_decoder().items()} == packing.SPECIAL[packing.TOKENIZER]
+    for name in (packing.TOKENIZER, "byte_bpe_50k.json"):
+        encode = packing.load_encoder(name)
+        assert all(encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids for t in texts)
+    want = Counter()
+    for i, text in enumerate(texts):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (ids == 50256).sum() == text.count(end)
+        start = 0
+        for piece, n in enumerate(packing.cut(len(ids), 2048)):
+            want[i, piece, start, n, zlib.crc32(ids[start:start + n].tobytes())] += 1
+            start += n
+    check_packed(packing.pack_documents(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect(), want)
+
+
 def test_rounds_merge_groups_and_keep_every_item(spark):
     rng = np.random.default_rng(3)
     lengths = [int(x) for x in rng.integers(1, 2049, 3000)]
