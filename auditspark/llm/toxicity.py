@@ -8,7 +8,7 @@
 3. The examples form an inverted index in blocks of 64 with each term's largest weight per block.
    A query adds up its blocks' bounds, opens blocks from the highest bound on, and stops at the
    first that cannot reach the k-th best cosine: the k nearest are exact.
-4. Neighbours vote with weight 1 / (distance + 0.1), classes weighed back to their true numbers. A
+4. All neighbours are a row's evidence, nearest first. They vote with weight 1 / (distance + 0.1), classes weighed back to their true numbers. A
    logistic curve fitted to the examples' own leave-one-out votes turns votes into probabilities.
 
 Defined results: a null or empty text, or one without a term of the vocabulary, scores the rate
@@ -218,7 +218,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> t
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1,
              per_class: int = PER_CLASS, k: int = NEIGHBOURS, threshold: float = THRESHOLD,
              keyed: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (nearest examples) and, if ``keyed``, row_key of every row
+    """doc_id, held_out, score, predicted, evidence (its ``k`` nearest examples) and, if ``keyed``, row_key of every row
     of ``docs``."""
     keys = ["row_key"] if keyed else []
     sample, numbers = labelled_sample(labels, label, modulus, held, per_class)
@@ -267,7 +267,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
                         score = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds))))
                     else:
                         score = empty_score
-                    got = score, [{"example": int(names[i]), "similarity": s, "label": int(marks[i])} for s, i in found[:5]]
+                    got = score, [{"example": int(names[i]), "similarity": s, "label": int(marks[i])} for s, i in found]
                     if len(known) >= 20_000:
                         known.clear()
                     known[key] = got

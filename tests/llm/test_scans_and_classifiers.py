@@ -143,6 +143,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert by[None].evidence[0].label == 1
 
 
+def test_scores_follow_from_the_evidence(spark):
+    rows, labels = corpus()
+    got = toxicity.toxicity(frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    assert max(len(r.evidence) for r in got) == toxicity.NEIGHBOURS
+    marks, even = np.array([0, 1]), np.ones(2)
+    found = sorted((toxicity.vote([(e.similarity, e.label) for e in r.evidence], marks, even), r.score)
+                   for r in got if r.evidence)
+    assert all(a[1] <= b[1] + 1e-9 for a, b in zip(found, found[1:]))
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark):
     rows, labels = corpus(n=400)
     other = [(i, 1 - q, 1 - t, x) if zlib.crc32(str(i).encode()) % 3 == 1 else (i, q, t, x) for i, q, t, x in labels]
