@@ -1,7 +1,8 @@
 """Sharding by sampled splitters.
 
-A record's key is a 63-bit number: the high bits hash its text, the low bits its doc_id, so equal
-texts are neighbours and even one text that holds a third of all rows can be divided.
+A record's key is a 63-bit number: the high bits hash its text, the low bits its doc_id and the number
+of its row, so equal texts are neighbours and even one text or one repeated row that is a third of all
+rows can be divided. Row numbers are written with the keys; those of another run may differ.
 
 1. Draw keys with probability proportional to the record's size; their quantiles are the first
    splitters. About ``samples`` keys reach the driver, whatever the input's size.
@@ -29,7 +30,7 @@ from auditspark.llm.common import id_and_text, stage
 
 SHARDS = 24
 OVERHEAD = 8
-#: Low bits of a key, from the doc_id; the other 41 come from the text.
+#: Low bits of a key, from the doc_id and row number; the other 41 come from the text.
 DOC_BITS = 22
 SEED = 7
 
@@ -37,7 +38,7 @@ SEED = 7
 def records(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and key of every row."""
     raw = F.col("text").cast("binary")
-    doc_part = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 64 - DOC_BITS)
+    doc_part = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", F.monotonically_increasing_id()), 64 - DOC_BITS)
     text_part = F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), DOC_BITS + 1), DOC_BITS)
     return id_and_text(docs).select(
         "doc_id", (F.octet_length("text") + OVERHEAD).cast("long").alias("size"),

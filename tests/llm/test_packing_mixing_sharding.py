@@ -228,6 +228,18 @@ def test_a_text_that_is_most_of_the_table_is_divided(spark):
     assert len(size) == 8 and all(abs(n - even) <= 0.04 * even for n in size.values())
 
 
+def test_repeated_rows_that_are_half_of_the_table_are_divided(spark):
+    rows = [(i, f"text number {i} " * 3, "a") for i in range(2000)]
+    rows += [(7, "the same row again and again ", "a")] * 2000 + [(None, "", "a")] * 4000
+    got = sharding.shard(frame(spark, rows).repartition(4), shards=8).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert len(got) == len(rows) and all(sorted(r.slot for r in own) == list(range(len(own))) for own in by.values())
+    even = sum(r["size"] for r in got) / 8
+    assert len(by) == 8 and all(abs(sum(r["size"] for r in own) / even - 1) < 0.1 for own in by.values())
+
+
 def test_light_texts_stay_whole(spark):
     rows = [(i, f"text number {i // 3} of a thousand", "s") for i in range(3000)]
     got = sharding.shard(frame(spark, rows), shards=4, ranges_per_shard=32).collect()
