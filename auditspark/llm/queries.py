@@ -11,8 +11,8 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import (conversation, fingerprint, mixing, packing, quality, secret_scan, sharding, simhash,
-                            topk, toxicity, urlfilter)
+from auditspark.llm import (conversation, fingerprint, lexical, mixing, packing, quality, secret_scan, sharding,
+                            simhash, topk, toxicity, urlfilter)
 from auditspark.sources.tables import table
 
 
@@ -79,6 +79,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair_conversations(conversation.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -91,9 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_simhash": op10_simhash,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op9_exact_topk": topk.TOPK_SQL}
+ORACLE: dict[str, str] = {"op5_mixing": mixing.MIX_SQL, "op9_exact_topk": topk.TOPK_SQL,
+                          "op12_lexical_search": lexical.SEARCH_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
