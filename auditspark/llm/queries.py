@@ -11,8 +11,8 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditspark.llm import (conversation, fingerprint, lexical, mixing, packing, quality, secret_scan, sharding,
-                            simhash, topk, toxicity, urlfilter)
+from auditspark.llm import (conversation, fingerprint, lexical, mixing, packing, pii, quality, secret_scan,
+                            sharding, simhash, topk, toxicity, urlfilter)
 from auditspark.sources.tables import table
 
 
@@ -24,12 +24,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def _joined(found: Column) -> Column:
-    return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])))
+def _joined(found: Column, named: str = "rule") -> Column:
+    return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", s[named], s["start"], s["end"])))
 
 
-def _of_kind(found: Column, kind: str) -> Column:
-    return F.filter(found, lambda s: s["rule"] == kind)
+def _of_kind(found: Column, kind: str, named: str = "rule") -> Column:
+    return F.filter(found, lambda s: s[named] == kind)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["rule"])
+    counts = [F.size(_of_kind(base, k, "kind")).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(base, "kind"), 256).alias("base_sha256"),
+                        _joined(F.col("found"), "kind").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_lexical_search": op12_lexical_search,
+    "op13_pii": op13_pii,
     "pipeline": corpus_pipeline.run,
 }
 
