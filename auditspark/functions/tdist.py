@@ -1,10 +1,7 @@
-"""Student t tail probabilities and quantiles (for A26 p-values and A27 bands).
+"""Student t tail probabilities and quantiles of single numbers.
 
-Neither Spark SQL nor DuckDB has a t distribution. The survival function uses
-the regularized incomplete beta function, evaluated by its continued fraction
-(modified Lentz iteration); the quantile inverts it by bisection. On Spark the
-quantile is a pandas UDF over the degrees-of-freedom column, one call per
-distinct value in each Arrow batch.
+The survival function uses the regularized incomplete beta function, evaluated by its continued fraction
+(modified Lentz iteration); the quantile inverts it by bisection. Columns use ``functions/dist.py``.
 """
 
 from __future__ import annotations
@@ -12,10 +9,6 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
 _TINY = 1e-300
 
 
@@ -78,13 +71,3 @@ def t_quantile(p: float, dof: float) -> float:
             break
     q = (lo + hi) / 2.0
     return q if upper else -q
-
-
-def t_quantile_col(p: float, dof_col) -> F.Column:
-    """Column of ``qt(p, dof)`` (pandas UDF, one evaluation per distinct dof)."""
-
-    @F.pandas_udf(DoubleType())
-    def _qt(dof: pd.Series) -> pd.Series:
-        return dof.map(lambda d: float("nan") if d is None or d <= 0 else t_quantile(p, float(d)))
-
-    return _qt(dof_col.cast("double"))

@@ -2,9 +2,9 @@
 
 An ordinary least squares fit of y on x needs only the moments n, mean(x),
 mean(y), Sxx, Syy and Sxy: one aggregate pass (``regr_*``), grouped or not, with
-a partial aggregate on every mapper. Everything ``summary(lm)`` prints except
-the p-values follows from those moments; the p-values come from Spark ML's
-normal-equation solver, which aggregates the same moments across executors.
+a partial aggregate on every mapper. Everything ``summary(lm)`` prints follows
+from those moments, the p-values too (``with_p_values``); ``ml_coefficients``
+takes them from Spark ML's normal-equation solver instead.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.operators.ordered import attach_scalar
+from auditspark.functions import dist
+from auditspark.operators.ordered import attach_scalar, global_positions
+
 
 def ols_moments(y: Column, x: Column) -> list[Column]:
     return [
@@ -104,6 +106,26 @@ def ml_coefficients(df: DataFrame, y: str, x: str) -> DataFrame:
                                                  "t_value double, p_value double")
 
 
+def with_p_values(fits: DataFrame) -> DataFrame:
+    """``p_slope`` and ``p_intercept`` of every fit, grouped or not: column expressions of its t values."""
+    return fits.withColumns({f"p_{c}": dist.t_two_sided_p(F.col(f"t_{c}"), F.col("df")) for c in ("slope", "intercept")})
+
+
+def normal_qq(df: DataFrame, value_col: str, tie_cols: list[str]) -> DataFrame:
+    """A28, second panel: the normal Q-Q plot as a table - each row's position among the values, its plotting
+    position (i - a) / (n + 1 - 2a), with a = 3/8 up to ten values and 1/2 beyond as in ``ppoints``, and the
+    normal quantile there. Missing values are left out, as ``qqnorm`` does.
+
+    Positions come from ranges of the values, never from one window over all; ties go by ``tie_cols``."""
+    known = df.filter(F.col(value_col).isNotNull() & ~F.isnan(value_col))
+    n = known.agg(F.count(F.lit(1)).alias("_n"))
+    placed = attach_scalar(global_positions(known, [F.asc(value_col), *[F.asc(c) for c in tie_cols]]), n)
+    a = F.when(F.col("_n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
+    point = (F.col("row_pos") - a) / (F.col("_n") + 1 - 2 * a)
+    return (placed.withColumn("position", F.col("row_pos")).withColumn("plotting", point)
+            .withColumn("theoretical", dist.normal_quantile(point)).drop("row_pos", "_n"))
+
+
 # Fixed values of the break rule: a step is 1, 2, 5 or 10 times a power of ten, the first whose limit
 # the wanted cell (in that power of ten) does not exceed.
 PRETTY_STEPS = ((1.4, 1), (2.8, 2), (7.0, 5), (math.inf, 10))
@@ -158,14 +180,12 @@ def confidence_band(df: DataFrame, fit: DataFrame, y: Column, x: Column, group:
     """``geom_smooth(method = "lm")``'s band as a table - at every distinct
     x of a group, the fitted value and fitted +/- t(level, n - 2) * s *
     sqrt(1/n + (x - mean x)^2 / Sxx). The fit rows (one per group) join the
-    points on the group key; the t quantile is a pandas UDF over the fit rows."""
-    from auditspark.functions.tdist import t_quantile_col
-
+    points on the group key; the t quantile is a column expression of the fit rows."""
     gcols = [group] if group else []
     f = fit.select(*gcols, F.col("slope").alias("_b"), F.col("intercept").alias("_a"),
                    F.col("sigma").alias("_s"), F.col("n").alias("_n"), F.col("mean_x").alias("_mx"),
                    F.col("sxx").alias("_sxx"),
-                   t_quantile_col(0.5 + level / 2.0, F.col("df")).alias("_t"))
+                   dist.t_quantile(0.5 + level / 2.0, F.col("df")).alias("_t"))
     pts = df.select(*gcols, x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x")).distinct()
     j = pts.join(f, gcols) if gcols else attach_scalar(pts, f)
     fitted = F.col("_a") + F.col("_b") * F.col("x")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditspark.functions import dist
 from auditspark.operators import aggregates, ordered, stats
 from auditspark.plans.registry import query
 from auditspark.sources.tables import Tables
@@ -227,6 +228,53 @@ def q_regression_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r6(stats.ml_coefficients(p, "y", "x"), ["estimate", "std_error", "t_value", "p_value"])
 
 
+# Each fit's two p-values, by the same integral as above with fewer steps.
+@query("regression_pvalues_by_group", f"""
+WITH s AS (SELECT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'Food and Beverage'
+                       ELSE 'Household and Retail' END AS sector, p_retailprice, p_size FROM part
+           WHERE p_retailprice > 0 AND p_size > 0),
+m AS ({_fit_sql('log10(p_retailprice)', 'log10(p_size)', src='s', group='sector')} GROUP BY sector
+      UNION ALL SELECT 'All' AS sector, * FROM ({_fit_sql('log10(p_retailprice)', 'log10(p_size)', src='s')})),
+f AS (SELECT sector, n - 2 AS d, n, mx, sxx, sxy / sxx AS b, my - sxy / sxx * mx AS a, (syy - sxy / sxx * sxy) / (n - 2) AS v FROM m),
+c AS (SELECT sector, 'p_intercept' AS term, d, a / sqrt(v * (1.0 / n + mx * mx / sxx)) AS t FROM f
+      UNION ALL SELECT sector, 'p_slope', d, b / sqrt(v / sxx) FROM f),
+w AS (SELECT *, atan(abs(t) / sqrt(d)) AS lo, (pi() / 2 - atan(abs(t) / sqrt(d))) / 20000 AS h FROM c),
+i AS (SELECT sector, term, any_value(d) AS d, SUM(pow(greatest(cos(lo + k.i * h), 0), d - 1)
+             * CASE WHEN k.i IN (0, 20000) THEN 1 WHEN k.i % 2 = 1 THEN 4 ELSE 2 END) * MAX(h) / 3 AS area
+      FROM w, range(0, 20001) k(i) GROUP BY sector, term),
+p AS (SELECT sector, term, round(2 * exp(lgamma((d + 1) / 2.0) - lgamma(d / 2.0)) / sqrt(pi()) * area, 6) AS p FROM i)
+SELECT f.sector, CAST(f.d AS BIGINT) AS df, max(p) FILTER (WHERE term = 'p_slope') AS p_slope,
+       max(p) FILTER (WHERE term = 'p_intercept') AS p_intercept FROM f JOIN p ON p.sector = f.sector GROUP BY f.sector, f.d""")
+def q_regression_pvalues_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The p-values of every sector's fit and of "All", without a Python worker."""
+    p = Tables(spark, sf_dir).part.filter((F.col("p_retailprice") > 0) & (F.col("p_size") > 0))
+    s = p.select(_sector().alias("sector"), "p_retailprice", "p_size")
+    fit = stats.with_p_values(stats.ols_with_all(s, F.log10("p_retailprice"), F.log10("p_size"), "sector"))
+    return _r6(fit.select("sector", F.col("df").cast("bigint").alias("df"), "p_slope", "p_intercept"), ["p_slope", "p_intercept"])
+
+
+@query("regression_qq", f"""
+WITH m AS ({_fit_sql('p_retailprice', 'p_size')}),
+f AS (SELECT sxy / sxx AS b, my - sxy / sxx * mx AS a, sqrt((syy - sxy / sxx * sxy) / (n - 2)) AS s, n, mx, sxx FROM m),
+r AS (SELECT p.p_partkey, p.p_retailprice - (f.a + f.b * p.p_size) AS residual,
+             1.0 / f.n + (p.p_size - f.mx) * (p.p_size - f.mx) / f.sxx AS leverage, f.s FROM part p, f),
+z AS (SELECT p_partkey, round(residual / (s * sqrt(1 - leverage)), 9) AS z FROM r),
+i AS (SELECT p_partkey, z, CAST(row_number() OVER (ORDER BY z, p_partkey) AS BIGINT) AS position, COUNT(*) OVER () AS n
+      FROM z WHERE z IS NOT NULL),
+q AS (SELECT *, CASE WHEN n <= 10 THEN 0.375e0 ELSE 0.5e0 END AS a FROM i),
+t AS (SELECT *, (position - a) / (n + 1 - 2 * a) AS plotting FROM q)
+SELECT p_partkey, round(z, 6) AS std_residual, position, round(plotting, 9) AS plotting,
+       round({dist.normal_quantile_sql('plotting')}, 6) AS theoretical FROM t""")
+def q_regression_qq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal Q-Q panel of the price ~ size fit, one row per part. Residuals are ordered at 9 digits."""
+    p = Tables(spark, sf_dir).part
+    fit = stats.ols(p, "p_retailprice", "p_size")
+    d = stats.residual_table(p, fit, F.col("p_retailprice"), F.col("p_size"), ["p_partkey"])
+    qq = stats.normal_qq(d.select("p_partkey", F.round("std_residual", 9).alias("std_residual")), "std_residual", ["p_partkey"])
+    return _r6(qq.select("p_partkey", "std_residual", "position", F.round("plotting", 9).alias("plotting"), "theoretical"),
+               ["std_residual", "theoretical"])
+
+
 def hist_sql(values: str) -> str:
     """Histogram of the column x of ``values``."""
     return f"""
