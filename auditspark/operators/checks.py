@@ -10,10 +10,16 @@ one grouped aggregate. Type rules compare the schema and touch no data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Columns of a validation result.
+RESULT = "rule string, status string, n_bad bigint, n_unknown bigint"
+
 # Allowed values of the controlled text columns.
 VALIDATED = ("attempted", "true", "false")
 SUBMISSION_TYPES = ("Excel Template Old", "Excel Template 2020", "Excel Template 2021", "123Forms Old",
@@ -78,19 +84,59 @@ def row_rules(df: DataFrame) -> list[tuple[str, str]]:
     return rules
 
 
-def check_rows(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Every row rule in one pass: (rule, status, n_bad, n_unknown)."""
+def _rule_counts(rules: list[tuple[str, str]]) -> list[F.Column]:
     aggs = []
     for i, (_, pred) in enumerate(rules):
         aggs.append(F.expr(f"count_if(NOT ({pred}))").alias(f"b{i}"))
         aggs.append(F.expr(f"count_if(({pred}) IS NULL)").alias(f"u{i}"))
-    one = df.agg(*aggs)
+    return aggs
+
+
+def check_rows(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Every row rule in one pass: (rule, status, n_bad, n_unknown)."""
+    one = df.agg(*_rule_counts(rules))
     structs = [F.struct(F.lit(r).alias("rule"), F.col(f"b{i}").alias("n_bad"), F.col(f"u{i}").alias("n_unknown"))
                for i, (r, _) in enumerate(rules)]
     rows = one.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
     return rows.select("rule", _status(F.col("n_bad"), F.col("n_unknown")).alias("status"), "n_bad", "n_unknown")
 
 
+def write_checked(df: DataFrame, write: Callable[[DataFrame], DataFrame],
+                  rules: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """L7 during the write: what ``write`` returns for ``df``, and every row rule's (rule, status, n_bad, n_unknown).
+
+    The counts are metrics that the write job observes on the rows it writes, so there is no second scan. They
+    stand directly below the write, in its last stage, whose tasks count once each whatever is retried."""
+    rules = row_rules(df) if rules is None else rules
+    if not rules:
+        return write(df), df.sparkSession.createDataFrame([], RESULT)
+    seen = Observation()
+    written = write(df.observe(seen, *_rule_counts(rules)))
+    counts = seen.get
+    rows = []
+    for i, (rule, _) in enumerate(rules):
+        bad, unknown = int(counts[f"b{i}"]), int(counts[f"u{i}"])
+        rows.append((rule, "FAIL" if bad else "UNKNOWN" if unknown else "PASS", bad, unknown))
+    return written, df.sparkSession.createDataFrame(rows, RESULT)
+
+
+def control_totals(totals: list[tuple[str, DataFrame, str, float | DataFrame]]) -> DataFrame:
+    """V2-V5: (rule, status, total, expected) of each (rule, frame, column, expected): the column's sum against a stated
+    number, or against the one value of a one-row frame. Sums that are NA are UNKNOWN."""
+    from auditspark.operators.ordered import attach_scalar
+
+    parts = []
+    for rule, frame, column, expected in totals:
+        one = frame.agg(F.sum(F.col(column)).cast("double").alias("total"))
+        if isinstance(expected, DataFrame):
+            one = attach_scalar(one, expected.select(F.col(expected.columns[0]).cast("double").alias("expected")))
+        else:
+            one = one.withColumn("expected", F.lit(float(expected)))
+        status = F.when(F.col("total") == F.col("expected"), "PASS").when(F.col("total") != F.col("expected"), "FAIL").otherwise("UNKNOWN")
+        parts.append(one.select(F.lit(rule).alias("rule"), status.alias("status"), "total", "expected"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def _counted(df: DataFrame, named: list[tuple[str, F.Column]]) -> DataFrame:
     """One aggregate over ``df`` counting the rows that break each named rule,
     unpivoted to (rule, status, n_bad, n_unknown)."""
@@ -126,11 +172,11 @@ def check_groups(df: DataFrame, event_col: str = "event_id") -> DataFrame:
 
 def check_all(df: DataFrame) -> DataFrame:
     """The whole validation suite over the cleaned item table, which is
-    materialized once because every group rule reads it again."""
+    materialized once because every group rule reads it again; the row rules are counted as it is written."""
     from auditspark.operators.ordered import materialize
 
-    df = materialize(df)
-    return check_rows(df, row_rules(df)).unionByName(check_groups(df))
+    df, rows = write_checked(df, materialize)
+    return rows.unionByName(check_groups(df))
 
 
 def check_types(df: DataFrame, expected: StructType) -> DataFrame:

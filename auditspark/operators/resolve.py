@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.functions import rsem
+from auditspark.operators import joins
 from auditspark.operators.ordered import dense_index
 
 # An entity id is "q" followed by at least two digits; ids that
@@ -44,6 +45,12 @@ def lookup_worklist(ids: DataFrame, known: DataFrame, id_col: str = "id") -> Dat
     return cand.join(known.select(id_col).distinct(), id_col, "left_anti")
 
 
+def location_worklist(items: DataFrame, gazetteer: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct locations, the token "null" deleted, that the gazetteer lacks. NA matches NA in every key."""
+    cleaned = items.select(*[rsem.strip_token(c).alias(c) for c in keys]).distinct()
+    return joins.anti_join(cleaned, gazetteer, keys)
+
+
 def entity_labels(ids: DataFrame, labels: DataFrame, id_col: str = "id", label_col: str = "label",
                   out_col: str = "name") -> DataFrame:
     """C26 + X5: label table for the ids that hold entity codes.

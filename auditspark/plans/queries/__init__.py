@@ -1,4 +1,4 @@
 """Query modules; importing this package registers every query."""
 
 from auditspark.plans.queries import (  # noqa: F401
-    attribution, brands, cleaning, flows, joins, location, packaging, products, report, stats)
+    attribution, brands, cleaning, flows, joins, location, packaging, products, report, stages, stats)

@@ -36,8 +36,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
     if profile == "fast":
         reader = reader.option("nullValue", "NA")
     if schema is None:
-        header = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path).schema
-        schema = StructType([StructField(f.name, StringType(), True) for f in header])
+        header = (spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+                  .option("encoding", encoding).csv(path).schema)
+        # A column without a name is the row names that write.csv puts first; read.csv calls it X.
+        names = ["X" if i == 0 and f.name == "_c0" else f.name for i, f in enumerate(header)]
+        schema = StructType([StructField(n, StringType(), True) for n in names])
     fields = len(schema.fields)
     if keep_corrupt:
         schema = StructType([*schema.fields, StructField(RECORD, StringType(), True)])
@@ -61,9 +64,18 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite",
-              partition_by: list[str] | None = None) -> None:
-    """Write with a header and R-compatible quoting; no row index."""
-    w = df.write.mode(mode).option("header", True).option("escape", '"')
+              partition_by: list[str] | None = None, encoding: str = "UTF-8", row_names: list[str] | None = None) -> None:
+    """Write with a header and R-compatible quoting.
+
+    Without ``row_names`` there is no row index (``fwrite``); with it, as ``write.csv`` does, a first column without a
+    name numbers the rows from 1 in the order of these columns, and NA is spelled out."""
+    if row_names:
+        from auditspark.operators.ordered import global_positions
+
+        numbered = global_positions(df, [F.asc(c) for c in row_names])
+        df = numbered.select(F.col("row_pos").alias(""), *[
+            F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")).alias(c) for c in df.columns])
+    w = df.write.mode(mode).option("header", True).option("escape", '"').option("encoding", encoding)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
