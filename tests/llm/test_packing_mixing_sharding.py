@@ -111,6 +111,25 @@ def test_special_tokens_in_texts_get_their_ids(spark):
     check_packed(packing.pack_documents(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect(), want)
 
 
+def test_long_runs_of_blanks_have_the_json_files_ids(spark):
+    """A million blanks, newlines or tabs, and a long run of one letter, in the operator and in the pipeline's stage."""
+    import corpus_pipeline
+
+    n = 1_000_000
+    texts = ["a" + " " * n + "b", "\n" * n, "x" + "\t" * n, "a" + " \n" * (n // 2) + "b", "z" * 200_000, "<|endoftext|>" + " " * n]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, text in enumerate(texts):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        start = 0
+        for piece, size in enumerate(packing.cut(len(ids), 2048)):
+            want[i, piece, start, size, zlib.crc32(ids[start:start + size].tobytes())] += 1
+            start += size
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    check_packed(packing.pack_documents(docs).collect(), want)
+    check_packed(corpus_pipeline.packing_stage(spark, docs, "").collect(), want)
+
+
 def test_rounds_merge_groups_and_keep_every_item(spark):
     rng = np.random.default_rng(3)
     lengths = [int(x) for x in rng.integers(1, 2049, 3000)]
