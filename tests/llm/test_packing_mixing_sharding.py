@@ -197,29 +197,65 @@ def test_mix_meets_targets(spark, rows):
 
 
 def test_pareto_prefix_against_a_whole_ranking(spark, rows):
-    got = mixing.mix(frame(spark, rows)).collect()
-    _, of, target = brute_mix(rows)
-    by = defaultdict(dict)
-    for r in got:
-        key = by[r.source].setdefault(r.doc_id, [0, None])
-        key[0] += r["size"]
-        key[1] = r.copies
     import hashlib
+    import math
 
-    def u(d):
-        return (int(hashlib.md5(f"{mixing.SEED}:{'' if d is None else d}".encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
-
-    for s, docs in by.items():
+    rows = rows + [(None, f"null id {i} " * (i % 9 + 1), "b") for i in range(60)] + [(3, "again and again", "hot")] * 20
+    got = mixing.mix(frame(spark, rows)).collect()
+    sizes, of, target = brute_mix(rows)
+    many, seen, by = Counter(s for _, s, _ in sizes), Counter(), defaultdict(list)
+    for (d, s, n), (_, text, _) in zip(sizes, rows):
+        digest = hashlib.md5((text or "").encode()).hexdigest()
+        seen[s, d, digest] += 1
+        name = f"{mixing.SEED}:{'' if d is None else d}:{digest}:{seen[s, d, digest]}"
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
+        lean = math.sqrt(max(n, 1) / (max(of[s], 1) / many[s]))
+        by[s].append(((u / (1 - u)) / lean, d is not None, d or 0, digest, seen[s, d, digest], n))
+    want = Counter()
+    for s, ranking in by.items():
         ratio = target[s] / of[s] if of[s] else 0.0
         whole, p = int(ratio), ratio - int(ratio)
         rest, upto = target[s] - whole * of[s], 0
-        rank = lambda d: (u(d) / (1 - u(d))) / (p / (1 - p)) if p > 0 else 0  # noqa: E731, B023
-        for d in sorted(docs, key=lambda d: (rank(d), d is not None, d or 0)):
-            n = docs[d][0]
+        for _, known, d, digest, _, n in sorted(ranking):
             extra = p > 1e-9 and upto + upto + n <= 2 * rest
             upto += n
-            if n:
-                assert docs[d][1] == whole + extra
+            want[d if known else None, s, digest, n, (whole + extra) * n] += 1
+    assert Counter((r.doc_id, r.source, r.digest, r["size"], r.taken) for r in got) == want
+
+
+def test_targets_are_met_with_null_and_repeated_ids(spark):
+    """A third of the ids null, a third one repeated id, a third of the rows one exact repeat."""
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"t{i} " + "w " * int(rng.integers(1, 60)), "abcdef"[i % 6]) for i in range(900)]
+    rows += [(5, "the same row", "f")] * 450
+    got = mixing.mix(frame(spark, rows).repartition(5)).collect()
+    _, _, target = brute_mix(rows)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want) <= 31 for s, want in target.items())  # half of the longest document
+    again = mixing.mix(frame(spark, rows[::-1]).repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_repeats_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(1, "same", "a")] * 50 + [(2, "one", "a")]
+    got = mixing.numbered(mixing.word_sizes(frame(spark, rows))).collect()
+    assert sorted(r.rep for r in got if r.doc_id == 1) == list(range(1, 51)) and len(got) == 51
+
+
+def test_longer_documents_are_likelier(spark):
+    """Inclusion over seeds follows the documents' odds: sqrt(16) to 1 between long and short ones."""
+    rows = [(i, "w " * (16 if i % 2 else 1), "b") for i in range(40)] + [(100 + i, "w " * 50, "a") for i in range(40)]
+    hit = Counter()
+    for seed in range(12):
+        for r in mixing.mix(frame(spark, rows), weights=(30, 1), seed=seed).collect():
+            if r.source == "b":
+                hit[r["size"]] += r.copies
+    # Twenty documents of each length, twelve seeds; the source gives about a fifth of its words.
+    p = {n: hit[n] / 240 for n in (1, 16)}
+    assert p[16] > 1.5 * p[1] and 0 < p[1]
 
 
 def test_shards_are_even_gapless_and_keep_texts(spark, rows):
