@@ -132,6 +132,32 @@ def test_links_connect_what_pairs_connect(spark, hot):
     assert {x: roots.get(x, x) for x in fps} == want
 
 
+def test_runs_that_stay_hot_are_split_to_the_end(spark, monkeypatch):
+    """Fingerprints that agree in most bits, so that runs stay hot over several splits."""
+    rng = random.Random(31)
+    monkeypatch.setattr(simhash, "LAST_BITS", 13)
+    base = rng.getrandbits(64)
+    fps = {base ^ rng.getrandbits(20) for _ in range(1500)} | {base ^ (1 << rng.randrange(64)) for _ in range(20)}
+    fps = [x - (1 << 64) if x >> 63 else x for x in fps]
+    levels = []
+    split = simhash.split_runs
+    monkeypatch.setattr(simhash, "split_runs", lambda rows, most: levels.append(rows.count()) or split(rows, most))
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long").repartition(5), hot=25)
+    pairs = [(r.a, r.b) for r in found.collect()]
+    assert len(levels) >= 2 and all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4 for a, b in pairs)
+    roots = {r["node"]: r["root"] for r in components.components(found).collect()}
+    assert {x: roots.get(x, x) for x in fps} == brute_roots(fps)
+
+
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "Bb", "é", "longword"]) for _ in range(n)) + end for n in (0, 1, 3, 4, 5, 400) for end in ("", " ", "\n\t ")]
+    texts += [" " * 500 + "one" + "\n" * 500 + "two three", "x" * 999 + " y z w v"]
+    whole = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "PART", 7)
+    assert [simhash.fingerprint(t) for t in texts] == whole
+
+
 def test_segments_leave_one_bit_at_most():
     parts = simhash.segments(list(range(64)), 4)
     assert len(parts) == 3 and sorted(b for p in parts for b in p) == list(range(64))
