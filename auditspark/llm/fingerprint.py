@@ -5,14 +5,16 @@ k merge into the sketch of the union (``merge``, or ``merge_by`` over a distribu
 estimate resemblance, containment and the number of distinct shingles; all three are exact while
 the sets hold fewer than k shingles.
 
-``follow`` deals documents to ranges of doc_id with one shuffle of the texts: splitters are doc_ids
-that exist (quantiles), so every range has a first document, and that document is also sent to the
-end of the range before it. Each task then streams its ranges in order.
+``follow`` deals documents to ranges of (doc_id, digest of the text) with one shuffle of the texts: ranges begin
+at keys that exist (quantiles), so every range has a first document, and that document is also sent to the
+end of the range before it. Each task then streams its ranges in order. A doc_id that many rows hold (null ones, say)
+is divided by digests, and one row that is repeated very often is dealt out by turns: equal rows follow each other
+anyway, so any of them closes a range of them.
 
 Defined results: a null text is empty; an empty text has the empty sketch, two of which are alike
 (1.0) and one of which is unlike any other (0.0); a text of one to four words has one shingle, all
-its words; a null doc_id comes first; rows of equal doc_id follow in order of text; a table of one
-row is followed by itself; an empty table gives an empty result; other columns are not read.
+its words; a null doc_id comes first; rows of equal doc_id follow in order of a digest of their text; a table
+of one row is followed by itself; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.llm.common import id_and_text, shuffle_partitions
@@ -153,29 +155,117 @@ def merge_by(prints: DataFrame, key: str, k: int = K) -> DataFrame:
     return narrow.mapInPandas(partial, narrow.schema).groupBy(key).applyInPandas(last, narrow.schema)
 
 
+def text_digest() -> Column:
+    """52 bits of a hash of the text, which a double holds."""
+    return F.shiftrightunsigned(F.xxhash64("text"), 12)
+
+
+class Heads:
+    """Where the ranges of (place, digest) begin.
+
+    ``keys`` are first keys of ranges, a digest of None standing for the whole place; the last of a key's ``times``
+    ranges goes on to the next key. Only rows that are equal share a key with more than one range."""
+
+    def __init__(self, keys: list[tuple[int, int | None]], times: list[int]):
+        self.keys, self.times = keys, times
+        self.base = np.concatenate([[0], np.cumsum(times)]).astype(np.int64)
+        self.places = np.array([p for p, _ in keys], np.int64)
+        self.digests = np.array([-(1 << 63) if d is None else d for _, d in keys], np.int64)
+        at, many = np.unique(self.places, return_counts=True)
+        self.split = set(at[many > 1].tolist()) | {p for (p, _), n in zip(keys, times) if n > 1}
+
+    def ranges(self, places: np.ndarray, digests: np.ndarray) -> list[list[tuple[int, int]]]:
+        """(range, 0) of each row, and (range, 1) for each range that it closes: the least row of a batch that begins
+        a range closes the one before. Of a key with several ranges any row closes them, as all are equal."""
+        at = np.searchsorted(self.places, places, side="right") - 1
+        inside = np.isin(places, list(self.split)) if self.split else np.zeros(len(places), bool)
+        for i in np.flatnonzero(inside):
+            lo = int(np.searchsorted(self.places, places[i], side="left"))
+            at[i] = max(lo, lo + int(np.searchsorted(self.digests[lo:at[i] + 1], digests[i], side="right")) - 1)
+        out = [[(int(r), 0)] for r in self.base[at + 1] - 1]
+        begins = self.places[at] == places
+        order = np.lexsort((digests, at))
+        closed: set[int] = set()
+        for i in order[begins[order]]:
+            head = int(at[i])
+            place, digest = self.keys[head]
+            same = digest is None or digest == digests[i]
+            times = self.times[head]
+            if times > 1 and same and head in closed:
+                out[i][0] = (int(self.base[head]) + int(i) % times, 0)
+            if same and head not in closed:
+                # It stays in the key's last range, so that this has one to be followed by the next key.
+                closed.add(head)
+                before = int(self.base[head]) - 1
+                out[i].append((before if before >= 0 else int(self.base[-1]) - 1, 1))
+                out[i] += [(int(self.base[head]) + j, 1) for j in range(times - 1)]
+        return out
+
+
+def _repeated(values: list[int]) -> dict[int, int]:
+    """How often each of some quantiles occurs."""
+    found, many = np.unique(np.array(values, np.int64), return_counts=True)
+    return dict(zip(found.tolist(), many.tolist()))
+
+
+def choose_heads(rows: DataFrame, ranges: int) -> Heads:
+    """Quantiles of the places; a place that fills several ranges is split by quantiles of its texts' digests, and a
+    row that is repeated through several ranges by turns."""
+
+    def steps(n: int) -> list[float]:
+        return [i / n for i in range(n)]
+
+    accuracy = max(10_000, 20 * ranges)
+    found = rows.agg(F.percentile_approx("place", steps(ranges), accuracy).alias("q"), F.min("place").alias("least"),
+                     F.max(F.abs("doc_id")).alias("far")).first()
+    of = _repeated([*(found["q"] or [])])
+    if (found["far"] or 0) >= 1 << 53:
+        # Quantiles are computed in doubles, which do not hold such ids: take the least id from each quantile on.
+        bounds, times = np.array(list(of), np.int64), list(of.values())
+
+        @F.pandas_udf("long")
+        def bucket(keys: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="right"))
+
+        least = {r["b"]: r["p"] for r in rows.groupBy(bucket("place").alias("b")).agg(F.min("place").alias("p")).collect()}
+        of = {p: times[b - 1] if b else 1 for b, p in sorted(least.items())}
+    hot = {p: n for p, n in of.items() if n > 1}
+    inner: dict[int, dict[int, int]] = {}
+    if hot:
+        # At most half as many places as ranges.
+        spark = rows.sparkSession
+        wanted = F.broadcast(spark.createDataFrame([(p,) for p in hot], "place long"))
+        for r in (rows.join(wanted, "place").groupBy("place")
+                  .agg(F.percentile_approx("digest", steps(max(hot.values())), accuracy).alias("q"), F.min("digest").alias("d")).collect()):
+            # As many of the evenly spaced quantiles as this place fills ranges.
+            own = r["q"][::max(1, len(r["q"]) // hot[r["place"]])]
+            inner[r["place"]] = {r["d"]: 0} | _repeated(own)
+    keys, times = [], []
+    for place in sorted({found["least"], *of}):
+        for digest, n in sorted(inner.get(place, {None: 1}).items(), key=lambda x: (x[0] is not None, x[0] or 0)):
+            keys.append((place, digest))
+            times.append(max(n, 1))
+    return Heads(keys, times)
+
+
 def follow(docs: DataFrame, ranges_per_task: int = 4) -> DataFrame:
     """Documents in ascending doc_id within each range: rng, last (whether the row is the next range's
-    first document, which only closes this one), doc_id, text; sorted within partitions."""
-    rows = id_and_text(docs).withColumn("place", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    first document, which only closes this one), doc_id, text; sorted within partitions. Rows of one doc_id follow each
+    other by a digest of their text."""
+    rows = id_and_text(docs).withColumns({"place": F.coalesce("doc_id", F.lit(-(1 << 63))), "digest": text_digest()})
     n = docs.count()
     # Rows are streamed in order, so a range may hold any number; the driver keeps one entry a range,
     # as many as the cluster has tasks to fill, whatever the input's size.
     ranges = max(1, min(n, ranges_per_task * shuffle_partitions(docs.sparkSession)))
-    steps = [i / ranges for i in range(ranges)]
-    found = rows.agg(F.percentile_approx("place", steps, max(10_000, 20 * ranges)).alias("q"),
-                     F.min("place").alias("least")).first()
-    heads = np.unique(np.array([found["least"], *(found["q"] or [])] if n else [0], dtype=np.int64))
+    heads = choose_heads(rows, ranges) if n else Heads([(0, None)], [1])
 
     @F.pandas_udf("array<struct<rng:long,last:int>>")
-    def places(keys: pd.Series) -> pd.Series:
-        at = np.searchsorted(heads, keys.to_numpy(), side="right") - 1
-        first = heads[at] == keys.to_numpy()
-        end = len(heads) - 1
-        return pd.Series([[(int(r), 0)] + ([(int(r) - 1 if r else end, 1)] if f else []) for r, f in zip(at, first)])
-
-    return (rows.withColumn("to", F.explode(places("place")))
-            .select(F.col("to.rng").alias("rng"), F.col("to.last").alias("last"), "place", "doc_id", "text")
-            .repartition("rng").sortWithinPartitions("rng", "last", "place", "text"))
+    def places(keys: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series(heads.ranges(keys.to_numpy(), digests.to_numpy()))
+
+    return (rows.withColumn("to", F.explode(places("place", "digest")))
+            .select(F.col("to.rng").alias("rng"), F.col("to.last").alias("last"), "place", "digest", "doc_id", "text")
+            .repartition("rng").sortWithinPartitions("rng", "last", "place", "digest", "text"))
 
 
 def edit(text: str, following: str) -> str:

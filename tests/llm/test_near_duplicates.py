@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditspark.llm import components, fingerprint, simhash
@@ -208,6 +209,38 @@ def test_repeated_ids_keep_every_row(spark):
     assert fingerprint.followed_fingerprints(frame(spark, rows)).count() == 12
 
 
+def digest64(spark, values):
+    rows = spark.createDataFrame([(t,) for t in values], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 12).alias("h")).collect()
+    return {r.t: r.h for r in rows}
+
+
+def hot_tables():
+    null_ids = [(None, f"text {i} of no id " * 3) for i in range(200)] + [(i, f"own {i} text") for i in range(400)]
+    one_id = [(7, f"text {i} again " * 3) for i in range(200)] + [(i, f"own {i} text") for i in range(20, 400)]
+    repeats = [(9, "the very same row")] * 200 + [(9, "another row")] + [(i, f"own {i} text") for i in range(400)]
+    few = [(3, "same")] * 5 + [(4, "other"), (2, "least")]
+    far = [((1 << 62) + 3 * i, f"far {i}") for i in range(300)] + [(-(1 << 62) - i, f"low {i}") for i in range(300)]
+    return [null_ids, one_id, repeats, few, null_ids + repeats, [(1, "x")] * 30, far + null_ids[:200]]
+
+
+@pytest.mark.parametrize("which", range(7))
+def test_hot_ids_are_divided_and_keep_the_order(spark, which):
+    """Null, repeated and exactly repeated rows that are a third of the table; any partitioning gives the same."""
+    rows = hot_tables()[which]
+    of = digest64(spark, {t for _, t in rows})
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, of[r[1]]))
+    want = Counter()
+    for (d, text), (_, following) in zip(order, order[1:] + order[:1]):
+        want[d, len(text), hashlib.sha256(fingerprint.edit(text, following).encode()).hexdigest()] += 1
+    for parts in (1, 3, 7):
+        docs = frame(spark, rows).repartition(parts)
+        got = fingerprint.followed_fingerprints(docs).collect()
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        if len(rows) > 500 and which < 6:  # ids that doubles cannot tell apart are in order, but not divided
+            most = max(r["count"] for r in fingerprint.follow(docs).where("last = 0").groupBy("rng").count().collect())
+            assert most <= len(rows) / 8
+
+
 def test_one_document_is_followed_by_itself(spark):
     r = fingerprint.followed_fingerprints(frame(spark, [(5, "ab cd ef")])).first()
     assert r.near_next == 1.0 and r.n_chars == 8
