@@ -1,26 +1,28 @@
 """Sharding by sampled splitters.
 
-A record's key is a 63-bit number: the high bits hash its text, the low bits its doc_id and the number
-of its row, so equal texts are neighbours and even one text or one repeated row that is a third of all
-rows can be divided. Row numbers are written with the keys; those of another run may differ.
+A record's key is a 63-bit number: the high bits hash its text, the low bits its doc_id and, of exact repeats,
+the number among them, so equal texts are neighbours and even one text or one repeated row that is a third of all
+rows can be divided. Nothing depends on how the rows are partitioned: reruns agree.
 
 1. Draw keys with probability proportional to the record's size; their quantiles are the first
    splitters. About ``samples`` keys reach the driver, whatever the input's size.
 2. Count the exact bytes of each range. Ranges above ``max_share`` of a shard are overfull: they are
-   sampled again by the same law, inside themselves, and subdivided until none is left or a range
-   holds a single key.
+   sampled again by the same law, inside themselves, and subdivided, for as many rounds as it takes until none
+   is left that holds more than a single key.
 3. Lay the ranges out in key order and cut that line into shards of equal bytes, preferring a cut
    between two texts when one lies close enough to the even place (``snap`` of a shard), so that
    equal texts part only when they weigh more than that.
 4. A record's slot is the rows of its shard's earlier ranges plus its position in its own range.
 
 Defined results: a null text weighs no bytes, its size is 8; an empty table gives an empty result;
-repeated rows get slots of their own; rows of equal key and doc_id are in any order; other columns
+repeated rows get slots of their own; rows of equal key are in order of doc_id, crc32 and size; other columns
 are not read.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,19 +32,27 @@ from auditspark.llm.common import id_and_text, stage
 
 SHARDS = 24
 OVERHEAD = 8
-#: Low bits of a key, from the doc_id and row number; the other 41 come from the text.
+#: Low bits of a key, from the doc_id and repeat; the other 41 come from the text.
 DOC_BITS = 22
 SEED = 7
+#: Exact repeats of a row that are written out in one place.
+REPEATS = 65_536
 
 
 def records(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and key of every row."""
-    raw = F.col("text").cast("binary")
-    doc_part = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", F.monotonically_increasing_id()), 64 - DOC_BITS)
-    text_part = F.shiftleft(F.shiftrightunsigned(F.xxhash64("text"), DOC_BITS + 1), DOC_BITS)
-    return id_and_text(docs).select(
-        "doc_id", (F.octet_length("text") + OVERHEAD).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"), text_part.bitwiseOR(doc_part).alias("key"))
+    """doc_id, size, text_crc32 and key of every row. Exact repeats are counted and written out again with a number each;
+    one that very many rows repeat in blocks, by many tasks."""
+    rows = id_and_text(docs).select("doc_id", (F.octet_length("text") + OVERHEAD).cast("long").alias("size"),
+                                    F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("hash"))
+    counted = stage(rows.groupBy("doc_id", "size", "text_crc32", "hash").agg(F.count(F.lit(1)).alias("times")))
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / REPEATS))))
+    if not counted.where(F.col("times") > REPEATS).isEmpty():
+        blocks = blocks.repartition("doc_id", "hash", "block")
+    first = F.col("block") * REPEATS
+    each = blocks.withColumn("rep", F.explode(F.sequence(first + 1, F.least(first + REPEATS, F.col("times")))))
+    doc_part = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "rep"), 64 - DOC_BITS)
+    text_part = F.shiftleft(F.shiftrightunsigned(F.col("hash"), DOC_BITS + 1), DOC_BITS)
+    return each.select("doc_id", "size", "text_crc32", text_part.bitwiseOR(doc_part).alias("key"))
 
 
 def range_of(splitters: np.ndarray):
@@ -70,18 +80,19 @@ def quantile_splitters(sample: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def choose_splitters(table: DataFrame, total: int, shards: int, ranges: int, max_share: float,
-                     per_range: int = 8, rounds: int = 6) -> np.ndarray:
+                     per_range: int = 8) -> np.ndarray:
     """Splitters whose ranges all weigh at most ``max_share`` of a shard, unless of one key."""
     limit = total / shards * max_share
     splitters = quantile_splitters(sample_keys(table, ranges * per_range / max(total, 1), 0), ranges)
-    for salt in range(1, rounds + 1):
+    for salt in count(1):
         numbered = table.withColumn("rng", range_of(splitters)("key"))
         weighed = (numbered.groupBy("rng").agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"),
                                                F.max("key").alias("hi"))
                    .where((F.col("bytes") > limit) & (F.col("lo") < F.col("hi"))).collect())
         if not weighed:
             break
-        # One key of an overfull range may itself be the weight: its neighbours become splitters too.
+        # One key of an overfull range may itself be the weight: its neighbours become splitters too, so that every
+        # round cuts every such range.
         added = [s for r in weighed for s in (r["lo"] + 1, r["hi"])]
         over = F.broadcast(table.sparkSession.createDataFrame([(r["rng"],) for r in weighed], "rng long"))
         drawn = sample_keys(numbered.join(over, "rng"), 4 * per_range / limit, salt)
@@ -137,7 +148,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = 128, ma
         first[own] = np.cumsum(counts[own]) - counts[own]
     places = numbered.sparkSession.createDataFrame(
         [(int(a), int(b), int(c)) for a, b, c in zip(ids, of, first)], "rng long, shard int, first long")
-    order = Window.partitionBy("rng").orderBy("key", "doc_id")
+    order = Window.partitionBy("rng").orderBy("key", "doc_id", "text_crc32", "size")
     return (numbered.withColumn("nth", F.row_number().over(order) - 1)
             .join(places, "rng")
             .select("doc_id", "size", "text_crc32", "key", "shard", (F.col("first") + F.col("nth")).alias("slot")))

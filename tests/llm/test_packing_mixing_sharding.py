@@ -295,6 +295,19 @@ def test_repeated_rows_that_are_half_of_the_table_are_divided(spark):
     assert len(by) == 8 and all(abs(sum(r["size"] for r in own) / even - 1) < 0.1 for own in by.values())
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = odd_rows(n=200) + [(None, "one row", "a")] * 300 + [(i, "a text that half of the rows share", "b") for i in range(500, 900)]
+    out = [Counter((r.doc_id, r["size"], r.text_crc32, r.shard) for r in sharding.shard(frame(spark, rows).repartition(n), ranges_per_shard=8).collect())
+           for n in (3, 7)]
+    assert out[0] == out[1] and out[0].total() == len(rows)
+
+
+def test_repeats_are_written_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 7)
+    got = sharding.records(frame(spark, [(1, "same", "a")] * 50 + [(2, "x", "a")])).collect()
+    assert Counter(r.doc_id for r in got) == {1: 50, 2: 1} and len({r.key for r in got}) > 45
+
+
 def test_light_texts_stay_whole(spark):
     rows = [(i, f"text number {i // 3} of a thousand", "s") for i in range(3000)]
     got = sharding.shard(frame(spark, rows), shards=4, ranges_per_shard=32).collect()
