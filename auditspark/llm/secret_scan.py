@@ -2,14 +2,17 @@
 
 Every historical version of a file is content-addressed: its blob is the SHA-256 of its text. The
 ledger is a folder of two Parquet tables, ``scanned`` (blob, rule, version) and ``findings`` (blob,
-rule, version, start, end). A scan reads the versions, keeps one text per blob (map-side first, so
-a text that a third of all rows hold is shuffled once per task), drops the (blob, rule version)
-pairs in the ledger, scans what is left, appends to the ledger, and joins findings back to every
-path by blob id. Raising a rule's version scans all blobs again for that rule alone.
+rule, version, start, end). A scan reads the versions and asks the ledger, by blob ids alone, which (blob, rule
+version) pairs are due. Only texts of due blobs are shuffled, one per blob (map-side first, so a text that a
+third of all rows hold is shuffled once per task); they are scanned, the ledger is appended to, and findings are joined
+back to every path by blob id. A run over versions that the ledger knows moves no text. Raising a rule's version
+scans all blobs again for that rule alone.
 
 Both tables of a run are written before the run's entry in ``scanned`` is; a run that dies between
 leaves findings that the next run writes again under its own batch, and readers take distinct rows.
 
+All patterns take time in proportion to the text: runs are entered at their start only.
+
 Spans are code points, end exclusive. Defined results: a null text is empty and has no findings;
 repeated rows each get their blob's findings; an empty table gives an empty result; only the key
 and text columns are read.
@@ -21,6 +24,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +40,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Rules of the operator's own.
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+")
 
 RULES: dict[str, tuple[int, re.Pattern, int, int]] = {
     # kind: (version, pattern, group whose length counts, least length)
@@ -44,7 +48,7 @@ RULES: dict[str, tuple[int, re.Pattern, int, int]] = {
     "access": (1, ACCESS, 0, 18),
     "hex": (1, HEX, 0, 16),
     "pem": (1, PEM, 0, 0),
-    "jwt": (1, JWT, 0, 0),
+    "jwt": (2, JWT, 0, 0),
 }
 KINDS = tuple(RULES)
 
@@ -65,7 +69,7 @@ def blob_id(text) -> F.Column:
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.schema(schema).parquet(path).distinct()
+        return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 
@@ -76,14 +80,28 @@ def scan(versions: DataFrame, ledger: str, text_col: str = "text", rules=RULES)
     current = spark.createDataFrame([(k, v[0]) for k, v in rules.items()], "rule string, version int")
     names = F.array(*[F.concat_ws("@", F.lit(k), F.lit(v[0])) for k, v in rules.items()])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # first() of a text needs no comparison; the partial aggregate leaves one row per blob and task.
-    blobs = versions.select(blob_id(F.col(text_col)).alias("blob"), text.alias("text")).groupBy("blob").agg(
-        F.first("text").alias("text"))
+    rows = versions.select(blob_id(F.col(text_col)).alias("blob"), text.alias("text"))
     seen = (_read(spark, f"{ledger}/scanned", SCANNED)
             .groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen")))
-    todo = (blobs.join(seen, "blob", "left")
-            .withColumn("due", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))))
-            .where(F.size("due") > 0).select("blob", "text", "due"))
+    asked = stage(rows.select("blob").distinct().join(seen, "blob", "left")
+                  .select("blob", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("due")))
+    due = asked.where(F.size("due") > 0)
+    n_due, n_all = due.count(), asked.count()
+    if n_due:
+        # first() of a text needs no comparison; the partial aggregate leaves one row per blob and task. If most blobs are
+        # due, grouping comes first, as it deals the texts out by blob anyway; else only due texts get that far.
+        if 2 * n_due > n_all:
+            todo = rows.groupBy("blob").agg(F.first("text").alias("text")).join(due, "blob")
+        else:
+            todo = rows.join(due, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("due").alias("due"))
+        _extend(todo.select("blob", "text", "due"), ledger, rules)
+    return (_read(spark, f"{ledger}/findings", FINDINGS).distinct().join(F.broadcast(current), ["rule", "version"])
+            .select("blob", "rule", "start", "end"))
+
+
+def _extend(todo: DataFrame, ledger: str, rules) -> None:
+    """Scan the due pairs of ``todo`` (blob, text, due) and append them to the ledger."""
+    spark = todo.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +125,6 @@ def scan(versions: DataFrame, ledger: str, text_col: str = "text", rules=RULES)
     fresh.where(F.col("start").isNull()).select("blob", "rule", "version").write.mode("append").parquet(f"{ledger}/scanned")
     target = spark._jvm.org.apache.hadoop.fs.Path(raw)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return (_read(spark, f"{ledger}/findings", FINDINGS).join(F.broadcast(current), ["rule", "version"])
-            .select("blob", "rule", "start", "end"))
 
 
 def spans_by_blob(findings: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
@@ -137,14 +153,22 @@ MASK = "[SECRET]"
 
 
 def mask(text: F.Column, spans: F.Column, mask_text: str = MASK) -> F.Column:
-    """``text`` with every span of ``spans`` (start, end; by start) replaced; overlapping ones merge."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(state, span):
-        gap = F.when(span["start"] >= state["at"],
-                     F.concat(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mask_text))
-                     ).otherwise(F.lit(""))
-        return F.struct(F.concat(state["done"], gap).alias("done"), F.greatest(state["at"], span["end"]).alias("at"))
-
-    return F.aggregate(spans, start, step, lambda state: F.concat(
-        state["done"], F.substring(text, state["at"] + 1, F.length(text))))
+    """``text`` with every span of ``spans`` (start, end; by start) replaced; overlapping ones merge. Texts without spans
+    (a null) stay in the JVM; the others are cut once from front to back."""
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out: list[str | None] = []
+        for body, own in zip(texts, found):
+            if body is None or own is None:
+                out.append(None)
+                continue
+            parts, at = [], 0
+            for span in own:
+                if span["start"] >= at:
+                    parts += [body[at:span["start"]], mask_text]
+                at = max(at, span["end"])
+            out.append("".join([*parts, body[at:]]))
+        return pd.Series(out, dtype=object)
+
+    return F.coalesce(masked(F.when(spans.isNotNull(), text), spans), text)
