@@ -1,22 +1,26 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 1. ``per_class`` labelled rows of each class, drawn by a hash of doc_id (the documented bound of the
-   fit), give the vocabulary: words and four-letter word beginnings that mark toxic examples beyond
-   chance. Documents are compared in that space.
-2. One pass over all whole texts keeps each document's terms and their counts. Document frequencies
-   come from all documents.
-3. The examples form an inverted index in blocks of 64 with each term's largest weight per block.
-   A query adds up its blocks' bounds, opens blocks from the highest bound on, and stops at the
-   first that cannot reach the k-th best cosine: the k nearest are exact.
-4. All neighbours are a row's evidence, nearest first. They vote with weight 1 / (distance + 0.1), classes weighed back to their true numbers. A
-   logistic curve fitted to the examples' own leave-one-out votes turns votes into probabilities.
-
-Defined results: a null or empty text, or one without a term of the vocabulary, scores the rate
+   fit), are the examples. Their vocabulary is all their words, and the four-letter word beginnings that mark
+   toxic ones beyond chance.
+2. One pass over all whole texts keeps each document's terms of that vocabulary and their counts. Document
+   frequencies come from all documents.
+3. A term weighs (1 + log tf) * idf * information: the last, from ``FLOOR`` to 1, grows with the term's
+   log-likelihood ratio and with the share of toxic texts among its texts, classes weighed to their true numbers. So
+   no term is left out, and a text's hundreds of neutral words do not outweigh the one that matters.
+4. The examples form an inverted index in blocks of 256 with each term's largest weight per block.
+   A query adds up its blocks' bounds, scores the blocks of the highest ones, and then all others whose bound
+   reaches the k-th best cosine: the k nearest are exact.
+5. All neighbours are a row's evidence, nearest first. They vote with weight 1 / (distance + 0.1), classes weighed
+   back to their true numbers. A logistic curve fitted to the examples' own leave-one-out votes turns votes into
+   probabilities.
+
+Defined results: a null or empty text, or one that shares no term with any example, scores the rate
 observed among such examples; equal cosines go to the smaller example number; repeated rows are
 scored each; repeated labels of a doc_id count as their largest, other values than 0 and 1 not at
-all; a labelled doc_id that is repeated gives one example; without usable labels of both classes every score is the
-known class's rate (0.5 without any); an empty table gives an empty result; only doc_id and text of
-documents, and doc_id and the label, are read.
+all; a labelled doc_id that is repeated gives one example, of the text with the least hash; without usable labels of
+both classes every score is the known class's rate (0.5 without any); an empty table gives an empty result; only
+doc_id and text of documents, and doc_id and the label, are read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +40,15 @@ from auditspark.llm.common import id_and_text, label_remainder, row_key, shuffle
 
 PER_CLASS = 6_000
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 THRESHOLD = 0.7
 BEGINNING = 4
+#: Information of a term that says nothing about the class.
+FLOOR = 0.01
+#: Log-likelihood ratio of half the information.
+HALF = 12.0
+#: Blocks that a search scores first.
+FIRST = 2
 _WORD = re.compile(r"\w+")
 
 SCORED = ("doc_id long, held_out boolean, score double, predicted int, "
@@ -58,7 +68,7 @@ def labelled_sample(labels: DataFrame, label: str, modulus: int, held: int, per_
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """doc_id, label and text of the sample: a broadcast of at most two classes' draws."""
     return (id_and_text(docs).join(F.broadcast(sample), "doc_id")
-            .groupBy("doc_id").agg(F.first("label").alias("label"), F.first("text").alias("text")))
+            .groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")))
 
 
 def terms_of(text: str) -> list[str]:
@@ -70,10 +80,11 @@ def with_beginnings(words: set[str]) -> set[str]:
     return words | {w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING}
 
 
-def choose_terms(examples: DataFrame, numbers: list[int], drawn: list[int], least: int = 3, bound: float = 12.0,
-                 purity: float = 0.3) -> list[str]:
-    """Terms of at least ``least`` different toxic texts whose log-likelihood ratio exceeds ``bound``
-    and among whose texts, classes weighed to their true numbers, at least ``purity`` are toxic."""
+def term_information(examples: DataFrame, numbers: list[int], drawn: list[int], least: int = 3,
+                     purity: float = 0.3) -> dict[str, float]:
+    """The vocabulary: every word of the examples with its information, and the beginnings of at least ``least``
+    different toxic texts whose log-likelihood ratio exceeds ``HALF`` and among whose texts, classes weighed to
+    their true numbers, at least ``purity`` are toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +100,7 @@ def choose_terms(examples: DataFrame, numbers: list[int], drawn: list[int], leas
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not n1 or not n0:
-        return []
+        return {}
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
 
     def part(seen, all_of):
@@ -97,31 +108,40 @@ def choose_terms(examples: DataFrame, numbers: list[int], drawn: list[int], leas
         return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
     weight = [numbers[0] / max(drawn[0], 1), numbers[1] / max(drawn[1], 1)]
+    pure = a * weight[1] / (a * weight[1] + b * weight[0])
+    ratio = F.when(a / n1 > b / n0, part(a, n1) + part(b, n0)).otherwise(F.lit(0.0))
+    # The vocabulary of the examples: it is bounded as they are.
     stats = (texts.select("label", "text").mapInArrow(run, "term string, toxic long, clean long")
-             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    kept = stats.where((a >= least) & (a / n1 > b / n0) & (part(a, n1) + part(b, n0) >= bound)
-                       & (a * weight[1] >= purity * (a * weight[1] + b * weight[0])))
-    return sorted(r["term"] for r in kept.select("term").collect())
+             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+             .select("term", ratio.alias("ratio"), pure.alias("pure"), "toxic"))
+    marks = (F.col("toxic") >= least) & (F.col("ratio") >= HALF) & (F.col("pure") >= purity)
+    out = {}
+    for r in stats.where(~F.col("term").endswith("*") | marks).collect():
+        if r["ratio"] >= HALF and r["pure"] >= purity and r["toxic"] >= least:
+            out[r["term"]] = 1.0
+        else:
+            share = r["ratio"] / (r["ratio"] + HALF)
+            out[r["term"]] = FLOOR + (1 - FLOOR) * share * share * r["pure"]
+    return out
 
 
 def term_counts(docs: DataFrame, vocabulary: list[str], keyed: bool = False) -> DataFrame:
     """doc_id, terms (numbers in the vocabulary, ascending), counts and, if ``keyed``, row_key of every document."""
     keys = ["row_key"] if keyed else []
     number = {t: i for i, t in enumerate(vocabulary)}
+    beginnings = any(t.endswith("*") for t in vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, counts = [], []
             for text in batch.column(1).to_pylist():
-                words = terms_of(text)
                 found: Counter = Counter()
-                once = set(words)
-                marks = {w for w in once if w in number or w[:BEGINNING] + "*" in number}
-                if marks:
-                    for w, n in Counter(w for w in words if w in marks).items():
-                        if w in number:
-                            found[number[w]] += n
-                        start = number.get(w[:BEGINNING] + "*") if len(w) > BEGINNING else None
+                for w, n in Counter(terms_of(text)).items():
+                    at = number.get(w)
+                    if at is not None:
+                        found[at] += n
+                    if beginnings and len(w) > BEGINNING:
+                        start = number.get(w[:BEGINNING] + "*")
                         if start is not None:
                             found[start] += n
                 terms.append(sorted(found))
@@ -135,58 +155,103 @@ def term_counts(docs: DataFrame, vocabulary: list[str], keyed: bool = False) ->
     return rows.select("doc_id", "text", *[row_key().alias(k) for k in keys]).mapInArrow(run, ", ".join(schema))
 
 
-def unit_vector(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_vector(terms, counts, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     t = np.asarray(terms, np.int64)
-    w = (1.0 + np.log(np.asarray(counts, float))) * idf[t]
+    w = (1.0 + np.log(np.asarray(counts, float))) * weight[t]
     return t, w / math.sqrt(float(w @ w)) if len(w) else w
 
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted index over unit vectors, with the largest weight of every term in every block of rows."""
+    """Inverted index over unit vectors, with the largest weight of every term in every block of rows.
+
+    Postings (``rows``, ``weights``) stand by term and row. An entry is one term in one block: its block, largest
+    weight and postings; ``entry_of`` and ``post_of`` say where a term's entries and postings begin."""
 
     size: int
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]
-    bounds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    rows: np.ndarray
+    weights: np.ndarray
+    post_of: np.ndarray
+    entry_of: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
     @staticmethod
     def build(vectors: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
-        rows: dict[int, list[tuple[int, float]]] = {}
-        for i, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                rows.setdefault(t, []).append((i, w))
-        index = BlockMaxIndex(len(vectors), {t: (np.array([i for i, _ in r]), np.array([w for _, w in r]))
-                                             for t, r in rows.items()})
-        for t, (ids, weights) in index.postings.items():
-            blocks, starts = np.unique(ids // BLOCK, return_index=True)
-            index.bounds[t] = blocks, np.maximum.reduceat(weights, starts), np.append(starts, len(ids))
-        return index
+        terms = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
+        weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])
+        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        order = np.lexsort((rows, terms))
+        terms, rows, weights = terms[order], rows[order], weights[order]
+        block = rows // BLOCK
+        change = np.ones(len(terms), bool)
+        change[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        start = np.flatnonzero(change)
+        most = np.maximum.reduceat(weights, start) if len(start) else np.empty(0)
+        top = int(terms[-1]) + 1 if len(terms) else 0
+        every = np.arange(top + 1)
+        return BlockMaxIndex(len(vectors), rows, weights, np.searchsorted(terms, every), np.searchsorted(terms[start], every),
+                             block[start], most, start, np.append(start[1:], len(terms)))
+
+    @staticmethod
+    def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """start[0], start[0] + 1, ... for each run of numbers."""
+        total = np.cumsum(length)
+        return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - length), length)
+
+    def _score(self, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of each row the sum over its postings in runs from ``start`` to ``end``, times the runs' weights."""
+        length = end - start
+        if len(start) * 32 < int(length.sum()):
+            # Long runs are copied as they stand.
+            cuts = list(zip(start.tolist(), end.tolist()))
+            rows, own = (np.concatenate([of[a:b] for a, b in cuts]) for of in (self.rows, self.weights))
+        else:
+            at = self._runs(start, length)
+            rows, own = self.rows.take(at), self.weights.take(at)
+        return np.bincount(rows, own * np.repeat(weight, length), self.size)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k rows of highest positive cosine, ties to the smaller number; ``skip`` is left out."""
-        bound = np.zeros(-(-self.size // BLOCK))
-        known = [(t, w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.bounds]
-        for t, w in known:
-            blocks, most, _ = self.bounds[t]
-            bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] + 1e-9 < best[-1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in known:
-                blocks, _, starts = self.bounds[t]
-                at = int(np.searchsorted(blocks, block))
-                if at < len(blocks) and blocks[at] == block:
-                    own = slice(starts[at], starts[at + 1])
-                    score[self.postings[t][0][own] - block * BLOCK] += w * self.postings[t][1][own]
-            if 0 <= skip - block * BLOCK < BLOCK:
-                score[skip - block * BLOCK] = 0.0
+        known = terms < len(self.post_of) - 1
+        terms, weights = terms[known], weights[known]
+        first = self.entry_of[terms]
+        many = self.entry_of[terms + 1] - first
+        entries, weight = self._runs(first, many), np.repeat(weights, many)
+        if not len(entries):
+            return []
+        blocks = self.block[entries]
+        bound = np.bincount(blocks, weight * self.most[entries], -(-self.size // BLOCK))
+
+        def best_of(best: list[tuple[float, int]], score: np.ndarray) -> list[tuple[float, int]]:
+            if 0 <= skip < self.size:
+                score[skip] = 0.0
             hits = np.flatnonzero(score > (best[-1][0] - 1e-12 if len(best) == k else 0.0))
-            if len(hits):
-                best = sorted(best + [(float(score[h]), int(block) * BLOCK + int(h)) for h in hits],
-                              key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            if len(hits) > k:
+                hits = hits[score[hits] >= np.partition(score[hits], -k)[-k]]
+            return sorted(best + [(float(score[h]), int(h)) for h in hits], key=lambda x: (-x[0], x[1]))[:k]
+
+        def of_blocks(chosen: np.ndarray) -> np.ndarray:
+            inside = np.zeros(len(bound), bool)
+            inside[chosen] = True
+            inside = inside[blocks]
+            own = entries[inside]
+            return self._score(self.start[own], self.end[own], weight[inside])
+
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        best: list[tuple[float, int]] = []
+        if len(order) > 4 * FIRST:
+            best = best_of(best, of_blocks(order[:FIRST]))
+            left = order[FIRST:]
+            if len(best) == k:
+                left = left[bound[left] + 1e-9 >= best[-1][0]]
+            if 4 * len(left) <= len(bound):
+                return best_of(best, of_blocks(left)) if len(left) else best
+        # Most blocks are left: whole lists are quicker than many blocks of each.
+        return best_of([], self._score(self.post_of[terms], self.post_of[terms + 1], weights))
 
 
 def vote(found: list[tuple[float, int]], labels: np.ndarray, weight: np.ndarray) -> float:
@@ -225,25 +290,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     examples = stage(labelled_texts(docs, sample))
     drawn_rows = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     drawn = [drawn_rows.get(0, 0), drawn_rows.get(1, 0)]
-    vocabulary = choose_terms(examples, numbers, drawn)
+    information = term_information(examples, numbers, drawn)
+    vocabulary = sorted(information)
     counted = stage(term_counts(docs, vocabulary, keyed))
 
     total = counted.count()
     frequency = np.zeros(len(vocabulary))
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
         frequency[r["t"]] = r["count"]
-    idf = np.log((1.0 + total) / (1.0 + frequency)) + 1.0
+    term_weight = (np.log((1.0 + total) / (1.0 + frequency)) + 1.0) * np.array([information[t] for t in vocabulary])
 
     weight = np.array([numbers[c] / drawn[c] if drawn[c] else 0.0 for c in (0, 1)])
     mass = [numbers[c] if drawn[c] else 0 for c in (0, 1)]
-    rows = (counted.join(F.broadcast(examples.select("doc_id", "label")), "doc_id")
-            .groupBy("doc_id").agg(F.first("label").alias("label"), F.first("terms").alias("terms"),
-                                   F.first("counts").alias("counts")).collect())
-    bare = [sum(1 for r in rows if not r["terms"] and r["label"] == c) * weight[c] for c in (0, 1)]
-    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (list(r["terms"]), r["label"], r["doc_id"]))
-    marks = np.array([r["label"] for r in rows], np.int64)
+    marked = {r["doc_id"]: r["label"] for r in examples.select("doc_id", "label").collect()}
+    rows = term_counts(examples.select("doc_id", "text"), vocabulary).collect()
+    bare = [sum(1 for r in rows if not r["terms"] and marked[r["doc_id"]] == c) * weight[c] for c in (0, 1)]
+    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (marked[r["doc_id"]], list(r["terms"]), r["doc_id"]))
+    marks = np.array([marked[r["doc_id"]] for r in rows], np.int64)
     names = np.array([r["doc_id"] for r in rows], np.int64)
-    vectors = [unit_vector(r["terms"], r["counts"], idf) for r in rows]
+    vectors = [unit_vector(r["terms"], r["counts"], term_weight) for r in rows]
     index = BlockMaxIndex.build(vectors)
     if sum(mass):
         rate = mass[1] / sum(mass)
@@ -254,26 +319,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     a, b = fit_curve(x, marks.astype(float), weight[marks]) if len(rows) else (1.0, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[float, list]] = {}
+        kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (*terms, -1, *counts)
-                got = known.get(key)
-                if got is None:
-                    found = index.search(*unit_vector(terms, counts, idf), k) if terms else []
-                    if found:
-                        odds = a * vote(found, marks, weight) + b
-                        score = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds))))
-                    else:
-                        score = empty_score
-                    got = score, [{"example": int(names[i]), "similarity": s, "label": int(marks[i])} for s, i in found]
-                    if len(known) >= 20_000:
-                        known.clear()
-                    known[key] = got
-                scores.append(got[0])
-                evidence.append(got[1])
-            kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+            for terms, counts in zip(batch.column(1), batch.column(2)):
+                t, n = terms.values.to_numpy(), counts.values.to_numpy()
+                found = index.search(*unit_vector(t, n, term_weight), k) if len(t) else []
+                if found:
+                    odds = a * vote(found, marks, weight) + b
+                    scores.append(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds)))))
+                else:
+                    scores.append(empty_score)
+                evidence.append([{"example": int(names[i]), "similarity": s, "label": int(marks[i])} for s, i in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(3), pa.array(scores, pa.float64()),
                  pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind), *batch.columns[4:]],

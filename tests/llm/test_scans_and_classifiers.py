@@ -188,6 +188,71 @@ def test_scores_follow_from_the_evidence(spark):
     assert all(a[1] <= b[1] + 1e-9 for a, b in zip(found, found[1:]))
 
 
+def test_toxicity_against_brute_force(spark):
+    """Vocabulary, information, document frequencies, exact neighbours, votes and scores of 300 texts."""
+    rows, labels = corpus(n=300)
+    rows += [(400, rows[7][1]), (401, "idiot"), (402, "quite unknown signs"), (403, "")]
+    got = {r.doc_id: r for r in toxicity.toxicity(frame(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    truth = {i: t for i, _, t, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    terms = {i: Counter(re.findall(r"\w+", t.lower())) for i, t in rows}
+    shown = {i: c | Counter({w[:4] + "*": 1 for w in c if len(w) > 4}) for i, c in terms.items()}
+    texts = {(truth[i], dict(rows)[i]): i for i in truth}  # equal texts of a class count once
+    n = [sum(c == k for c, _ in texts) for k in (0, 1)]
+    seen = [Counter(w for (c, _), i in texts.items() if c == k for w in set(shown[i])) for k in (0, 1)]
+    drawn = [sum(v == k for v in truth.values()) for k in (0, 1)]
+    info = {}
+    for w in seen[0].keys() | seen[1].keys():
+        b, a = seen[0][w], seen[1][w]
+        part = lambda x, of: 2 * x * math.log(x / ((a + b) * of / (n[0] + n[1]))) if x else 0.0  # noqa: E731, B023
+        ratio = part(a, n[1]) + part(b, n[0]) if a / n[1] > b / n[0] else 0.0
+        pure = a / (a + b)  # all labelled rows are drawn, so classes weigh 1
+        if a >= 3 and ratio >= 12 and pure >= 0.3:
+            info[w] = 1.0
+        elif not w.endswith("*"):
+            info[w] = toxicity.FLOOR + (1 - toxicity.FLOOR) * (ratio / (ratio + 12)) ** 2 * pure
+    names = sorted(info)
+
+    def counts(i):
+        out = Counter({w: m for w, m in terms[i].items() if w in info})
+        for w, m in terms[i].items():
+            if len(w) > 4 and w[:4] + "*" in info:
+                out[w[:4] + "*"] += m
+        return out
+
+    known = {i: counts(i) for i, _ in rows}
+    idf = {w: math.log((1 + len(rows)) / (1 + sum(w in c for c in known.values()))) + 1 for w in names}
+
+    def vector(i):
+        v = np.array([(1 + math.log(known[i][w])) * idf[w] * info[w] if known[i][w] else 0.0 for w in names])
+        return v / math.sqrt(v @ v) if v.any() else v
+
+    examples = sorted(truth)
+    matrix = np.array([vector(i) for i in examples])
+    marks = np.array([truth[i] for i in examples])
+
+    def odds(v, skip=None):
+        cos = matrix @ v
+        if skip is not None:
+            cos[skip] = 0.0
+        best = sorted((-c, j) for j, c in enumerate(cos) if c > 0)[:toxicity.NEIGHBOURS]
+        return toxicity.vote([(-c, j) for c, j in best], marks, np.ones(2)) if best else None
+
+    x = np.array([odds(matrix[j], j) for j in range(len(examples))])
+    slope, shift = toxicity.fit_curve(x, marks.astype(float), np.ones(len(x)))
+    shares = 0
+    for i, _ in rows:
+        vote = odds(vector(i))
+        if vote is None:
+            assert not got[i].evidence and got[i].score < 0.5
+            continue
+        shares += 1
+        assert len(got[i].evidence) == toxicity.NEIGHBOURS or i == 401
+        # Equal cosines at the edge of the neighbours may be told apart by rounding only.
+        want = 1 / (1 + math.exp(-max(-30, min(30, slope * vote + shift))))
+        assert got[i].score == pytest.approx(want, abs=0.02)
+    assert shares == len(rows) - 2
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark):
     rows, labels = corpus(n=400)
     other = [(i, 1 - q, 1 - t, x) if zlib.crc32(str(i).encode()) % 3 == 1 else (i, q, t, x) for i, q, t, x in labels]
