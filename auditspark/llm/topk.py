@@ -259,6 +259,7 @@ def search(vectors: DataFrame, is_query, k: int = K, query_block: int = QUERY_BL
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["q_row", "vec_id", "score"])
 
         parts.append(stage(table.select("row", "vec_id", "v").mapInArrow(run, HITS)))
+        sent.destroy()
     hits = parts[0] if parts else table.sparkSession.createDataFrame([], HITS)
     for part in parts[1:]:
         hits = hits.unionByName(part)
