@@ -3,7 +3,8 @@
 1. Units are words and runs of signs, case kept, hashed to ``buckets`` rows. A unit's index vector is
    fixed and sparse (two entries of +1 or -1); its word vector is the sum of the index vectors of the
    units up to two places around it, over every occurrence in all documents. Tasks sum their own
-   documents, and the partial tables, of fixed size, are streamed together by row block.
+   documents, and the partial tables, of fixed size, are streamed together by row block, as many blocks as there are
+   shuffle partitions.
 2. A document's features: mean and spread of its units' normed vectors, the mean likeness of
    neighbouring units, and logarithms of its units and of their repetition.
 3. ``per_class`` labelled rows of each class, drawn by a hash of doc_id (the documented bound of the
@@ -29,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import id_and_text, label_remainder, stage
+from auditspark.llm.common import id_and_text, label_remainder, shuffle_partitions, stage
 from auditspark.llm.toxicity import labelled_sample, labelled_texts
 
 BUCKETS = 1 << 14
 DIMENSIONS = 48
 ENTRIES = 2
 WINDOW = 2
-#: Row blocks in which the tables are sent and summed.
+#: Least number of row blocks in which the tables are sent and summed.
 ROW_BLOCKS = 16
+#: Units that are worked on at once, and characters from which a text's units are not listed first.
+PART = 1 << 16
+LONG = 1 << 20
 PER_CLASS = 8_000
 HIDDEN = 32
 THRESHOLD = 0.7
@@ -59,6 +63,8 @@ class UnitNumbers(dict):
 
 
 def unit_ids(text: str, numbers: UnitNumbers) -> np.ndarray:
+    if len(text) > LONG:
+        return np.fromiter((numbers[m.group()] for m in _UNIT.finditer(text)), dtype=np.int32)
     return np.array([numbers[u] for u in _UNIT.findall(text)], dtype=np.int32)
 
 
@@ -73,7 +79,8 @@ def index_vectors(buckets: int, dimensions: int) -> tuple[np.ndarray, np.ndarray
 
 def word_vectors(docs: DataFrame, buckets: int = BUCKETS, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Normed vectors of all buckets (a table of fixed size), from all documents."""
-    per_block = buckets // ROW_BLOCKS
+    # A power of two, as the buckets are.
+    row_blocks = min(buckets, 1 << max(ROW_BLOCKS, shuffle_partitions(docs.sparkSession)).bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors(buckets, dimensions)
@@ -83,11 +90,14 @@ def word_vectors(docs: DataFrame, buckets: int = BUCKETS, dimensions: int = DIME
 
         def add(parts: list[np.ndarray]) -> None:
             ids = np.concatenate(parts).astype(np.int64)
-            base = ids * dimensions
-            for step in range(1, WINDOW + 1):
-                for of, at in ((ids[step:], base[:-step]), (ids[:-step], base[step:])):
-                    for e in range(ENTRIES):
-                        np.add(table, np.bincount(at + places[of, e], signs[of, e], len(table)), out=table)
+            for lo in range(0, len(ids), 1 << 20):
+                for step in range(1, WINDOW + 1):
+                    # Pairs whose left unit is in this part.
+                    left = ids[lo:min(lo + (1 << 20), len(ids) - step)]
+                    right = ids[lo + step:lo + step + len(left)]
+                    for of, at in ((right, left * dimensions), (left, right * dimensions)):
+                        for e in range(ENTRIES):
+                            np.add(table, np.bincount(at + places[of, e], signs[of, e], len(table)), out=table)
 
         held, size = [], 0
         for batch in batches:
@@ -100,25 +110,27 @@ def word_vectors(docs: DataFrame, buckets: int = BUCKETS, dimensions: int = DIME
                     held, size = [], 0
         if held:
             add(held)
-        rows = table[:buckets * dimensions].astype("<f4").reshape(ROW_BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(ROW_BLOCKS), pa.int32()),
+        # Sums of signs are whole numbers.
+        rows = table[:buckets * dimensions].astype("<i8").reshape(row_blocks, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(row_blocks), pa.int32()),
                                           pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "part"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                values = np.frombuffer(part, "<f4")
-                sums[block] = sums[block] + values if block in sums else values.astype(float)
+                values = np.frombuffer(part, "<i8")
+                sums[block] = sums[block] + values if block in sums else values
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
-                                          pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())],
+                                          pa.array([v.tobytes() for v in sums.values()], pa.binary())],
                                          ["block", "part"])
 
     schema = "block int, part binary"
-    table = np.zeros((ROW_BLOCKS, per_block * dimensions))
-    parts = (id_and_text(docs).mapInArrow(run, schema).repartition(ROW_BLOCKS, "block").mapInArrow(total, schema))
+    table = np.zeros((row_blocks, buckets // row_blocks * dimensions))
+    # Each block's sum is final; together they are the table of fixed size.
+    parts = id_and_text(docs).mapInArrow(run, schema).repartition(row_blocks, "block").mapInArrow(total, schema)
     for r in parts.collect():
-        table[r["block"]] += np.frombuffer(r["part"], "<f8")
+        table[r["block"]] += np.frombuffer(r["part"], "<i8")
     table = table.reshape(buckets, dimensions)
     size = np.sqrt((table * table).sum(axis=1, keepdims=True))
     return (table / np.maximum(size, 1e-9)).astype(np.float32)
@@ -136,8 +148,10 @@ def features(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     out[:d] = share @ own
     out[d:2 * d] = np.sqrt(np.maximum(share @ (own * own) - out[:d] ** 2, 0.0))
     if len(ids) > 1:
-        all_of = vectors[ids]
-        out[2 * d] = np.einsum("ij,ij->", all_of[1:], all_of[:-1]) / (len(ids) - 1)
+        # Part by part, one unit over the edge.
+        alike = [np.einsum("ij,ij->", own[1:], own[:-1]) for own in
+                 (vectors[ids[at:at + PART + 1]] for at in range(0, len(ids) - 1, PART))]
+        out[2 * d] = sum(alike) / (len(ids) - 1)
     out[2 * d + 1] = np.log1p(len(ids))
     out[2 * d + 2] = np.log(len(ids) / len(units))
     return out

@@ -270,6 +270,50 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
 
 
+def test_word_vectors_against_brute_force(spark):
+    """Sums of index vectors over both neighbours at one and two places, whatever the blocks and parts."""
+    rows = [(i, t) for i, t in corpus(n=40)[0]] + [(99, None), (98, "one")]
+    got = quality.word_vectors(frame(spark, rows).repartition(3), 64, 8)
+    places, signs = quality.index_vectors(64, 8)
+    table = np.zeros((64, 8))
+    for _, text in rows:
+        ids = quality.unit_ids(text or "", quality.UnitNumbers(64))
+        for i in range(len(ids)):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if i != j:
+                    for e in range(quality.ENTRIES):
+                        table[ids[i], places[ids[j], e]] += signs[ids[j], e]
+    size = np.sqrt((table * table).sum(axis=1, keepdims=True))
+    assert np.allclose(got, table / np.maximum(size, 1e-9), atol=1e-6)
+
+
+def test_long_texts_are_pooled_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(50, 8)).astype(np.float32)
+    ids = rng.integers(0, 50, 1000)
+    whole = quality.features(ids, vectors)
+    monkeypatch.setattr(quality, "PART", 7)
+    assert np.allclose(quality.features(ids, vectors), whole, atol=1e-4)
+    text, numbers = "word, one! " * 50, quality.UnitNumbers(99)
+    listed = quality.unit_ids(text, numbers)
+    monkeypatch.setattr(quality, "LONG", 10)
+    assert (quality.unit_ids(text, numbers) == listed).all()
+
+
+def test_quality_with_many_words_a_bucket(spark):
+    """Ten and more words share a vector: held-out rows are still told apart."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(900):
+        good = int(i % 4 != 0)
+        own = [f"w{rng.randrange(20_000)}" + ("" if good else rng.choice(["", "!!", "ZZ"])) for _ in range(rng.randint(20, 60))]
+        rows.append((i, " ".join(own)))
+        labels.append((i, good, 0, "x"))
+    texts, marks = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    got = quality.quality(texts, marks).collect()
+    assert accuracy(got, {i: int(i % 4 != 0) for i, _ in rows}, (4, 2)) > 0.9
+
+
 @pytest.mark.parametrize("method", [toxicity.toxicity, quality.quality])
 def test_few_or_no_labels(spark, method):
     rows, labels = corpus(n=40)
@@ -358,3 +402,16 @@ def test_trees_learn_from_labelled_urls(spark):
     rows += [(1000, "https://x9123.a.io/en/p"), (1001, "https://xyz.example.io/en/p")]
     got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[1000] == "block" and got[1001] == "allow"
+
+
+def test_trees_judge_a_fold_they_have_not_seen(spark):
+    rng = random.Random(12)
+    rows = [(i, f"https://{'x9' + str(i) if i % 2 else 'site'}{rng.choice('abc')}.{'a.net' if i % 2 else 'example.net'}/en/p{i}") for i in range(600)]
+    got = {(r.truth, r.method): r.n for r in urlfilter.held_out(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    right = got.get(("block", "block"), 0) + got.get(("allow", "allow"), 0)
+    assert sum(got.values()) > 80 and right >= 0.95 * sum(got.values())
+
+
+def test_ports_do_not_hide_a_suffix(spark):
+    pages = spark.createDataFrame([(1, "http://a.io:8080/x"), (2, "http://b.io/x"), (3, None)], "page_id long, url string")
+    assert {r.page_id: r.suffix for r in urlfilter._table(pages, urlfilter.RULES).collect()} == {1: "io", 2: "io", 3: ""}
