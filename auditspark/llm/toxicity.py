@@ -10,7 +10,9 @@
    no term is left out, and a text's hundreds of neutral words do not outweigh the one that matters.
 4. The examples form an inverted index in blocks of 256 with each term's largest weight per block.
    A query adds up its blocks' bounds, scores the blocks of the highest ones, and then all others whose bound
-   reaches the k-th best cosine: the k nearest are exact.
+   reaches the k-th best cosine. Queries without a term that outweighs the others prune little: they are scored in batches
+   over whole lists, those of terms that many examples hold as columns of a matrix in single precision, and every row near
+   the k-th best is scored again in double precision. Either way the k nearest are exact.
 5. All neighbours are a row's evidence, nearest first. They vote with weight 1 / (distance + 0.1), classes weighed
    back to their true numbers. A logistic curve fitted to the examples' own leave-one-out votes turns votes into
    probabilities.
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import id_and_text, label_remainder, row_key, shuffle_partitions, stage
+from auditspark.llm.common import id_and_text, label_remainder, row_key, stage
 
 PER_CLASS = 6_000
 NEIGHBOURS = 15
@@ -49,6 +51,11 @@ FLOOR = 0.01
 HALF = 12.0
 #: Blocks that a search scores first.
 FIRST = 2
+#: Share of the examples from which a term's list is also held as a column, queries scored at once, and how far a
+#: single-precision cosine can be off (by far less).
+COMMON = 0.04
+TOGETHER = 256
+SLACK = 1e-4
 _WORD = re.compile(r"\w+")
 
 SCORED = ("doc_id long, held_out boolean, score double, predicted int, "
@@ -114,15 +121,12 @@ def term_information(examples: DataFrame, numbers: list[int], drawn: list[int],
     stats = (texts.select("label", "text").mapInArrow(run, "term string, toxic long, clean long")
              .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
              .select("term", ratio.alias("ratio"), pure.alias("pure"), "toxic"))
-    marks = (F.col("toxic") >= least) & (F.col("ratio") >= HALF) & (F.col("pure") >= purity)
-    out = {}
-    for r in stats.where(~F.col("term").endswith("*") | marks).collect():
-        if r["ratio"] >= HALF and r["pure"] >= purity and r["toxic"] >= least:
-            out[r["term"]] = 1.0
-        else:
-            share = r["ratio"] / (r["ratio"] + HALF)
-            out[r["term"]] = FLOOR + (1 - FLOOR) * share * share * r["pure"]
-    return out
+    sure = (F.col("toxic") >= least) & (F.col("ratio") >= HALF) & (F.col("pure") >= purity)
+    share = F.col("ratio") / (F.col("ratio") + HALF)
+    value = F.when(sure, F.lit(1.0)).otherwise(FLOOR + (1 - FLOOR) * share * share * F.col("pure"))
+    # As Arrow columns, a few dozen bytes a term.
+    kept = stats.where(~F.col("term").endswith("*") | sure).select("term", value.alias("value")).toArrow()
+    return dict(zip(kept.column("term").to_pylist(), kept.column("value").to_pylist()))
 
 
 def term_counts(docs: DataFrame, vocabulary: list[str], keyed: bool = False) -> DataFrame:
@@ -177,12 +181,20 @@ class BlockMaxIndex:
     most: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    # By row: its terms and weights; the columns of common terms and where a term's column is (-1: none).
+    of_row: np.ndarray
+    row_terms: np.ndarray
+    row_weights: np.ndarray
+    column: np.ndarray
+    columns: np.ndarray
 
     @staticmethod
     def build(vectors: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         terms = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
         weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors]) if vectors else np.empty(0, np.int32)
+        of_row = np.searchsorted(rows, np.arange(len(vectors) + 1))
+        row_terms, row_weights = terms.astype(np.int32), weights
         order = np.lexsort((rows, terms))
         terms, rows, weights = terms[order], rows[order], weights[order]
         block = rows // BLOCK
@@ -192,8 +204,16 @@ class BlockMaxIndex:
         most = np.maximum.reduceat(weights, start) if len(start) else np.empty(0)
         top = int(terms[-1]) + 1 if len(terms) else 0
         every = np.arange(top + 1)
-        return BlockMaxIndex(len(vectors), rows, weights, np.searchsorted(terms, every), np.searchsorted(terms[start], every),
-                             block[start], most, start, np.append(start[1:], len(terms)))
+        post_of = np.searchsorted(terms, every)
+        common = np.flatnonzero(np.diff(post_of) >= max(COMMON * len(vectors), 1)) if len(vectors) else np.empty(0, np.int64)
+        column = np.full(top, -1, np.int32)
+        column[common] = np.arange(len(common))
+        columns = np.zeros((len(common), len(vectors)), np.float32)
+        for c, t in enumerate(common):
+            columns[c, rows[post_of[t]:post_of[t + 1]]] = weights[post_of[t]:post_of[t + 1]]
+        return BlockMaxIndex(len(vectors), rows, weights, post_of, np.searchsorted(terms[start], every),
+                             block[start], most, start.astype(np.int32), np.append(start[1:], len(terms)).astype(np.int32),
+                             of_row, row_terms, row_weights, column, columns)
 
     @staticmethod
     def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -204,7 +224,7 @@ class BlockMaxIndex:
     def _score(self, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Of each row the sum over its postings in runs from ``start`` to ``end``, times the runs' weights."""
         length = end - start
-        if len(start) * 32 < int(length.sum()):
+        if len(start) * 128 < int(length.sum()):
             # Long runs are copied as they stand.
             cuts = list(zip(start.tolist(), end.tolist()))
             rows, own = (np.concatenate([of[a:b] for a, b in cuts]) for of in (self.rows, self.weights))
@@ -254,6 +274,44 @@ class BlockMaxIndex:
         return best_of([], self._score(self.post_of[terms], self.post_of[terms + 1], weights))
 
 
+    def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``search`` of every query."""
+        out: list = [[] for _ in queries]
+        flat = []
+        for i, (terms, weights) in enumerate(queries):
+            if len(terms) and float(weights.max()) ** 2 > 0.3:
+                out[i] = self.search(terms, weights, k)
+            elif len(terms):
+                flat.append(i)
+        full = np.zeros(len(self.column))
+        for at in range(0, len(flat), TOGETHER):
+            some = flat[at:at + TOGETHER]
+            common = np.zeros((len(some), len(self.columns)), np.float32)
+            rare = []
+            for j, i in enumerate(some):
+                terms, weights = queries[i]
+                known = terms < len(self.column)
+                terms, weights = terms[known], weights[known]
+                column = self.column[terms]
+                common[j, column[column >= 0]] = weights[column >= 0]
+                rare.append((terms[column < 0], weights[column < 0], terms, weights))
+            scores = common @ self.columns
+            for j, i in enumerate(some):
+                few, few_weights, terms, weights = rare[j]
+                score = scores[j] + self._score(self.post_of[few], self.post_of[few + 1], few_weights)
+                least = np.partition(score, -k)[-k] if self.size > k else 0.0
+                near = np.flatnonzero(score >= max(least - SLACK, 0.0))
+                near = near[score[near] > 0] if least <= SLACK else near
+                full[terms] = weights
+                length = self.of_row[near + 1] - self.of_row[near]
+                own = self._runs(self.of_row[near], length)
+                exact = np.add.reduceat(full[self.row_terms[own]] * self.row_weights[own], np.cumsum(length) - length) if len(near) else []
+                full[terms] = 0.0
+                best = sorted(((float(s), int(r)) for s, r in zip(exact, near) if s > 0), key=lambda x: (-x[0], x[1]))
+                out[i] = best[:k]
+        return out
+
+
 def vote(found: list[tuple[float, int]], labels: np.ndarray, weight: np.ndarray) -> float:
     """Log odds of the neighbours' weighted votes, a little smoothed towards even."""
     mass = [0.0, 0.0]
@@ -296,19 +354,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
 
     total = counted.count()
     frequency = np.zeros(len(vocabulary))
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        frequency[r["t"]] = r["count"]
+    spread = counted.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()
+    frequency[spread.column("t").to_numpy()] = spread.column("count").to_numpy()
     term_weight = (np.log((1.0 + total) / (1.0 + frequency)) + 1.0) * np.array([information[t] for t in vocabulary])
 
     weight = np.array([numbers[c] / drawn[c] if drawn[c] else 0.0 for c in (0, 1)])
     mass = [numbers[c] if drawn[c] else 0 for c in (0, 1)]
     marked = {r["doc_id"]: r["label"] for r in examples.select("doc_id", "label").collect()}
-    rows = term_counts(examples.select("doc_id", "text"), vocabulary).collect()
-    bare = [sum(1 for r in rows if not r["terms"] and marked[r["doc_id"]] == c) * weight[c] for c in (0, 1)]
-    rows = sorted((r for r in rows if r["terms"]), key=lambda r: (marked[r["doc_id"]], list(r["terms"]), r["doc_id"]))
-    marks = np.array([marked[r["doc_id"]] for r in rows], np.int64)
-    names = np.array([r["doc_id"] for r in rows], np.int64)
-    vectors = [unit_vector(r["terms"], r["counts"], term_weight) for r in rows]
+    # The examples' terms and counts as Arrow columns; a row is a slice of them.
+    own = term_counts(examples.select("doc_id", "text"), vocabulary).toArrow().combine_chunks()
+    ids = own.column("doc_id").to_pylist()
+    lists = [own.column(c).chunk(0) if own.num_rows else None for c in ("terms", "counts")]
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(c[i].values.to_numpy() for c in lists)
+
+    filled = {i: len(row(i)[0]) for i in range(len(ids))}
+    bare = [sum(1 for i, n in filled.items() if not n and marked[ids[i]] == c) * weight[c] for c in (0, 1)]
+    order = sorted((i for i, n in filled.items() if n), key=lambda i: (marked[ids[i]], row(i)[0].tobytes(), ids[i]))
+    marks = np.array([marked[ids[i]] for i in order], np.int64)
+    names = np.array([ids[i] for i in order], np.int64)
+    vectors = [unit_vector(*row(i), term_weight) for i in order]
     index = BlockMaxIndex.build(vectors)
     if sum(mass):
         rate = mass[1] / sum(mass)
@@ -316,15 +382,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     else:
         empty_score = 0.5
     x = np.array([vote(index.search(*v, k, skip=i), marks, weight) for i, v in enumerate(vectors)])
-    a, b = fit_curve(x, marks.astype(float), weight[marks]) if len(rows) else (1.0, 0.0)
+    a, b = fit_curve(x, marks.astype(float), weight[marks]) if len(order) else (1.0, 0.0)
+    del vectors, own, lists, spread
+    sent = docs.sparkSession.sparkContext.broadcast((index, term_weight, marks, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
+        index, term_weight, marks, names = sent.value
         for batch in batches:
             scores, evidence = [], []
+            queries = []
             for terms, counts in zip(batch.column(1), batch.column(2)):
-                t, n = terms.values.to_numpy(), counts.values.to_numpy()
-                found = index.search(*unit_vector(t, n, term_weight), k) if len(t) else []
+                queries.append(unit_vector(terms.values.to_numpy(), counts.values.to_numpy(), term_weight))
+            for found in index.search_many(queries, k):
                 if found:
                     odds = a * vote(found, marks, weight) + b
                     scores.append(1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, odds)))))
@@ -336,7 +406,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
                  pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind), *batch.columns[4:]],
                 ["doc_id", "held_out", "score", "predicted", "evidence", *keys])
 
-    # The counts are small files, the search is the work: deal it out evenly.
+    # The written counts are read as they were written: evenly, as the texts.
     return (counted.select("doc_id", "terms", "counts", (label_remainder("doc_id", modulus) == held).alias("held_out"), *keys)
-            .repartition(shuffle_partitions(docs.sparkSession))
             .mapInArrow(run, ", ".join([SCORED, *[f"{c} binary" for c in keys]])))

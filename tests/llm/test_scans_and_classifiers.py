@@ -339,6 +339,11 @@ def test_block_max_search_is_exact():
         want = sorted((c for c in cos if c[0] > 0), key=lambda x: (-x[0], x[1]))[:9]
         got = index.search(t, w, 9, skip)
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
+    # Together, with common terms as columns: the same rows and cosines.
+    many = index.search_many([*vectors[:120], (np.empty(0, np.int64), np.empty(0)), (np.array([99]), np.array([1.0]))], 9)
+    for got, (t, w) in zip(many, vectors[:120]):
+        assert [(round(s, 9), i) for s, i in got] == [(round(s, 9), i) for s, i in index.search(t, w, 9)]
+    assert many[120:] == [[], []] and len(index.columns) > 0
 
 
 def test_document_frequency_covers_all_documents(spark):
