@@ -132,10 +132,10 @@ def term_information(examples: DataFrame, numbers: list[int], drawn: list[int],
 def term_counts(docs: DataFrame, vocabulary: list[str], keyed: bool = False) -> DataFrame:
     """doc_id, terms (numbers in the vocabulary, ascending), counts and, if ``keyed``, row_key of every document."""
     keys = ["row_key"] if keyed else []
-    number = {t: i for i, t in enumerate(vocabulary)}
     beginnings = any(t.endswith("*") for t in vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: i for i, t in enumerate(vocabulary)}
         for batch in batches:
             terms, counts = [], []
             for text in batch.column(1).to_pylist():
@@ -160,7 +160,7 @@ def term_counts(docs: DataFrame, vocabulary: list[str], keyed: bool = False) ->
 
 
 def unit_vector(terms, counts, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.asarray(terms, np.int64)
+    t = np.asarray(terms)
     w = (1.0 + np.log(np.asarray(counts, float))) * weight[t]
     return t, w / math.sqrt(float(w @ w)) if len(w) else w
 
@@ -181,39 +181,45 @@ class BlockMaxIndex:
     most: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    # By row: its terms and weights; the columns of common terms and where a term's column is (-1: none).
-    of_row: np.ndarray
-    row_terms: np.ndarray
-    row_weights: np.ndarray
-    column: np.ndarray
-    columns: np.ndarray
+    # Made where queries are scored together: by row, its terms and weights; the columns of common terms and where a
+    # term's column is (-1: none).
+    of_row: np.ndarray | None = None
+    row_terms: np.ndarray | None = None
+    row_weights: np.ndarray | None = None
+    column: np.ndarray | None = None
+    columns: np.ndarray | None = None
 
     @staticmethod
     def build(vectors: list[tuple[np.ndarray, np.ndarray]]) -> BlockMaxIndex:
-        terms = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
-        weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors]) if vectors else np.empty(0, np.int32)
-        of_row = np.searchsorted(rows, np.arange(len(vectors) + 1))
-        row_terms, row_weights = terms.astype(np.int32), weights
-        order = np.lexsort((rows, terms))
-        terms, rows, weights = terms[order], rows[order], weights[order]
+        terms = np.concatenate([t for t, _ in vectors] or [np.empty(0)]).astype(np.int32)
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        # Rows ascend already; a stable sort keeps that within a term.
+        order = np.argsort(terms, kind="stable")
+        terms, rows = terms[order], rows[order]
+        weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])[order]
+        del order
         block = rows // BLOCK
         change = np.ones(len(terms), bool)
         change[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        start = np.flatnonzero(change)
+        start = np.flatnonzero(change).astype(np.int32)
         most = np.maximum.reduceat(weights, start) if len(start) else np.empty(0)
-        top = int(terms[-1]) + 1 if len(terms) else 0
-        every = np.arange(top + 1)
-        post_of = np.searchsorted(terms, every)
-        common = np.flatnonzero(np.diff(post_of) >= max(COMMON * len(vectors), 1)) if len(vectors) else np.empty(0, np.int64)
-        column = np.full(top, -1, np.int32)
-        column[common] = np.arange(len(common))
-        columns = np.zeros((len(common), len(vectors)), np.float32)
+        every = np.arange(int(terms[-1]) + 2 if len(terms) else 1)
+        return BlockMaxIndex(len(vectors), rows, weights, np.searchsorted(terms, every), np.searchsorted(terms[start], every),
+                             block[start], most, start, np.append(start[1:], len(terms)).astype(np.int32))
+
+    def _prepare(self) -> None:
+        counts = np.diff(self.post_of)
+        terms = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        order = np.argsort(self.rows, kind="stable")
+        self.of_row = np.searchsorted(self.rows[order], np.arange(self.size + 1))
+        self.row_terms, self.row_weights = terms[order], self.weights[order]
+        common = np.flatnonzero(counts >= max(COMMON * self.size, 1))
+        self.column = np.full(len(counts), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.columns = np.zeros((len(common), self.size), np.float32)
         for c, t in enumerate(common):
-            columns[c, rows[post_of[t]:post_of[t + 1]]] = weights[post_of[t]:post_of[t + 1]]
-        return BlockMaxIndex(len(vectors), rows, weights, post_of, np.searchsorted(terms[start], every),
-                             block[start], most, start.astype(np.int32), np.append(start[1:], len(terms)).astype(np.int32),
-                             of_row, row_terms, row_weights, column, columns)
+            own = slice(self.post_of[t], self.post_of[t + 1])
+            self.columns[c, self.rows[own]] = self.weights[own]
 
     @staticmethod
     def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -276,6 +282,8 @@ class BlockMaxIndex:
 
     def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
         """``search`` of every query."""
+        if self.columns is None:
+            self._prepare()
         out: list = [[] for _ in queries]
         flat = []
         for i, (terms, weights) in enumerate(queries):
@@ -357,12 +365,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     spread = counted.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()
     frequency[spread.column("t").to_numpy()] = spread.column("count").to_numpy()
     term_weight = (np.log((1.0 + total) / (1.0 + frequency)) + 1.0) * np.array([information[t] for t in vocabulary])
+    known = bool(vocabulary)
 
     weight = np.array([numbers[c] / drawn[c] if drawn[c] else 0.0 for c in (0, 1)])
     mass = [numbers[c] if drawn[c] else 0 for c in (0, 1)]
     marked = {r["doc_id"]: r["label"] for r in examples.select("doc_id", "label").collect()}
     # The examples' terms and counts as Arrow columns; a row is a slice of them.
     own = term_counts(examples.select("doc_id", "text"), vocabulary).toArrow().combine_chunks()
+    del information, vocabulary, spread, frequency
     ids = own.column("doc_id").to_pylist()
     lists = [own.column(c).chunk(0) if own.num_rows else None for c in ("terms", "counts")]
 
@@ -375,16 +385,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     marks = np.array([marked[ids[i]] for i in order], np.int64)
     names = np.array([ids[i] for i in order], np.int64)
     vectors = [unit_vector(*row(i), term_weight) for i in order]
+    del own, lists
     index = BlockMaxIndex.build(vectors)
     if sum(mass):
         rate = mass[1] / sum(mass)
-        empty_score = float((bare[1] + 0.5 * rate) / (sum(bare) + 0.5)) if vocabulary else rate
+        empty_score = float((bare[1] + 0.5 * rate) / (sum(bare) + 0.5)) if known else rate
     else:
         empty_score = 0.5
     x = np.array([vote(index.search(*v, k, skip=i), marks, weight) for i, v in enumerate(vectors)])
     a, b = fit_curve(x, marks.astype(float), weight[marks]) if len(order) else (1.0, 0.0)
-    del vectors, own, lists, spread
     sent = docs.sparkSession.sparkContext.broadcast((index, term_weight, marks, names))
+    del vectors, index, term_weight  # the driver keeps no copy
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
