@@ -105,7 +105,7 @@ def enrich(df: DataFrame, locations: DataFrame, labels: DataFrame | None = None)
     with the share recomputed (A5), "null"/"" text as NA (C20, P7), and the
     country spelling fix for Korea (C24)."""
     from auditspark.operators import aggregates
-    from auditspark.plans.queries.location import best_location
+    from auditspark.operators.location import best_location
 
     x = aggregates.demote_conflicts(df, aggregates.status_conflicts(df))
     if "volunteer" in x.columns:

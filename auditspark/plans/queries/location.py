@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.functions import rsem
-from auditspark.operators import aggregates, joins
+from auditspark.operators import aggregates
+from auditspark.operators.location import LOC_KEYS, best_location
 from auditspark.plans import audit
 from auditspark.plans.registry import query
 from auditspark.sources.tables import Tables
 
-LOC_KEYS = ["city", "province", "country", "continent"]
-
 
 def gazetteer(t: Tables) -> DataFrame:
     """``locations_to_code``: coordinates per distinct location at three levels
@@ -41,27 +40,6 @@ def gazetteer(t: Tables) -> DataFrame:
     return g.withColumns({c: rsem.strip_token(c) for c in LOC_KEYS})
 
 
-def best_location(items: DataFrame, gaz: DataFrame) -> DataFrame:
-    """C4 + J5 + C18 + C19: ``gsub("null", "")`` on the location columns, a
-    null-safe 4-key left join to the gazetteer, the most specific coordinate
-    (city, then state, then country; latitude and longitude independently) and
-    the level that supplied it."""
-    x = items.withColumns({c: rsem.strip_token(c) for c in rsem.column_range(items, "city", "continent")})
-    j = joins.null_safe_join(x, gaz, LOC_KEYS, "left")
-    lon = F.coalesce("longitude_specific", "longitude_state", "longitude_country")
-    lat = F.coalesce("latitude_specific", "latitude_state", "latitude_country")
-    j = j.withColumn("longitude_most_specific", lon).withColumn("latitude_most_specific", lat)
-
-    def level(suffix: str):
-        return ((F.col("latitude_most_specific") == F.col(f"latitude_{suffix}"))
-                & (F.col("longitude_most_specific") == F.col(f"longitude_{suffix}")))
-
-    spec = (F.when(level("specific"), F.lit("city")).when(level("state"), F.lit("state"))
-            .when(level("country"), F.lit("country")).otherwise(F.lit("other")))
-    drop = [f"{a}_{s}" for a in ("latitude", "longitude") for s in ("specific", "state", "country")]
-    return j.withColumn("location_specificity", spec).drop(*drop)
-
-
 _GAZ_SQL = ("gaz", """
     SELECT replace(city, 'null', '') AS city, replace(province, 'null', '') AS province,
            replace(country, 'null', '') AS country, replace(continent, 'null', '') AS continent,

@@ -126,11 +126,11 @@ def read_aligned(spark: SparkSession, path: str, schema: StructType, profile: st
     """Rows of the declared types with their ``outcome`` ("row" or "aligned"), and the quarantine: ``outcome`` (the
     reason) and ``line`` of every line that is none."""
     text = StructType([StructField(f.name, StringType()) for f in schema.fields])
-    read = read_csv(spark, path, schema=text, profile=profile, keep_corrupt=True, encoding=encoding)
-    # The reader hands over the line when its number of fields is wrong.
+    # The reader hands over the line when its number of fields is wrong, which it sees only while it parses all of them: the
+    # parsed table is written once, and both outputs read from that, whatever columns are asked of them.
+    read = materialize(read_csv(spark, path, schema=text, profile=profile, keep_corrupt=True, encoding=encoding))
     fitting = read.where(F.col(RECORD).isNull())
-    # All columns go along, as the reader finds the lines that do not fit only if it parses every field.
-    mended = materialize(_mended(read.where(F.col(RECORD).isNotNull()).select(RECORD, *[f"`{n}`" for n in schema.names]), schema))
+    mended = materialize(_mended(read.where(F.col(RECORD).isNotNull()).select(RECORD), schema))
     rows = fitting.select(F.lit("row").alias("outcome"), *[_typed(f, F.col(f"`{f.name}`")) for f in schema.fields])
     more = mended.where(F.col("values").isNotNull()).select(
         "outcome", *[_typed(f, F.col("values")[i]) for i, f in enumerate(schema.fields)])

@@ -31,17 +31,22 @@ def start_item_stream(spark: SparkSession, items_dir: str, items_schema: StructT
     audits_path = f"{out_path.rstrip('/')}_audits"
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        audits = batch.select(*EVENT_KEYS).distinct()
-        if epoch:
-            earlier = spark.read.parquet(audits_path).filter(F.col("epoch") < epoch)
-            split = null_safe_join(audits, earlier.select(*EVENT_KEYS), EVENT_KEYS, "left_semi")
-            if not split.isEmpty():
-                raise ValueError(f"micro-batch {epoch} has items of audits of earlier batches: {split.limit(5).collect()}")
-        audits.write.mode("overwrite").parquet(f"{audits_path}/epoch={epoch}")
-        # One folder per micro-batch, overwritten on a retry: a batch that is
-        # re-run after a failure replaces its partial output instead of adding
-        # to it. Readers see the ``epoch`` partition column.
-        ingest(batch, events, brand_key).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        # The batch is read once for both its audits and its items.
+        batch = batch.persist()
+        try:
+            batch.select(*EVENT_KEYS).distinct().write.mode("overwrite").parquet(f"{audits_path}/epoch={epoch}")
+            if epoch:
+                known = spark.read.parquet(audits_path)
+                own, earlier = known.filter(F.col("epoch") == epoch), known.filter(F.col("epoch") < epoch)
+                split = null_safe_join(own.select(*EVENT_KEYS), earlier.select(*EVENT_KEYS), EVENT_KEYS, "left_semi")
+                if not split.isEmpty():
+                    raise ValueError(f"micro-batch {epoch} has items of audits of earlier batches: {split.limit(5).collect()}")
+            # One folder per micro-batch, overwritten on a retry: a batch that is
+            # re-run after a failure replaces its partial output instead of adding
+            # to it. Readers see the ``epoch`` partition column.
+            ingest(batch, events, brand_key).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
     return (stream.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

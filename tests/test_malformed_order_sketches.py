@@ -65,6 +65,7 @@ def test_no_line_is_lost(spark, tmp_path):
                                                 F.coalesce("year", F.lit(-1))).fillna("-").collect()) == [
         ("aligned", 2, "a, b, c", 5, "x", "y", 2020), ("aligned", 9, "a,b", 5, "x", "y", -1),
         ("row", 1, "a", 5, "x", "y", 2020), ("row", 6, "a, b", 7, "x", "y", 2020), ("row", 8, "-", -1, "x", "y", 2020)]
+    assert rows.count() == 5 and rows.select("k").count() == 5 and bad.count() == 4  # also with columns pruned
     assert sorted(tuple(r) for r in bad.collect()) == [
         ("ambiguous", lines[4]), ("none", lines[5]), ("quotes", lines[7]), ("short", lines[3])]
 
