@@ -53,8 +53,10 @@ HALF = 12.0
 FIRST = 2
 #: Share of the examples from which a term's list is also held as a column, queries scored at once, and how far a
 #: single-precision cosine can be off (by far less).
-COMMON = 0.04
+COMMON = 0.06
 TOGETHER = 256
+#: Share of a query's squared length from which its largest term outweighs the others.
+DOMINANT = 0.5
 SLACK = 1e-4
 _WORD = re.compile(r"\w+")
 
@@ -239,8 +241,10 @@ class BlockMaxIndex:
             rows, own = self.rows.take(at), self.weights.take(at)
         return np.bincount(rows, own * np.repeat(weight, length), self.size)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k rows of highest positive cosine, ties to the smaller number; ``skip`` is left out."""
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1,
+               whole: bool = True) -> list[tuple[float, int]] | None:
+        """The k rows of highest positive cosine, ties to the smaller number; ``skip`` is left out. Where the bounds
+        prune little, whole lists are scored, or, without ``whole``, None is returned."""
         known = terms < len(self.post_of) - 1
         terms, weights = terms[known], weights[known]
         first = self.entry_of[terms]
@@ -277,7 +281,7 @@ class BlockMaxIndex:
             if 4 * len(left) <= len(bound):
                 return best_of(best, of_blocks(left)) if len(left) else best
         # Most blocks are left: whole lists are quicker than many blocks of each.
-        return best_of([], self._score(self.post_of[terms], self.post_of[terms + 1], weights))
+        return None if not whole else best_of([], self._score(self.post_of[terms], self.post_of[terms + 1], weights))
 
 
     def search_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
@@ -287,10 +291,14 @@ class BlockMaxIndex:
         out: list = [[] for _ in queries]
         flat = []
         for i, (terms, weights) in enumerate(queries):
-            if len(terms) and float(weights.max()) ** 2 > 0.3:
-                out[i] = self.search(terms, weights, k)
-            elif len(terms):
+            if not len(terms):
+                continue
+            # Without a term that outweighs the others the bounds prune nothing.
+            found = self.search(terms, weights, k, whole=False) if float(weights.max()) ** 2 > DOMINANT else None
+            if found is None:
                 flat.append(i)
+            else:
+                out[i] = found
         full = np.zeros(len(self.column))
         for at in range(0, len(flat), TOGETHER):
             some = flat[at:at + TOGETHER]
