@@ -58,6 +58,8 @@ TOGETHER = 256
 #: Share of a query's squared length from which its largest term outweighs the others.
 DOMINANT = 0.5
 SLACK = 1e-4
+#: Words of whole texts that are counted at once.
+WORDS = 250_000
 _WORD = re.compile(r"\w+")
 
 SCORED = ("doc_id long, held_out boolean, score double, predicted int, "
@@ -131,30 +133,49 @@ def term_information(examples: DataFrame, numbers: list[int], drawn: list[int],
     return dict(zip(kept.column("term").to_pylist(), kept.column("value").to_pylist()))
 
 
+class Numbers(dict):
+    """The number of every term; an unknown word has its beginning's, or -1. Unknown words are not stored."""
+
+    def __init__(self, vocabulary: list[str]):
+        super().__init__(zip(vocabulary, range(len(vocabulary))))
+
+    def __missing__(self, word: str) -> int:
+        return self.get(word[:BEGINNING] + "*", -1) if len(word) > BEGINNING else -1
+
+
 def term_counts(docs: DataFrame, vocabulary: list[str], keyed: bool = False) -> DataFrame:
     """doc_id, terms (numbers in the vocabulary, ascending), counts and, if ``keyed``, row_key of every document."""
     keys = ["row_key"] if keyed else []
-    beginnings = any(t.endswith("*") for t in vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(vocabulary)}
+        number = Numbers(vocabulary)
+        # Beginnings of the known words: a word counts for both.
+        start = np.array([number.get(w[:BEGINNING] + "*", -1) if len(w) > BEGINNING and not w.endswith("*") else -1
+                          for w in vocabulary], np.int32)
+
+        def counted(batch: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+            own = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            term = np.concatenate(found)
+            first = start[term]
+            both = first >= 0
+            key = np.concatenate([own, own[both]]) * len(start) + np.concatenate([term, first[both]])
+            key, counts = np.unique(key, return_counts=True)
+            at = np.searchsorted(key, np.arange(len(found) + 1) * len(start)).astype(np.int32)
+            terms = (key % max(len(start), 1)).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(at, terms),
+                 pa.ListArray.from_arrays(at, counts.astype(np.int32)), *batch.columns[2:]],
+                ["doc_id", "terms", "counts", *keys])
+
         for batch in batches:
-            terms, counts = [], []
-            for text in batch.column(1).to_pylist():
-                found: Counter = Counter()
-                for w, n in Counter(terms_of(text)).items():
-                    at = number.get(w)
-                    if at is not None:
-                        found[at] += n
-                    if beginnings and len(w) > BEGINNING:
-                        start = number.get(w[:BEGINNING] + "*")
-                        if start is not None:
-                            found[start] += n
-                terms.append(sorted(found))
-                counts.append([found[t] for t in terms[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())),
-                 *batch.columns[2:]], ["doc_id", "terms", "counts", *keys])
+            done, words, found = 0, 0, []
+            for i, text in enumerate(batch.column(1)):
+                codes = np.fromiter(map(number.__getitem__, terms_of(text.as_py())), np.int32)
+                found.append(codes[codes >= 0])
+                words += len(found[-1])
+                if words >= WORDS or i == batch.num_rows - 1:
+                    yield counted(batch.slice(done, len(found)), found)
+                    done, words, found = i + 1, 0, []
 
     schema = ["doc_id long, terms array<int>, counts array<int>", *[f"{k} binary" for k in keys]]
     rows = id_and_text(docs)
