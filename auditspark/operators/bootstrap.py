@@ -25,6 +25,7 @@ multiset, so the same type-7 quantile.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,20 @@ def draws_sql(seed: int, units: str, count: str, replicates: int = REPLICATES) -
                       f"% c.n + 1 AS idx FROM range(1, {replicates + 1}) t(b), {units} e, {count} c"),)
 
 
+# Share of the units from which a group's values are multiplied as a full row.
+FULL = 1 / 32
+
+
+def weighted_sums(weights: np.ndarray, place: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(groups, replicates): each group's values times the weights (units, replicates) of their units, added up.
+    Groups begin at ``starts``; ``place`` is the row of a value's unit."""
+    units = len(weights)
+    if len(values) < FULL * units * len(starts):
+        return np.add.reduceat(weights[place] * values[:, None], starts, axis=0)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
+    return np.bincount(group * units + place, values, len(starts) * units).reshape(len(starts), units) @ weights
+
+
 # Draw slots per task when generating the B x N draws, and replicates per list.
 DRAWS_PER_TASK = 2_000_000
 REPLICATE_BLOCK = 200

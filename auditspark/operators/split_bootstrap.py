@@ -4,11 +4,12 @@ How often the N units are drawn in a replicate is one multinomial vector. It is
 of a binary tree over the units holds N draws, and a node's draws go to its left half by a binomial
 number, keyed by (seed, block of replicates, node). Any task therefore gets the counts of any range of units
 from the path to it alone: equal in every task, on every partitioning and after every retry, with sum N in
-every replicate, and without a table of draws.
+every replicate, and without a table of draws. A task takes ranges that follow each other, so it draws the upper
+nodes once; a level of a range is drawn for all its nodes and replicates at once.
 
 Per group and replicate the weighted sum of values is needed. Sparse (unit, group, value) rows are dealt out
-by ranges of units; a task draws its ranges' weights, adds up each of its groups' vector of B sums and emits
-it once. What is shuffled is thus the rows themselves and tasks x groups x B sums: nothing grows with
+by ranges of units; a task draws its ranges' weights, adds up each of its groups' vector of B sums (a matrix product
+where the groups have many of a range's units) and emits it once. What is shuffled is thus the rows themselves and tasks x groups x B sums: nothing grows with
 B x N. A group's vectors are added up as they stream past; absent replicates are zeros, as on the
 zero-filled grid, and the type-7 quantiles are taken of the B means.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.operators.bootstrap import PROBS, SEED
+from auditspark.operators.bootstrap import PROBS, SEED, weighted_sums
 from auditspark.operators.ordered import attach_scalar, dense_index, materialize
 
 #: Replicates of the reference's full run.
@@ -34,6 +35,8 @@ FULL_REPLICATES = 10_000
 RANGE_BITS = 8
 #: Replicates that are drawn together; part of the key, so it is fixed.
 BLOCK = 1_024
+#: Nodes whose words are held together: they stay in a core's cache.
+TOGETHER = 16
 #: Rows of one range that one task takes.
 PART_ROWS = 1_000_000
 #: Bytes of sums that a task holds before it emits them.
@@ -41,11 +44,38 @@ HELD = 64 << 20
 
 
 class Weights:
-    """Draw counts of ``n`` units, by range of 2**RANGE_BITS units and block of replicates."""
+    """Draw counts of ``n`` units, by range of 2**RANGE_BITS units and block of replicates.
+
+    The path to a range is kept, so ranges that follow each other share all but its end."""
 
     def __init__(self, n: int, seed: int = SEED):
         self.n, self.seed = n, seed
         self.depth = max((n - 1).bit_length(), 0)
+        self._bits = np.random.Philox(key=[0, 0])
+        self._start = self._bits.state
+        self._paths: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+    def _words(self, block: int, level: int, node: int, many: int) -> np.ndarray:
+        """The first words of a node's own stream."""
+        self._start["state"]["key"][:] = (self.seed << 32) | block, (level << 56) | node
+        self._bits.state = self._start
+        return self._bits.random_raw(many)
+
+    @staticmethod
+    def _half(words: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+        """The ones among as many random bits as there are draws; ``words`` (..., 64 draws, replicates)."""
+        if most <= 64:
+            # The upper bits of a word are all that few draws look at.
+            bits = 16 if most <= 16 else 32 if most <= 32 else 64
+            kind = np.dtype(f"<u{bits // 8}")
+            upper = words[..., 0, :].view(kind)[..., 64 // bits - 1::64 // bits]
+            return np.bitwise_count(upper >> (bits - counts).astype(kind))
+        total = np.zeros_like(counts)
+        for i, first_bit in enumerate(range(0, most, 64)):
+            draws = np.clip(counts - first_bit, 0, 64)
+            # No draw: a shift by 64 leaves nothing.
+            total += np.bitwise_count(words[..., i, :] >> (64 - draws).astype(np.uint64))
+        return total
 
     def _split(self, block: int, level: int, node: int, counts: np.ndarray) -> np.ndarray:
         """Draws of the left half of a node at ``level`` (0: the root), for every replicate of the block."""
@@ -55,27 +85,54 @@ class Weights:
         left = min(units, size // 2)
         if left == units:
             return counts.copy()
-        rng = np.random.Generator(np.random.Philox(key=[(self.seed << 32) | block, (level << 56) | node]))
         most = int(counts.max())
         if 2 * left != units or most > 512:
+            rng = np.random.Generator(np.random.Philox(key=[(self.seed << 32) | block, (level << 56) | node]))
             return rng.binomial(counts, left / units)
-        # Equal halves and few draws: the ones among as many random bits as there are draws.
-        total = np.zeros_like(counts)
-        for first_bit in range(0, most, 64):
-            bits = rng.integers(0, 1 << 64, len(counts), dtype=np.uint64)
-            spare = (64 - np.clip(counts - first_bit, 0, 64)).astype(np.uint64)
-            # A shift by 64 is undefined: half of it twice.
-            total += np.bitwise_count(bits >> (spare // 2) >> (spare - spare // 2))
-        return total
+        # Equal halves and few draws.
+        rounds = -(-most // 64)
+        words = self._words(block, level, node, rounds * BLOCK).reshape(rounds, BLOCK)
+        return self._half(words, counts, most).astype(counts.dtype) if rounds else np.zeros_like(counts)
+
+    def _children(self, block: int, level: int, node: int, own: np.ndarray) -> np.ndarray:
+        """Counts of the halves of the whole nodes from ``node`` on, whose counts are the rows of ``own``."""
+        most = own.max(axis=1).tolist()
+        if max(most) > 512:
+            left = np.stack([self._split(block, level, node + i, of) for i, of in enumerate(own)])
+            return np.stack([left, own - left], axis=1).reshape(-1, BLOCK)
+        if max(most) <= 64:
+            own = own.astype(np.uint8)
+        below = np.empty((2 * len(own), BLOCK), own.dtype)
+        for lo in range(0, len(own), TOGETHER):
+            some, draws = own[lo:lo + TOGETHER], most[lo:lo + TOGETHER]
+            words = np.empty((len(some), max(-(-max(draws) // 64), 1), BLOCK), "<u8")
+            for i, of in enumerate(draws):
+                # A node reads the words that its own draws need; what follows them is not looked at.
+                many = -(-of // 64)
+                words[i, :many] = self._words(block, level, node + lo + i, many * BLOCK).reshape(many, BLOCK)
+            left = self._half(words, some, max(draws))
+            below[2 * lo:2 * lo + 2 * len(some):2] = left
+            np.subtract(some, left, out=below[2 * lo + 1:2 * lo + 2 * len(some):2], casting="unsafe")
+        return below
 
     def of_range(self, number: int, block: int) -> np.ndarray:
         """Counts (BLOCK, units) of the units from ``number << RANGE_BITS`` on, below n."""
-        counts = np.full(BLOCK, self.n, np.int64)
         top = max(self.depth - RANGE_BITS, 0)
-        for level in range(top):
-            node = number >> (top - level)
+        path = self._paths.setdefault(block, [(0, np.full(BLOCK, self.n, np.int64))])
+        while path[-1][0] != number >> (top - len(path) + 1):
+            path.pop()
+        for level in range(len(path) - 1, top):
+            node, counts = path[-1]
             left = self._split(block, level, node, counts)
-            counts = counts - left if (number >> (top - level - 1)) & 1 else left
+            below = number >> (top - level - 1)
+            path.append((below, counts - left if below & 1 else left))
+        counts = path[-1][1]
+        if self.depth >= RANGE_BITS and (number + 1) << RANGE_BITS <= self.n and counts.max() < 1 << 31:
+            below = counts.astype(np.int32)[None]
+            for level in range(top, self.depth):
+                below = self._children(block, level, number << (level - top), below)
+            return below.T
+        # The last range, where halves differ.
         nodes = [(number, counts)]
         for level in range(top, self.depth):
             size = 1 << (self.depth - level)
@@ -122,22 +179,21 @@ def replicate_sums(x: DataFrame, n: int, replicates: int, seed: int = SEED, held
                     continue
                 number = int(ranges[part[0]])
                 if near[0] != number:
-                    # Counts of a block as small integers: a range's weights are a few megabytes.
-                    near = number, [weights.of_range(number, b).astype(np.int32) for b in range(blocks)]
+                    # A range's weights, a unit a row: some megabytes.
+                    near = number, [np.ascontiguousarray(weights.of_range(number, b).T, float) for b in range(blocks)]
                 place = idx[part] - (number << RANGE_BITS)
+                # Rows by group stand together.
                 starts = np.concatenate([[0], np.flatnonzero(np.diff(codes[part])) + 1])
-                for b in range(blocks):
-                    # Rows by group stand together, so a group's sum is one reduction.
-                    for lo in range(0, len(starts), 64):
-                        some = starts[lo:lo + 64]
-                        end = starts[lo + 64] if lo + 64 < len(starts) else len(part)
-                        weighted = near[1][b][:, place[some[0]:end]] * values[part[some[0]:end]]
-                        added = np.add.reduceat(weighted, some - some[0], axis=1)
+                for lo in range(0, len(starts), 64):
+                    some = starts[lo:lo + 64]
+                    own = slice(some[0], starts[lo + 64] if lo + 64 < len(starts) else len(part))
+                    for code in codes[part[some]]:
+                        if names[code] not in sums:
+                            sums[names[code]] = np.zeros(blocks * BLOCK)
+                    for b in range(blocks):
+                        added = weighted_sums(near[1][b], place[own], values[part[own]], some - some[0])
                         for j, code in enumerate(codes[part[some]]):
-                            own = sums.setdefault(names[code], None)
-                            if own is None:
-                                own = sums[names[code]] = np.zeros(blocks * BLOCK)
-                            own[b * BLOCK:(b + 1) * BLOCK] += added[:, j]
+                            sums[names[code]][b * BLOCK:(b + 1) * BLOCK] += added[j]
                 if len(sums) * blocks * BLOCK * 8 > held:
                     yield out()
                     sums.clear()
@@ -149,9 +205,11 @@ def replicate_sums(x: DataFrame, n: int, replicates: int, seed: int = SEED, held
     sizes = rows.groupBy("_r").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).alias("_k"))
     spark = x.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The work is B times the rows, so their bytes must not decide how many tasks there are. A task takes ranges that
+    # follow each other, as many as any other, and the parts of a split range go to different tasks.
+    place = F.floor(F.col("_r") * tasks / F.lit(-(-n // (1 << RANGE_BITS)))) + F.col("_s")
     spread = (rows.join(sizes, "_r").withColumn("_s", F.pmod(F.xxhash64("idx", "_g"), F.col("_k")))
-              # The work is B times the rows, so their bytes must not decide how many tasks there are.
-              .repartition(tasks, "_r", "_s").sortWithinPartitions("_r", "_s"))
+              .repartitionById(tasks, F.pmod(place, F.lit(tasks)).cast("int")).sortWithinPartitions("_r", "_s"))
     return spread.select("idx", "_g", "_v").mapInArrow(run, PART.format(kind=kind.simpleString()))
 
 

@@ -107,3 +107,29 @@ def test_small_memory_emits_more_but_equal(spark):
 
 def test_empty(spark):
     assert split_bootstrap.boot_mean_ci_split(spark.createDataFrame([], "u string, g string, v double"), "u", "g", "v").collect() == []
+
+
+def test_ranges_that_follow_share_their_upper_nodes(monkeypatch):
+    """Above the ranges each node is drawn about once, not once a range; below, a range's nodes are drawn a level at a time."""
+    calls = []
+    split = Weights._split
+    monkeypatch.setattr(Weights, "_split", lambda self, block, level, node, counts: calls.append((level, node)) or split(self, block, level, node, counts))
+    n, ranges = 1 << 20, 64
+    w = Weights(n)
+    for r in range(ranges):
+        w.of_range(r, 0)
+    top = w.depth - RANGE_BITS
+    above = [c for c in calls if c[0] < top]
+    assert len(above) <= 2 * ranges + top and len(calls) - len(above) <= 8 * ranges
+
+
+@pytest.mark.parametrize("share", [0.01, 0.9])
+def test_weighted_sums_full_and_sparse(share):
+    rng = np.random.default_rng(4)
+    weights = rng.integers(0, 5, (256, 30)).astype(float)
+    place = np.nonzero(rng.random((256, 7)) < share)[0]
+    group = np.sort(np.arange(len(place)) % 3)
+    values, starts = rng.random(len(place)), np.searchsorted(group, np.unique(group))
+    got = bootstrap.weighted_sums(weights, place, values, starts)
+    want = [sum(weights[p] * v for p, v in zip(place[group == g], values[group == g])) for g in np.unique(group)]
+    assert np.allclose(got, want, rtol=1e-12)
