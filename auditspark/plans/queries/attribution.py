@@ -192,11 +192,10 @@ def q_unbranded_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ci.select(*[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])
 
 
-def full_boot(spark: SparkSession, sf_dir: str, with_ones: bool) -> DataFrame:
-    """The interval of every company at B = 10,000; ``with_ones`` adds the group "*", worth 1 in every event."""
-    sh = event_shares(spark, sf_dir).select("event_id", "id", "proportion")
+def full_boot(sh: DataFrame, with_ones: bool) -> DataFrame:
+    """The interval of every company of the shares at B = 10,000; ``with_ones`` adds the group "*", worth 1 in every event."""
+    sh = sh.select("event_id", "id", "proportion")
     if with_ones:
-        sh = ordered.materialize(sh)
         sh = sh.unionByName(sh.select("event_id").distinct().select("event_id", F.lit("*").alias("id"), F.lit(1.0).alias("proportion")))
     return split_bootstrap.boot_mean_ci_split(sh, "event_id", "id", "proportion")
 
@@ -204,7 +203,7 @@ def full_boot(spark: SparkSession, sf_dir: str, with_ones: bool) -> DataFrame:
 @query("boot_ci_full")
 def q_boot_ci_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19 + X1, the full run: B = 10,000 by splittable multinomial weights."""
-    return full_boot(spark, sf_dir, False).select("id", *[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])
+    return full_boot(event_shares(spark, sf_dir), False).select("id", *[F.round(c, OUT_DIGITS).alias(c) for c in ("high", "mean", "low")])
 
 
 @query("boot_ci_full_moments", audit.sql("""
@@ -214,11 +213,13 @@ def q_boot_ci_full_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19 + X1, the full run against theory: the replicates of a mean have its value as mean and
     sqrt((E[x^2] - mean^2) / N) as standard deviation, here within 5 Monte Carlo errors and 5 %. The group
     "*" has weight 1 in every event: its replicates are all exactly 1 as each draws N events."""
-    b, sh = split_bootstrap.FULL_REPLICATES, event_shares(spark, sf_dir)
+    b = split_bootstrap.FULL_REPLICATES
+    # Read by the replicates, their ones and the theory.
+    sh = ordered.materialize(event_shares(spark, sf_dir).select("event_id", "id", "proportion"))
     n = sh.select("event_id").distinct().agg(F.count(F.lit(1)).alias("n"))
     squares = ordered.attach_scalar(sh.groupBy("id").agg(F.sum(F.col("proportion") ** 2).alias("sq")), n).select(
         F.col("id").alias("own"), "sq", "n")
-    x = full_boot(spark, sf_dir, True).join(squares, F.col("id") == F.col("own"), "left")
+    x = full_boot(sh, True).join(squares, F.col("id") == F.col("own"), "left")
     error = F.coalesce(F.sqrt((F.col("sq") / F.col("n") - F.col("mean") ** 2) / F.col("n")), F.lit(0.0))
     eps = 1e-12
     return x.select("id", F.round("mean", OUT_DIGITS).alias("mean"),
