@@ -294,3 +294,26 @@ def test_t_distribution_and_band(spark, pack):
         half = 2.036933 * f.sigma * math.sqrt(1 / 34 + (r.x - f.mean_x) ** 2 / f.sxx)
         assert r.upper - r.fitted == pytest.approx(half, rel=1e-5)
         assert r.fitted - r.lower == pytest.approx(half, rel=1e-5)
+
+
+def test_draws_are_packed_in_two_bytes(spark):
+    """What is shuffled of a draw is its place in its range; the draws are those of ``with_draws``."""
+    import numpy as np
+
+    n = 5000
+    rows = bootstrap.packed_draws(spark, n, 3, 6).collect()
+    got = sorted((r.b, int(p) + (r._r << bootstrap.RANGE_BITS) + 1) for r in rows for p in np.frombuffer(r.drawn, "<u2"))
+    want = sorted((b, _draw(3437, b, j, n) + 1) for b in range(3, 7) for j in range(1, n + 1))
+    assert got == want and sum(len(r.drawn) for r in rows) == 2 * 4 * n
+
+
+def test_bootstrap_of_a_unit_with_many_groups(spark, monkeypatch):
+    """A range with many rows is split over tasks and few held groups are emitted often, with the same result."""
+    rows = [(f"e{u}", f"g{g:03d}", (u * 7 + g) % 11 / 10) for u in range(30) for g in range(120) if u == 3 or (u + g) % 9 == 0]
+    df = spark.createDataFrame(rows, "event_id string, id string, proportion double")
+    plain = sorted(bootstrap.boot_mean_ci(df, "event_id", "id", "proportion", replicates=25).collect())
+    monkeypatch.setattr(bootstrap, "PART_ROWS", 20)
+    monkeypatch.setattr(bootstrap, "HELD", 1)
+    split = sorted(bootstrap.boot_mean_ci(df, "event_id", "id", "proportion", replicates=25).collect())
+    assert [r.id for r in plain] == [r.id for r in split] and len(plain) == 120
+    assert all(abs(x - y) < 1e-12 for a, b in zip(plain, split) for x, y in zip(a[1:], b[1:]))
