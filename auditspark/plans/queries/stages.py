@@ -294,12 +294,18 @@ def items_in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.withColumns({c: F.col(c).cast("bigint") for c in ("submission_id", "p_partkey", "total_count")})
 
 
+def dealt_anew(x: DataFrame, col_name: str) -> DataFrame:
+    """The rows dealt out by a column. Its few values must not decide how much a task holds: a partition of many
+    rows is split by what the shuffle measures, and small ones are put together."""
+    return x.hint("rebalance", col_name)
+
+
 @query("first_in_file", audit.sql(f"""
 SELECT brand_name, submission_id, p_partkey, country, total_count FROM (
   SELECT *, row_number() OVER (PARTITION BY brand_name ORDER BY {_FILE_KEY}) AS rn FROM clean) WHERE rn = 1"""))
 def q_first_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10 + W6: each brand's first row as the files have it, after the rows have been dealt out anew."""
-    x = items_in_file_order(spark, sf_dir).drop("type_material").repartition(7, "country")
+    x = dealt_anew(items_in_file_order(spark, sf_dir).drop("type_material"), "country")
     return ordered.first_per_key(x, ["brand_name"], ["_order"]).drop("_order")
 
 
@@ -309,7 +315,7 @@ SELECT brand_name, CAST((rn - 1) // 40 AS INTEGER) AS part, CAST(COUNT(*) AS INT
 GROUP BY brand_name, (rn - 1) // 40"""))
 def q_kept_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 + A6: each brand's countries once per item in file order, in parts of 40."""
-    x = items_in_file_order(spark, sf_dir).repartition(5, "total_count")
+    x = dealt_anew(items_in_file_order(spark, sf_dir), "total_count")
     return order.to_string_parts(x, ["brand_name"], "country", [F.col("_order")], "country", most=40)
 
 

@@ -180,3 +180,25 @@ def test_queries_run_twice_alike(spark, name):
     registry.load_all()
     a, b = (sorted(map(str, registry.SPARK[name](spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert a == b and a
+
+
+def test_rows_of_one_value_are_dealt_to_many_tasks(spark):
+    """However many rows a country has, a task holds a bounded part of them; no row is lost."""
+    from pyspark.sql import functions as F
+
+    from auditspark.plans.queries.stages import dealt_anew
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1m")
+    most = []
+    try:
+        for n in (40_000, 160_000):
+            x = spark.range(0, n, 1, n // 5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"), F.lit("nl").alias("country"))
+            parts = (dealt_anew(x, "country").withColumn("_p", F.spark_partition_id())
+                     .groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.max("v")).collect())
+            assert sum(r.n for r in parts) == sum(r.d for r in parts) == n
+            most.append(max(r.n for r in parts))
+    finally:
+        spark.conf.set(name, before)
+    assert most[0] < 40_000 and most[1] <= 1.5 * most[0]
