@@ -44,7 +44,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keyed=True)
     key = fresh(docs.columns, "_key")
     # Rows of a repeated or null id may hold different texts: each goes by its own.
-    rejected = scored.where(F.col("predicted") == 1).select(F.col("row_key").alias(key)).distinct()
+    # Written first: the texts do not move while the scoring tasks hold their index, and the join knows the keys' size.
+    rejected = stage(scored.where(F.col("predicted") == 1).select(F.col("row_key").alias(key)).distinct())
     return docs.withColumn(key, row_key()).join(rejected, key, "left_anti").select(*_columns(docs.columns))
 
 

@@ -189,6 +189,13 @@ def test_toxicity_stage_keeps_clean_texts_of_null_and_repeated_ids(spark):
         [(None, clean[0]), (None, clean[1]), (10**9, clean[2]), (10**9, clean[2])])
 
 
+def test_toxicity_stage_scores_before_texts_move(spark):
+    """The join of the texts with the rejected keys does not run beside the scoring, whose tasks hold the index."""
+    docs = documents(spark, [(i, f"word{i} and more", "a") for i in range(4)])
+    plan = corpus_pipeline.toxicity_stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "SortMergeJoin" not in plan
+
+
 def test_every_stage_takes_an_empty_table(spark):
     for name, step in corpus_pipeline.STAGES:
         out = step(spark, documents(spark, []), SF)
