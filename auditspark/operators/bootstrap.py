@@ -11,8 +11,8 @@ where ``w[b, e]`` is how often event e is drawn in replicate b. Events where the
 company is absent add 0, so the sum runs over the sparse (event, company)
 rows only. The draws are one distributed table of B x N rows keyed by 60
 bits of the md5 of (seed, b, j): reproducible on any partitioning, and identical in
-DuckDB's SQL. A draw is stored as two bytes, its unit's place in a range of units, gathered per replicate,
-range and task; it is these lists and the share rows that are shuffled, by range. A task counts its ranges' draws,
+DuckDB's SQL. Draws are gathered per replicate, range of units and task as the gaps between their sorted places in
+the range, a few bits each; it is these lists and the share rows that are shuffled, by range. A task counts its ranges' draws,
 multiplies them with the shares and emits each company's sums once. Replicates go in blocks of
 ``REPLICATE_BLOCK``, so a range's counts stay small for any B.
 
@@ -25,6 +25,7 @@ multiset, so the same type-7 quantile.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,16 +79,37 @@ def weighted_sums(weights: np.ndarray, place: np.ndarray, values: np.ndarray, st
 DRAWS_PER_TASK = 2_000_000
 DRAWS_PER_SUM = 32_000_000
 REPLICATE_BLOCK = 200
-#: Units of one range: a draw is stored as its unit's place in it, two bytes.
+#: Units of one range: a draw is stored as its unit's place in it, two bytes, or the gap to the place before.
 RANGE_BITS = 12
 #: Rows of one range that one task takes, and bytes of sums that a task holds before it emits them.
 PART_ROWS = 1_000_000
 HELD = 64 << 20
 
 
-def packed_draws(spark, n_units: int, first: int, last: int, seed: int = SEED) -> DataFrame:
+#: In a list of gaps, a step of that many places at which nothing is drawn.
+STEP = 255
+
+
+def coded(places: np.ndarray) -> bytes:
+    """Sorted places of a range as Huffman-coded gaps: about two bits a place where a list has as many as its range."""
+    gaps = np.diff(places.astype(np.int64), prepend=0)
+    steps = gaps // STEP
+    out = np.full(len(gaps) + int(steps.sum()), STEP, np.uint8)
+    out[np.arange(len(gaps)) + np.cumsum(steps)] = gaps % STEP
+    packer = zlib.compressobj(1, zlib.DEFLATED, -9, 6, zlib.Z_HUFFMAN_ONLY)
+    return packer.compress(out.tobytes()) + packer.flush()
+
+
+def decoded(drawn: bytes) -> np.ndarray:
+    """The places that ``coded`` was given."""
+    gaps = np.frombuffer(zlib.decompress(drawn, -9), np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != STEP]
+
+
+def packed_draws(spark, n_units: int, first: int, last: int, seed: int = SEED, gaps: bool = False) -> DataFrame:
     """(_r, b, drawn): of the replicates from ``first`` to ``last`` the draws in each range of units, as 16-bit places
-    within the range; a replicate's draws in a range may come in several rows.
+    within the range or, with ``gaps``, as ``coded`` makes of these; a replicate's draws in a range may come in several
+    rows.
 
     The draw slots come from ``spark.range`` with a partition count sized
     to the number of slots, so generation is spread evenly over the cluster no
@@ -109,9 +131,13 @@ def packed_draws(spark, n_units: int, first: int, last: int, seed: int = SEED) -
         draws = np.sort(np.concatenate(own))
         key = draws >> RANGE_BITS
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else key
-        ends = np.append(starts, len(key)).astype(np.int32) * 2
+        ends = np.append(starts, len(key))
         places = (draws & ((1 << RANGE_BITS) - 1)).astype("<u2")
-        drawn = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(places)])
+        if gaps:
+            drawn = pa.array([coded(places[lo:hi]) for lo, hi in zip(ends, ends[1:])], pa.binary())
+        else:
+            offsets = pa.py_buffer(ends.astype(np.int32) * 2)
+            drawn = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(places)])
         yield pa.RecordBatch.from_arrays([pa.array(key[starts] % ranges), pa.array(key[starts] // ranges), drawn],
                                          ["_r", "b", "drawn"])
 
@@ -151,7 +177,7 @@ def replicate_sums(x: DataFrame, n_units: int, first: int, last: int, seed: int
                 drawn = rows.column(6).is_valid().to_numpy(zero_copy_only=False)
                 many = int(drawn.sum())
                 for b, places in zip(rows.column(5)[:many].to_pylist(), rows.column(6)[:many]):
-                    weights[:, b - first] += np.bincount(np.frombuffer(places.as_buffer(), "<u2"), minlength=len(weights))
+                    weights[:, b - first] += np.bincount(decoded(places.as_buffer()), minlength=len(weights))
                 rows = rows.slice(many)
                 if not rows.num_rows:
                     continue
@@ -185,7 +211,7 @@ def replicate_sums(x: DataFrame, n_units: int, first: int, last: int, seed: int
     # A range with very many rows (a unit that most groups have) is split, and its draws go to every part. Such
     # ranges are few: each has more than PART_ROWS rows.
     many = F.broadcast(rows.groupBy("_r").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).alias("_k")).where(F.col("_k") > 1))
-    draws = (packed_draws(x.sparkSession, n_units, first, last, seed).join(many, "_r", "left")
+    draws = (packed_draws(x.sparkSession, n_units, first, last, seed, gaps=True).join(many, "_r", "left")
              .withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_k", F.lit(1)) - 1)))
              .select("_r", "_s", F.lit(None).cast("long").alias("idx"), F.lit(None).cast(kind).alias("_g"),
                      F.lit(None).cast("double").alias("_v"), "b", "drawn"))
@@ -209,14 +235,14 @@ def boot_mean_ci(values: DataFrame, unit_col: str, group_col: str | None, value_
     without it there is a single group of all units (``group_col=None``)."""
     from auditspark.operators.ordered import materialize
 
-    # Read four times below (index, replicate sums, means, zero counts):
-    # computed once into the shared checkpoint folder.
+    # Read twice below (index, rows by index): computed once into the shared checkpoint folder.
     values = materialize(values.select(unit_col, *([group_col] if group_col else []), value_col))
     units = dense_index(values, [unit_col], "idx")
     n_units = units.count()
     n = values.sparkSession.createDataFrame([(n_units,)], "_n bigint")
     gcols = [group_col] if group_col else []
-    x = values.join(units, unit_col).select(*gcols, "idx", F.col(value_col).alias("_v"))
+    # Read by the replicate sums, their ranges' sizes and the means: the units are joined once.
+    x = materialize(values.join(units, unit_col).select(*gcols, "idx", F.col(value_col).alias("_v")))
     rows = x.select("idx", (F.col(group_col) if group_col else F.lit("")).alias("_g"), "_v")
     reps = None
     for first in range(1, replicates + 1, REPLICATE_BLOCK):
@@ -224,7 +250,8 @@ def boot_mean_ci(values: DataFrame, unit_col: str, group_col: str | None, value_
         block = (sums.groupBy("_g", "b").agg(F.sum("_s").alias("_s"))
                  .select(*[F.col("_g").alias(g) for g in gcols], "b", "_s"))
         reps = block if reps is None else reps.unionByName(block)
-    reps = attach_scalar(reps, n).select(*gcols, "b", (F.col("_s") / F.col("_n")).alias("_m"))
+    # Read by the quantiles and the zero counts: at most ``replicates`` rows a group.
+    reps = materialize(attach_scalar(reps, n).select(*gcols, "b", (F.col("_s") / F.col("_n")).alias("_m")))
     means = attach_scalar(x.groupBy(*gcols).agg(F.sum("_v").alias("_t")), n).select(
         *gcols, (F.col("_t") / F.col("_n")).alias("mean"))
     if zero_fill:

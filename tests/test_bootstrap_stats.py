@@ -317,3 +317,25 @@ def test_bootstrap_of_a_unit_with_many_groups(spark, monkeypatch):
     split = sorted(bootstrap.boot_mean_ci(df, "event_id", "id", "proportion", replicates=25).collect())
     assert [r.id for r in plain] == [r.id for r in split] and len(plain) == 120
     assert all(abs(x - y) < 1e-12 for a, b in zip(plain, split) for x, y in zip(a[1:], b[1:]))
+
+
+def test_draws_are_shuffled_as_gaps(spark):
+    """The lists that the replicate sums shuffle hold the same draws in a few bits each."""
+    import numpy as np
+
+    for places in ([0], [4095], [0, 0, 0, 4095, 4095], [254, 509, 510, 1020], list(range(4096))):
+        assert list(bootstrap.decoded(bootstrap.coded(np.array(places, "<u2")))) == places
+    n = 5000
+    rows = bootstrap.packed_draws(spark, n, 3, 6, gaps=True).collect()
+    got = sorted((r.b, int(p) + (r._r << bootstrap.RANGE_BITS) + 1) for r in rows for p in bootstrap.decoded(r.drawn))
+    want = sorted((b, _draw(3437, b, j, n) + 1) for b in range(3, 7) for j in range(1, n + 1))
+    assert got == want and sum(len(r.drawn) for r in rows) < 0.5 * 4 * n
+
+
+def test_bootstrap_joins_units_and_sums_replicates_once(spark):
+    """The quantiles, zero counts and means read written tables: none of them joins the units or sums the draws again."""
+    rows = [(f"e{u}", f"g{g}", 1.0 / (u + 1)) for u in range(9) for g in range(3) if (u + g) % 2]
+    ci = bootstrap.boot_mean_ci(spark.createDataFrame(rows, "event_id string, id string, proportion double"),
+                                "event_id", "id", "proportion", replicates=20)
+    plan = ci._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "event_id" not in plan
